@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragmill.llm import bpe, pu, quality, token_counts, warc
+from ragmill.llm import bpe, decontam, licenses, pu, quality, token_counts, warc
 from ragmill.llm.common import tokenizer_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -22,10 +22,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_t(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_t(spark, sf_dir, "documents")).withColumn("n_detections", F.size("detections").cast("long")).drop("detections")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_t(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), digests=True)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.contamination(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+    return out.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
+
+
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.archive_round_trip(_t(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
@@ -42,13 +51,29 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_license_scan": op3_license_scan,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_decontamination": op6_decontamination,
     "op8_warc_round_trip": op8_warc_round_trip,
     "op9_pu_quality": op9_pu_quality,
     "op10_length_histogram": op10_length_histogram,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_decontamination": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + 9], ' ') AS t
+               FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0) AS q),
+        ns AS (SELECT DISTINCT n FROM bw),
+        dw AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS t
+               FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns WHERE len(w) >= n) AS q),
+        m AS (SELECT r, i, dw.n AS n, item_id FROM dw JOIN bw ON dw.t = bw.t AND dw.n = bw.n),
+        h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM m) AS q GROUP BY r),
+        s AS (SELECT r, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS k FROM m) AS q GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN s ON d.r = s.r""",
     "op8_warc_round_trip": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
