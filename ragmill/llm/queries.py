@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragmill.llm import bpe, decontam, licenses, pu, quality, token_counts, warc
+from ragmill.llm import bpe, decontam, jaccard, licenses, pu, quality, token_counts, warc
 from ragmill.llm.common import tokenizer_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -35,6 +35,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(_t(spark, sf_dir, "documents"))
+
+
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.archive_round_trip(_t(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_decontamination": op6_decontamination,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_warc_round_trip": op8_warc_round_trip,
     "op9_pu_quality": op9_pu_quality,
     "op10_length_histogram": op10_length_histogram,
