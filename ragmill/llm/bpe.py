@@ -27,7 +27,7 @@ from ragmill.session import ship
 
 LEAF = 16_384  # characters of a leaf; longer texts are spread over the cluster
 RUN = 2_048  # a pre-token longer than this is cut into leaves of its own
-CACHE = 200_000  # pre-tokens remembered by a worker before it starts afresh
+CACHE = 100_000  # pre-tokens in each of a worker's two generations of remembered ones
 
 #: The pre-token pattern of the vocabulary file, with its white space spelled out.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -63,6 +63,9 @@ class WordBpe:
         self.open = models.BPE(vocab=vocab, merges=merges)  # without the word end: for the inner leaves of a run
         self.bytes = str.maketrans({chr(b): c for b, c in _byte_table().items()})
         self.cache: dict[str, tuple[int, str, str]] = {}
+        self.old: dict[str, tuple[int, str, str]] = {}
+        self.long = regex.compile(rf"[^{_WS}]{{{RUN + 1},}}")
+        self.space = regex.compile(rf"[{_WS}]")
 
     def normalize(self, part: str) -> str:
         return part.lower() if part.isascii() else self.tok.normalizer.normalize_str(part)
@@ -83,9 +86,10 @@ class WordBpe:
         if (got := self.cache.get(piece)) is None:
             if len(piece) > RUN:
                 return self.row(self.run([piece[i : i + RUN] for i in range(0, len(piece), RUN)]))
-            got = self.row(self.tokens(self.symbols(piece), True))
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
+            if (got := self.old.get(piece)) is None:
+                got = self.row(self.tokens(self.symbols(piece), True))
+            if len(self.cache) >= CACHE:  # what is used again moves on to the new generation
+                self.old, self.cache = self.cache, {}
             self.cache[piece] = got
         return got
 
@@ -98,8 +102,8 @@ class WordBpe:
                 yield self.normalize(part), False
 
     def pieces(self, normalized: str) -> list[tuple[int, str, str]]:
-        cache, piece = self.cache, self.piece
-        return [cache.get(p) or piece(p) for p in self.pattern.findall(normalized)]
+        get, piece = self.cache.get, self.piece
+        return [get(p) or piece(p) for p in self.pattern.findall(normalized)]
 
     def encode(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, ids joined by spaces, decoded text."""
@@ -146,6 +150,13 @@ class WordBpe:
                 yield "special", part
                 continue
             start = 0
+            if not self.long.search(part):  # no run to halve: cut at white space
+                while (m := self.space.search(part, start + leaf)) and m.start() < len(part):
+                    yield "text", part[start : m.start()]
+                    start = m.end()
+                if part[start:].strip():
+                    yield "text", part[start:]
+                continue
             for m in self.pattern.finditer(part):
                 if m.end() - m.start() > RUN:
                     if part[start : m.start()].strip():

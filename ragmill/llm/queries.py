@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragmill.llm import bpe, decontam, jaccard, licenses, pu, quality, token_counts, warc
+from ragmill.llm import bpe, decontam, jaccard, licenses, pu, quality, quotes, suffix_tree, token_counts, warc
 from ragmill.llm.common import tokenizer_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -22,10 +22,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_t(spark, sf_dir, "documents"))
 
 
+def op2_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_conversations(_t(spark, sf_dir, "conversations"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_t(spark, sf_dir, "documents")).withColumn("n_detections", F.size("detections").cast("long")).drop("detections")
 
 
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.lm_scores(_t(spark, sf_dir, "documents"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_t(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), digests=True)
 
@@ -55,7 +63,9 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quote_links": op2_quote_links,
     "op3_license_scan": op3_license_scan,
+    "op4_suffix_tree": op4_suffix_tree,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_decontamination": op6_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
