@@ -5,7 +5,7 @@ A set is embedded as T MinHash positions (its tokens), so that the share of equa
 Each of several independent runs splits all sets recursively: a node picks one or two positions by a hash of its path
 (1 + EXTRA on average) and sends each set to the child named by the set's value there. Nodes of one set end; nodes of at
 most LIMIT sets are compared by brute force; larger ones split on, and those that are still large at DEPTH are compared
-in blocks of LIMIT by LIMIT, over as many tasks as there are pairs of blocks. The number of runs follows from the
+in blocks of about LIMIT sets (fewer if they are long), a group for each pair of blocks. The number of runs follows from the
 target recall of a pair of exactly the least similarity (by the recurrence of the splitting process).
 
 Comparison inside a bucket has two passes. The first reads MinHash bytes and set sizes only and names the members with
@@ -39,7 +39,8 @@ THRESHOLD = 0.8
 T = 64
 EXTRA = 0.25
 DEPTH = 3
-LIMIT = 256
+LIMIT = 1_024  # sets of a bucket or block
+WEIGHT = 2_000_000  # shingles of a block
 RECALL = 0.9999
 SLACK = 0.22  # below the threshold, over four standard deviations of the estimate
 
@@ -161,12 +162,14 @@ def _split(first: bool, runs: int):
 
 
 def buckets(reps: DataFrame, runs: int, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
-    """Rows (node, key, size) of the buckets to compare: nodes of two or more sets that are small, or at full depth."""
+    """Rows (node, key, size, weight) of the buckets to compare: nodes of two or more sets that are small, or at full
+    depth; size and weight are the bucket's sets and shingles."""
+    sizes_of = reps.select("key", "n")
     rows = reps.select("key", "sig").mapInArrow(_split(True, runs), "node long, key binary")
     done: DataFrame | None = None
     for level in range(1, depth + 1):
         rows = materialize(rows, f"jaccard-level{level}")
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+        sizes = rows.join(sizes_of, "key").groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where(F.col("size") > 1)
         rows = rows.join(sizes, "node")
         last = level == depth
         leaf = rows if last else rows.where(F.col("size") <= limit)
@@ -306,13 +309,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = dict(src.dtypes)["_id"]
     rows = materialize(src.mapInArrow(_profile, f"_id {kind}, _tk long, key binary, n int, sig binary"), "jaccard-profiles")
     known = rows.where(F.col("key").isNotNull())
-    reps = materialize(known.groupBy("key").agg(F.count("*").alias("copies"), F.min("_id").alias("copy_id"), F.min("_tk").alias("_tk"), F.max("n").alias("n"), F.max("sig").alias("sig")), "jaccard-reps")
+    reps = materialize(known.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("_id").isNull(), "_id", "_tk")).alias("f"), F.max("n").alias("n"), F.max("sig").alias("sig")).select("key", "copies", F.col("f._id").alias("copy_id"), F.col("f._tk").alias("_tk"), "n", "sig"), "jaccard-reps")
     runs = runs_for(recall, threshold)
     found = materialize(buckets(reps, runs), "jaccard-buckets")
     lists = found.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes"))  # at most (1 + EXTRA)^DEPTH a run
-    profile = reps.join(lists, "key").select("key", "n", "copies", "_tk", "nodes", F.expr("unhex(array_join(transform(sequence(1, 253, 4), i -> hex(substring(sig, i, 1))), ''))").alias("sig8"))
+    profile = reps.join(lists, "key").select("key", "n", "copies", "_tk", "copy_id", "nodes", F.expr("unhex(array_join(transform(sequence(1, 253, 4), i -> hex(substring(sig, i, 1))), ''))").alias("sig8"))
     profile = materialize(profile, "jaccard-members")
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / LIMIT)).cast("int")
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / LIMIT), F.ceil(F.col("weight") / WEIGHT)).cast("int")
     split = found.distinct().withColumn("_nb", n_blocks).withColumn("blk", F.pmod(F.xxhash64("key"), F.col("_nb")).cast("int"))
     split = split.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))  # each block meets each other once
     split = split.select("node", F.least("blk", "_c").alias("bi"), F.greatest("blk", "_c").alias("bj"), "blk", "key")
@@ -320,7 +323,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = split.join(profile.select("key", "n", "nodes", "sig8"), "key").repartition(*by).sortWithinPartitions(*by)
     active = materialize(first.mapInArrow(_active(threshold), "node long, bi int, bj int, blk int, key binary"), "jaccard-active")
     wanted = profile.join(active.select("key").distinct(), "key", "left_semi")
-    texts = docs.select(F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_tk")).join(wanted.select("_tk"), "_tk", "left_semi").select("_text")
+    # one text of each class, by id and digest; merged at every size, as the wanted ids grow with the input
+    ident = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    texts = docs.select(F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_tk"), ident(id_col).alias("_i"))
+    texts = texts.join(wanted.select("_tk", ident("copy_id").alias("_i")).hint("merge"), ["_tk", "_i"], "left_semi").select("_text")
     sets = texts.mapInArrow(_shingle_sets, "key binary, shingles binary").groupBy("key").agg(F.max("shingles").alias("shingles"))
     full = active.join(wanted.join(sets, "key").select("key", "n", "copies", "nodes", "sig8", "shingles"), "key").repartition(*by).sortWithinPartitions(*by)
     linked = materialize(full.mapInArrow(_verify(threshold), "key binary, other binary, links long"), "jaccard-links")
