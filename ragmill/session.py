@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +25,19 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(top.parent))
     sc.addPyFile(target)
     _shipped.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir of the session, or one made here where none is set (tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/") if "://" in path or not path.startswith("/") else "file://" + path.rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table that several steps read into the shared folder and read it back."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
