@@ -4,9 +4,9 @@ Trusted positives are labelled 1 in the training folds; the unlabelled rows are
 label. The class prior is estimated as the (smoothed) share of positives among the labelled training rows. The risk
     prior * E_pos[loss(g, +1)] + max(0, E_unl[loss(g, -1)] - prior * E_pos[loss(g, -1)])
 with logistic loss is minimised over a linear function of clipped, piecewise-linear statistics, so that the sigmoid of
-it is the probability of label 1. Training takes at most `max_rows` positives and as many unlabelled rows (the smallest
-by a hash of the id), a documented bound that keeps what reaches the driver below 2 * max_rows * 8 numbers; every row is
-scored, in built-in functions.
+it is the probability of label 1. Training takes about `max_rows` positives and as many unlabelled rows at most (all, or
+the share max_rows / n by a hash of the id, so each task sends its share only), a documented bound that keeps what
+reaches the driver near 2 * max_rows * 8 numbers; every row is scored, in built-in functions.
 
 Defined cases: null and empty texts are scored like any other (all statistics 0); an id with several labels has the
 largest; with no positive in the training folds every score is the prior (0.5 with no labels at all).
@@ -80,6 +80,16 @@ def score_column(model: dict | None, prior: float) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), g))))
 
 
+def _sample(rows: DataFrame, max_rows: int) -> np.ndarray:
+    """Feature vectors of all rows, or of the share max_rows / n of them by a hash of the id, in the order of the hash."""
+    n = rows.count()
+    part = rows.withColumn("_o", F.xxhash64("_id", F.lit("sample")))
+    if n > max_rows:
+        part = part.where(F.pmod(F.col("_o"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
+    got = sorted(tuple(r) for r in part.select("_o", *NAMES).collect())
+    return np.array([r[1:] for r in got], dtype=float)
+
+
 def pu_scores(docs: DataFrame, labels: DataFrame, keep: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_fold: int = 0, max_rows: int = MAX_ROWS) -> DataFrame:
     """Score each text: keep columns (default the id), held_out, score, predicted (score >= 0.3). A row per input row."""
     keep = {id_col: F.col(id_col)} if keep is None else keep
@@ -90,9 +100,8 @@ def pu_scores(docs: DataFrame, labels: DataFrame, keep: dict[str, Column] | None
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (bucket_of(F.col(id_col), folds) != held_fold)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     seen = known.agg(F.count("*").alias("n"), F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("p")).first()
     prior = ((seen["p"] or 0) + 1) / (seen["n"] + 2)
-    first = lambda df: np.array([r[1:] for r in df.orderBy(F.xxhash64("_id"), *NAMES).limit(max_rows).select("_id", *NAMES).collect()], dtype=float)
-    pos = first(train.join(known.where(F.col("_y") == 1), "_id", "left_semi"))
-    unl = first(train)
+    pos = _sample(train.join(known.where(F.col("_y") == 1), "_id", "left_semi"), max_rows)
+    unl = _sample(train, max_rows)
     model = fit_nnpu(pos, unl, prior) if len(pos) and len(unl) else None
     score = score_column(model, prior)
     out = stats.select(*[F.col(f"_k_{k}").alias(k) for k in keep], (bucket_of(F.col("_id"), folds) == held_fold).alias("held_out"), score.alias("score"))
