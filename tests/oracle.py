@@ -15,7 +15,7 @@ def connect(sf_dir):
 
 def rows(df, cols):
     def one(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         if isinstance(v, float):
             return round(v, 8)
