@@ -82,3 +82,36 @@ def answer_assembly(frames: DataFrame) -> DataFrame:
 def last_per(rows: DataFrame, by: str, order: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.col(order).desc())
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
+
+
+def offline_compare_answer(results: DataFrame) -> DataFrame:
+    """Top passage (at most 300 characters) of each compared document in chosen order, numbered by document.
+    results: query_id, position, rank, document_name, content."""
+    top = results.where(F.col("rank") == 1).select("query_id", "position", F.concat(F.lit("["), F.col("position").cast("string"), F.lit("] "), F.col("document_name"), F.lit(": "), cut_on_space(strip(F.col("content")), 300)).alias("line"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("position", "line"))), lambda x: x["line"])
+    return top.groupBy("query_id").agg(F.concat(F.lit("[offline mode] Most relevant passage of each document:\n\n"), F.array_join(lines, "\n")).alias("answer"))
+
+
+def highlight_inputs(highlights: DataFrame, first: int = 5, timeline: int = 20) -> DataFrame:
+    """Model inputs of each document from its highlights in rank order: summary_input and timeline_input."""
+    h = highlights.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_index", "text"))).alias("h"))
+    line = lambda x: F.concat(F.lit("(chunk "), x["chunk_index"].cast("string"), F.lit(") "), F.substring(x["text"], 1, 200))
+    return h.select(
+        "document_id",
+        F.array_join(F.transform(F.slice("h", 1, first), lambda x: x["text"]), "\n---\n").alias("summary_input"),
+        F.array_join(F.transform(F.slice("h", 1, timeline), line), "\n").alias("timeline_input"),
+    )
+
+
+def answer_blocks(answers: DataFrame) -> DataFrame:
+    """Markdown lines of each answer as blocks (query_id, block_no, kind, text): headings, list runs, paragraphs."""
+    s = answers.select("query_id", F.posexplode(F.split("answer", "\n", -1)).alias("pos", "line")).withColumn("line", strip(F.col("line")))
+    kind = F.when(F.col("line") == "", "blank").when(F.col("line").rlike("^#{2,3} "), "heading").when(F.col("line").startswith("- "), "list").otherwise("paragraph")
+    w = Window.partitionBy("query_id").orderBy("pos")  # one answer's lines
+    s = s.withColumn("kind", kind).withColumn("_new", F.when((F.col("kind") == "heading") | ~F.col("kind").eqNullSafe(F.lag("kind").over(w)), 1).otherwise(0))
+    s = s.withColumn("_g", F.sum("_new").over(w)).where("kind <> 'blank'")
+    text = F.when(F.col("kind") == "heading", F.regexp_replace("line", "^#{2,3} ", "")).when(F.col("kind") == "list", F.substring("line", 3, 1_000_000)).otherwise(F.col("line"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("pos", text.alias("t")))), lambda x: x["t"])
+    g = s.groupBy("query_id", "_g", "kind").agg(F.array_join(parts, " ").alias("text"))
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy("_g"))
+    return g.select("query_id", n.cast("long").alias("block_no"), "kind", "text")

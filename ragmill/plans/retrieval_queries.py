@@ -202,6 +202,12 @@ def compare_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "document_id", "position", "id", "rank", "ranked_score")
 
 
+def compare_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    out = retrieval.compare_retrieve(c, asked(spark, sf_dir), chosen(spark, sf_dir))
+    return out.join(c.select("id", "document_name", "content"), "id")
+
+
 @query("scope_rows", f"WITH {HYBRID_SQL}, {CHOSEN_SQL}, {_SCORED.format(by='query_id')} SELECT query_id, id, rank, ranked_score FROM hy2 WHERE rank <= {K}")
 def scope_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = retrieval.scoped_retrieve(corpus(spark, sf_dir), asked(spark, sf_dir), chosen(spark, sf_dir).select("query_id", "document_id"))
