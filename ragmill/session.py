@@ -33,7 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/") if "://" in path or not path.startswith("/") else "file://" + path.rstrip("/")
+    if "://" not in path:  # a path without a scheme is in the cluster's default file system
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+        path = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+    return path.rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
