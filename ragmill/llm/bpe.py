@@ -66,9 +66,14 @@ class WordBpe:
         self.old: dict[str, tuple[int, str, str]] = {}
         self.long = regex.compile(rf"[^{_WS}]{{{RUN + 1},}}")
         self.space = regex.compile(rf"[{_WS}]")
+        self.wide = re.compile("[^\x00-\u024f]")
+        self.counts: dict[str, int] = {}
+        self.old_counts: dict[str, int] = {}
 
     def normalize(self, part: str) -> str:
-        return part.lower() if part.isascii() else self.tok.normalizer.normalize_str(part)
+        """The file's normaliser. Below U+0250 there are no combining marks and no letters whose lower case depends on
+        their neighbours, so composing changes nothing and str.lower() is the same."""
+        return part.lower() if part.isascii() or not self.wide.search(part) else self.tok.normalizer.normalize_str(part)
 
     def symbols(self, piece: str) -> str:
         return piece.encode("utf-8").decode("latin-1").translate(self.bytes)
@@ -112,10 +117,23 @@ class WordBpe:
             out += [(1, str(self.special[part]), part)] if special else self.pieces(part)
         return sum(p[0] for p in out), " ".join([p[1] for p in out]), " ".join([p[2] for p in out])
 
+    def count(self, piece: str) -> int:
+        """Number of tokens of a pre-token."""
+        if (n := self.old_counts.get(piece)) is None:
+            n = self.piece(piece)[0] if len(piece) > RUN else len(self.tok.model.tokenize(self.symbols(piece)))
+        if len(self.counts) >= 2 * CACHE:
+            self.old_counts, self.counts = self.counts, {}
+        self.counts[piece] = n
+        return n
+
     def length(self, text: str) -> int:
-        n = 0
+        n, count = 0, self.count
         for part, special in self.parts(text):
-            n += 1 if special else sum([p[0] for p in self.pieces(part)])
+            if special:
+                n += 1
+            else:
+                get = self.counts.get
+                n += sum([get(p) or count(p) for p in self.pattern.findall(part)])
         return n
 
     def join(self, left: list[str], right: list[str], closed: bool) -> list[str]:
