@@ -18,8 +18,9 @@ DENSE, SPARSE, BOOST, MULTIPLE, TOP = 0.6, 0.4, 0.2, 20, 8
 def bm25_index(chunks: DataFrame) -> dict[str, DataFrame]:
     """postings (group, term, id, tf), terms (group, term, idf) and sizes (group, n, avgdl) per group; chunks: group, id, content."""
     toks = chunks.select("group", "id", bm25_tokens(F.col("content")).alias("t"))
-    postings = toks.select("group", "id", F.explode("t").alias("term")).groupBy("group", "term", "id").agg(F.count("*").alias("tf"))
-    lengths = toks.select("group", "id", F.size("t").alias("len"))
+    # read several times below and by every search
+    postings = written(toks.select("group", "id", F.explode("t").alias("term")).groupBy("group", "term", "id").agg(F.count("*").alias("tf")), "bm25-postings")
+    lengths = written(toks.select("group", "id", F.size("t").alias("len")), "bm25-lengths")
     sizes = lengths.groupBy("group").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
     df = postings.groupBy("group", "term").agg(F.count("*").alias("df")).join(sizes, "group")
     raw = df.select("group", "term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
