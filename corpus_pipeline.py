@@ -63,7 +63,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts in which a window of a benchmark item occurs."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.contamination(docs, items, keep=COLUMNS).where(~F.col("contaminated")).select(*COLUMNS)
+    found = decontam.contamination(docs.withColumn("_k", _key()), items, keep=["_k"])
+    # written before it is filtered: a filter moved below the matching would split the text again for each candidate
+    found = materialize(found.select("_k", "contaminated"), "pipeline-contaminated")
+    return _without(docs, found.where(F.col("contaminated")), _key())
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
