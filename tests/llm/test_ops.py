@@ -196,6 +196,47 @@ def test_suffix_tree_is_a_distribution():
     assert (deep >= tree.first[suffix_tree.DEPTH]).all()
 
 
+def test_suffix_tree_keeps_rare_states(spark):
+    """A clear divergence is kept at any size of the rest: 3 of 4,000,000 symbols."""
+    s = suffix_tree.SYMBOLS
+    rare = sum(c * s**i for i, c in enumerate([5, 4, 3, 2, 1, 1]))
+    usual = rare + 1  # the same context, but for its furthest symbol: another next symbol
+    grams = spark.createDataFrame([(0, 2_000_000, 2_000_000), (1, 1_999_960, 1_999_960), (rare, 3, 3), (usual + s**suffix_tree.DEPTH, 37, 37)], "key long, n long, m long")
+    kept = suffix_tree.kept_contexts(suffix_tree.gram_levels(grams))
+    assert [(rare % s ** (d + 1)) // s in {r["ctx"] for r in c.collect()} for d, c in enumerate(kept, 1)] == [True] * suffix_tree.DEPTH
+
+
+def test_suffix_tree_tables_equal_the_tree(spark, monkeypatch):
+    """Joined scores are those of the model in memory, with most pairs outside the broadcast head and all byte values."""
+    monkeypatch.setattr(suffix_tree, "HEAD_SHARE", 0.02)
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choice(["ab", "Abra", "ça", "日本", "語ж", "дом", "x1", "Ω≈ç", "&%$", "q" + chr(rnd.randrange(33, 900))]) for _ in range(rnd.randrange(60))) for _ in range(80)] + [None]
+    lines = [b" ".join(suffix_tree.words_of(t)) for t in texts]
+    train = [x for i, x in enumerate(lines) if zlib.crc32(str(i).encode()) % 5 != 1]
+    by_byte = np.bincount(np.frombuffer(b"".join(train), dtype=np.uint8), minlength=256)
+    by_byte[32] += sum(x != b"" for x in train)  # lm_scores counts a space a word
+    classes = suffix_tree.byte_classes(by_byte.astype(float))
+    assert (classes >= suffix_tree.SYMBOLS).sum() > 100
+    s, depth = suffix_tree.SYMBOLS, suffix_tree.DEPTH
+    keys = suffix_tree.symbol_keys(train, classes)[0].tolist()
+    n = [Counter(k % s ** (d + 1) for k in keys) for d in range(depth + 1)]
+    t = [Counter(k % s ** (d + 1) // s for k in keys) for d in range(depth + 1)]
+    kept = {(0, 0)}
+    for d in range(1, depth + 1):
+        gain, size = Counter(), Counter(k // s for k in n[d])
+        for k, c in n[d].items():
+            gain[k // s] += c * math.log(c / t[d][k // s] / (n[d - 1][k % s**d] / t[d - 1][k % s**d // s]))
+        for c in size:
+            if t[d][c] >= 2 and gain[c] > size[c]:
+                kept |= {(e, c % s**e) for e in range(d + 1)}
+    rows = [(d, k // s, k % s, c) for d in range(depth + 1) for k, c in n[d].items() if (d, k // s) in kept]
+    tree = suffix_tree.SuffixTree(*(np.array(c) for c in zip(*rows, strict=True)))
+    tree.prepare()
+    want = tree.score(lines, classes)
+    for r in suffix_tree.lm_scores(docs_of(spark, texts)).collect():
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-3, r
+
+
 def reference_encoding(t):
     from tokenizers import Tokenizer
 
