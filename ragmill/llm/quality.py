@@ -6,8 +6,10 @@ under the present estimate, the threshold that holds the nearest share of rows (
 so no group is sorted in one task), then mean and covariance of those rows from integer sums, which do not depend on
 the order of rows. The start with the smaller determinant gives the estimate; texts beyond the chi-square cutoff go.
 
-A short text's rates vary more, so its squared distance counts by n / (n + SHORT). FLOOR is added to each standard
-deviation, so that a statistic that is almost constant in a group (symbols in clean prose) rejects no small deviation.
+A short text's rates vary more, so a text is judged under the group's covariance plus the sampling variance of its own
+rates (NOISE): counts are Poisson, so that their square roots have 1 / (4 n); repeats come as two copies of a line; the
+mean word length has the words' spread over n. FLOOR is only what rounding to thousandths needs.
+
 Groups of fewer than MIN_GROUP rows are pooled by language, then with all other such rows; a pool with fewer than
 2 * (dimension + 1) rows rejects nothing.
 
@@ -23,15 +25,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragmill.llm.common import materialize
-from ragmill.llm.text_stats import text_stats
+from ragmill.llm.text_stats import WINDOW, text_stats
 
 UNIT = 1_000
-FLOOR = (0.15, 0.10, 0.10, 0.10)  # of symbols, marks, repeats, log word length
-SHORT = 50
+FLOOR = (0.003, 0.003, 0.003, 0.003)  # of symbols, marks, repeats, log word length
+SPREAD = 0.3  # squared coefficient of variation of word lengths
+#: variance of the own rates of a text of _nw words, where a repeat has _unit words; m2 is the group's repeats in thousandths
+NOISE = ("0.25D / _nw", "0.25D / _nw", f"pow(_unit / _nw, 2) + _unit * greatest(m2, 0D) / {UNIT} / _nw", f"{SPREAD}D / _nw")
 MIN_GROUP = 200
 KEEP_SHARE = 0.75
 STEPS = 3
-TAIL = 1e-6
+TAIL = 1e-3
 DIM = len(FLOOR)
 PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
 
@@ -72,14 +76,26 @@ def _with_distance(rows: DataFrame, keep: list[str], name: str, wrap: str = "{}"
     return rows.selectExpr(*keep, *z, f"{wrap.format(f'({total})')} AS {name}").drop(*[f"z{i}" for i in range(DIM)])
 
 
-def _cholesky(est: DataFrame) -> DataFrame:
-    """Rows with n, m{i}, the factor l{i}{j} and the log determinant, from rows with m{i} and c{i}{j}."""
+def _factor() -> list[str]:
+    """The Cholesky factor l{i}{j} of c{i}{j} (later columns use the aliases of earlier ones)."""
     steps = []
     for i, j in PAIRS:
         s = " - ".join([f"c{i}{j}", *[f"l{i}{k} * l{j}{k}" for k in range(j)]])
         steps.append(f"sqrt(greatest({s}, 1e-9D)) AS l{i}{j}" if i == j else f"({s}) / l{j}{j} AS l{i}{j}")
+    return steps
+
+
+def _with_noise(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The factor of each text's own covariance: the group's (from its factor) and NOISE."""
+    cov = [" + ".join([f"l{i}{k} * l{j}{k}" for k in range(j + 1)] + ([f"{UNIT**2}D * ({NOISE[i]})"] if i == j else [])) + f" AS c{i}{j}" for i, j in PAIRS]
+    place = [f"{c}{i}" for c in "xm" for i in range(DIM)]
+    return rows.withColumn("_nw", F.greatest(F.col("n_words"), F.lit(1))).withColumn("_unit", F.expr(f"greatest({WINDOW}, 2 * _nw / greatest(n_lines, 1))")).selectExpr(*keep, *place, *cov).selectExpr(*keep, *place, *_factor())
+
+
+def _cholesky(est: DataFrame) -> DataFrame:
+    """Rows with n, m{i}, the factor l{i}{j} and the log determinant, from rows with m{i} and c{i}{j}."""
     det = " + ".join(f"ln(l{i}{i})" for i in range(DIM))
-    return est.selectExpr("_g", "start", "n", *[f"m{i}" for i in range(DIM)], *steps, f"{det} AS logdet")
+    return est.selectExpr("_g", "start", "n", *[f"m{i}" for i in range(DIM)], *_factor(), f"{det} AS logdet")
 
 
 def _moments(rows: DataFrame, factor: float) -> DataFrame:
@@ -129,17 +145,17 @@ def mcd_estimates(rows: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, keep: list[str] | None = None, lang: str = "lang", source: str = "source", text_col: str = "text", keys: dict[str, Column] | None = None) -> DataFrame:
     """Statistics and verdict of each text: keep columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, distance (squared, shrunk for short texts; null where the base rule failed) and kept."""
+    base_failed, distance (squared; null where the base rule failed) and kept."""
     keep = ["doc_id"] if keep is None else keep
     src = docs.select(*[F.col(c).alias(f"_k_{c}") for c in keep], *[v.alias(f"_x_{k}") for k, v in (keys or {}).items()], F.col(lang).alias("_lang"), F.col(source).alias("_source"), F.col(text_col).alias("_text"))
     cols = [c for c in src.columns if c != "_text"]
     stats = text_stats(src, cols, "_text")
-    stats = materialize(stats.select(*cols, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), *[v.alias(f"x{i}") for i, v in enumerate(vector())]), "quality-stats")
+    stats = materialize(stats.select(*cols, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", base_failed().alias("base_failed"), *[v.alias(f"x{i}") for i, v in enumerate(vector())]), "quality-stats")
     rows = _with_groups(stats, "_lang", "_source")
     est = mcd_estimates(rows.where(~F.col("base_failed")))
     judged = rows.join(est.withColumnRenamed("n", "_n").drop("start", "logdet"), "_g", "left")
     shown = [c for c in rows.columns if c != "_g" and c not in {f"x{i}" for i in range(DIM)}]
-    rule = f"CASE WHEN NOT base_failed AND _n >= {2 * (DIM + 1)} THEN {{}} * n_words / (n_words + {SHORT}) END"
-    judged = _with_distance(judged, shown, "distance", rule)
+    rule = f"CASE WHEN NOT base_failed AND _n >= {2 * (DIM + 1)} THEN {{}} END"
+    judged = _with_distance(_with_noise(judged, [*shown, "_n"]), shown, "distance", rule)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
     return judged.select(*[F.col(f"_k_{c}").alias(c) for c in keep], *[F.col(f"_x_{k}").alias(k) for k in keys or {}], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))

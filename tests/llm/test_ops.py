@@ -95,6 +95,16 @@ def test_quality_keeps_clean_and_drops_odd(spark):
     assert all(got[i] for i in range(400) if not base_stats(texts[i])[5]) and not any(got[i] for i in range(400, 420))
 
 
+def test_quality_drops_sparse_junk(spark):
+    """Half a symbol a word, or a fifth in a long text, stands out from clean prose of every length."""
+    rnd = random.Random(2)
+    word = lambda: rnd.choice(["words", "make", "plain", "prose", "of", "many", "kinds", "here"]) + rnd.choice("abcdefghijklmnopqrstuvwxyz") * rnd.randrange(3)
+    prose = lambda n, share=0.0: " ".join(word() + ("#" if rnd.random() < share else "") for _ in range(n)) + "."
+    texts = [prose(rnd.randrange(12, 400)) for _ in range(400)] + [prose(60, 0.5) for _ in range(15)] + [prose(300, 0.2) for _ in range(15)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs_of(spark, texts)).collect()}
+    assert all(got[i] for i in range(400) if not base_stats(texts[i])[5]) and not any(got[i] for i in range(400, 430))
+
+
 def test_quotes(spark):
     rows = [(1, 0, "a", "Hello there\nfirst line\n\nSecond para"), (1, 1, "b", "> hello   There\n> first line\nI agree"), (1, 2, "c", "unrelated"), (1, 3, "a", ">> hello there\n>> first line\n> I agree\nthanks"),
             (1, 5, "d", "> second PARA\r\nyes"), (2, 0, "a", None), (None, None, None, "> x"), (2, 1, "z", "> I agree\nother"), (2, 1, "z", "> I agree\nother")]
