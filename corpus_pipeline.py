@@ -1,8 +1,10 @@
 """Corpus pipeline: quality rules, quality classifier, n-gram Jaccard join, benchmark decontamination, BPE round trip.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns the columns of
-`documents`; the last returns the encoding of each text that is left. Rows are told apart by a digest of all their
-columns, so repeated ids, nulls and copies are safe; extra columns are dropped by the first stage."""
+`documents`; the last returns the encoding of each text that is left. Quality rules, classifier and decontamination
+decide in the text's own row, so no text is shuffled for them. Repeated ids, nulls and copies are safe: rows are told
+apart by a digest of all their columns, and rows equal in all columns have the same verdict. Extra columns are dropped
+by the first stage."""
 
 from __future__ import annotations
 
@@ -12,66 +14,52 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragmill.llm import bpe, decontam, jaccard, pu, quality
-from ragmill.llm.common import fresh_path, materialize, tokenizer_path
+from ragmill.llm.common import fresh_path, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None  # robust estimates, a trained classifier and BPE are beyond SQL
 
 
-def _key() -> Column:
-    """Digest of id and text; rows that share it get the same verdict from a rule that sees only these."""
-    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit("")))))
-
-
-def _without(docs: DataFrame, rejected: DataFrame, key: Column) -> DataFrame:
-    """docs less the rows whose key is among the rejected (column _k). The keys are written first, so that the planner
-    knows their size when it chooses the join."""
-    keys = materialize(rejected.select("_k").distinct(), "pipeline-rejected")
-    return docs.withColumn("_k", key).join(keys, "_k", "left_anti").select(*COLUMNS)
+def _row_digest() -> Column:
+    """Digest of all columns; rows that share it are equal."""
+    return F.unhex(F.md5(F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"})))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts that fail the base rules or are robust outliers of their language and source."""
-    docs = docs.select(*COLUMNS)
-    key = F.unhex(F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "lang", "source", "text")])))
-    verdict = quality.quality_rules(docs, keep=[], keys={"_k": key})
-    return _without(docs, verdict.where(~F.col("kept")), key)
+    return quality.quality_rules(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts that the positive-unlabelled classifier scores below its threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scores = pu.pu_scores(docs, labels, keep={"_k": _key()})
-    return _without(docs, scores.where(F.col("predicted") == 0), _key())
+    return pu.pu_scores(docs, labels, keep=COLUMNS).where(F.col("predicted") == 1).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each near-duplicate class the row of the least id (of rows with that id, one); texts without words stay."""
-    rows = jaccard.jaccard_join(docs, keep_text_key=True)
-    loser = ~F.col("doc_id").eqNullSafe(F.col("class_id"))
-    keys = materialize(rows.where(loser).select(F.struct("doc_id", "_tk").alias("_k")).select(F.to_json("_k", {"ignoreNullFields": "false"}).alias("_k")).distinct(), "pipeline-duplicates")
-    key = F.to_json(F.struct("doc_id", F.xxhash64("text").alias("_tk")), {"ignoreNullFields": "false"})
-    kept = docs.withColumn("_k", key).join(keys, "_k", "left_anti")
-    # repeated rows of one id and text: the least other columns
-    again = kept.groupBy("_k").agg(F.count("*").alias("n"), F.min(F.struct("lang", "source", "n_chars")).alias("m")).where(F.col("n") > 1)
-    again = materialize(again.select("_k", "m"), "pipeline-repeated")
-    single = kept.join(again, "_k", "left_anti").select(*COLUMNS)
-    repeated = kept.join(again, "_k").groupBy("_k", "m").agg(F.max("doc_id").alias("doc_id"), F.max("text").alias("text"))
-    return single.unionByName(repeated.select("doc_id", "text", "m.lang", "m.source", "m.n_chars"))
+    """Keep one row of each near-duplicate class: the least id (nulls last), of its rows that of the least digest, of
+    equal rows one. Texts without words stay. The decision is made on digests; texts are joined with it once."""
+    keyed = docs.withColumn("_r", _row_digest())
+    rows = materialize(jaccard.jaccard_join(keyed, row_key="_r").where(F.col("class_key").isNotNull()).select("doc_id", "_r", "class_key"), "pipeline-classes")
+    first = rows.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_r")).alias("f"))
+    first = materialize(first.select(F.col("f._r").alias("_r")), "pipeline-first")
+    counts = materialize(rows.groupBy("_r").agg(F.count("*").alias("n")).join(first.withColumn("_first", F.lit(True)), "_r", "left"), "pipeline-rows")
+    kept = keyed.join(counts.where(F.col("_first").isNull()).select("_r"), "_r", "left_anti")
+    again = materialize(counts.where(F.col("_first") & (F.col("n") > 1)).select("_r"), "pipeline-repeated")
+    if again.isEmpty():
+        return kept.select(*COLUMNS)
+    return kept.join(again, "_r", "left_anti").select(*COLUMNS).unionByName(kept.join(again, "_r", "left_semi").select(*COLUMNS).distinct())
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts in which a window of a benchmark item occurs."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontam.contamination(docs.withColumn("_k", _key()), items, keep=["_k"])
-    # written before it is filtered: a filter moved below the matching would split the text again for each candidate
-    found = materialize(found.select("_k", "contaminated"), "pipeline-contaminated")
-    return _without(docs, found.where(F.col("contaminated")), _key())
+    return decontam.contamination(docs, items, keep=COLUMNS).where(~F.col("contaminated")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode and decode what is left."""
-    return bpe.encode_decode(docs, tokenizer_path("word_bpe_49k.json"), digests=True)
+    return bpe.encode_decode(docs, "word_bpe_49k.json", digests=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

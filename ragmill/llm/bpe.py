@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragmill.llm.common import materialize, tokenizer_path
 from ragmill.session import ship
 
 LEAF = 16_384  # characters of a leaf; longer texts are spread over the cluster
@@ -46,11 +47,13 @@ def _byte_table() -> dict[int, str]:
 
 
 class WordBpe:
-    """One worker's encoder: the vocabulary's own normaliser and merges, with a cache by pre-token."""
+    """One worker's encoder: the vocabulary's own normaliser and merges, with a cache by pre-token. The file is looked up
+    where the worker runs."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, models
 
+        path = tokenizer_path(path)
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -292,7 +295,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     kind = dict(base.dtypes)["_id"]
     out = f"_id {kind}, n_tokens long, ids string, decoded string"
     short = base.where(F.length("_text") <= leaf).mapInArrow(_short(path, not digests), out)
-    long = base.where(F.length("_text") > leaf).withColumn("_rid", F.monotonically_increasing_id())
+    # written, so that a task that runs again gives its texts the same numbers
+    long = materialize(base.where(F.length("_text") > leaf).withColumn("_rid", F.monotonically_increasing_id()), "bpe-long")
     leaves = long.mapInArrow(_cut(path, leaf), f"_rid long, _id {kind}, seq int, kind string, payload string").repartition("_rid", "seq")
     encoded = leaves.mapInArrow(_leaf(path), f"_rid long, _id {kind}, seq int, kind string, n long, ids string, toks string")
     # the leaves of one text only: bounded by the text

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,7 +54,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return written(df, label)
 
 
+GROUPS = 10_000
+SALTS = 64
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join written rows with a written table of a few rows for each group. Groups of up to GROUPS rows in all (a few
+    hundred bytes each) are broadcast; beyond that each group's rows are dealt over SALTS keys, so no hot group meets in
+    one task."""
+    if groups.count() <= GROUPS:
+        return rows.join(F.broadcast(groups), on, how)
+    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *rows.columns), F.lit(SALTS)).cast("int")  # the same if a task runs again
+    return rows.withColumn("_salt", salt).join(salted, [*on, "_salt"], how).drop("_salt")
+
+
 def tokenizer_path(name: str) -> str:
-    """Path of a public vocabulary file; RAGMILL_TOKENIZERS overrides the folder."""
-    folder = os.environ.get("RAGMILL_TOKENIZERS", "/opt/tokenizers")
-    return os.path.join(folder, name)
+    """Path of a public vocabulary file on this machine: a name is asked of the installed package, a path stays."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))

@@ -6,7 +6,8 @@ Each of several independent runs splits all sets recursively: a node picks one o
 (1 + EXTRA on average) and sends each set to the child named by the set's value there. Nodes of one set end; nodes of at
 most LIMIT sets are compared by brute force; larger ones split on, and those that are still large at DEPTH are compared
 in blocks of about LIMIT sets (fewer if they are long), a group for each pair of blocks. The number of runs follows from the
-target recall of a pair of exactly the least similarity (by the recurrence of the splitting process).
+target recall of a pair of exactly the least similarity (by the recurrence of the splitting process, averaged over the
+number of equal positions, which all runs share).
 
 Comparison inside a bucket has two passes. The first reads MinHash bytes and set sizes only and names the members with
 a likely partner; a pair counts in the least of its common buckets alone, so that no pair has to be sent anywhere to be
@@ -41,7 +42,7 @@ EXTRA = 0.25
 DEPTH = 3
 LIMIT = 1_024  # sets of a bucket or block
 WEIGHT = 2_000_000  # shingles of a block
-RECALL = 0.9999
+RECALL = 0.9995
 SLACK = 0.22  # below the threshold, over four standard deviations of the estimate
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -59,8 +60,22 @@ def recall_of_run(similarity: float, depth: int, extra: float = EXTRA) -> float:
     return r
 
 
+def missed(similarity: float, runs: int, depth: int = DEPTH) -> float:
+    """Probability that no run keeps a pair together down to a depth, or that the estimate refuses it. All runs share
+    the T positions: the pair agrees in k of them (binomial), and given k the runs are independent."""
+    need = int((THRESHOLD - SLACK) * T)
+    out = 0.0
+    for k in range(T + 1):
+        weight = math.comb(T, k) * similarity**k * (1 - similarity) ** (T - k)
+        out += weight * (1.0 if k < need else (1 - recall_of_run(k / T, depth)) ** runs)
+    return out
+
+
 def runs_for(recall: float, similarity: float = THRESHOLD, depth: int = DEPTH) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - recall_of_run(similarity, depth)))
+    runs = 1
+    while missed(similarity, runs, depth) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -106,6 +121,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sh = Shingler()
     for b in batches:
         keys, sizes, sigs = [], [], []
+        rest = [c for c in b.schema.names if c != "_text"]
         for text in b.column("_text").to_pylist():
             words = sh.words(text or "")
             if not words:
@@ -117,7 +133,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
             sizes.append(len(s))
             sigs.append(sh.minhash(s).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_tk"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], names=["_id", "_tk", "key", "n", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], names=[*rest, "key", "n", "sig"])
 
 
 def _h(*parts: int) -> int:
@@ -301,13 +317,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, keep_text_key: bool = False) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, row_key: str | None = None) -> DataFrame:
     """One row per input row: id, class_id (least id of its near-duplicate component), copy_id (least id of the texts of
-    the same words) and n_links (other rows with a similarity of at least the threshold)."""
+    the same words) and n_links (other rows with a similarity of at least the threshold). row_key names a narrow column
+    to carry along; then class_key, which is the same in all rows of a class and null for texts without words, comes too."""
     ship(docs.sparkSession)
-    src = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_tk"), F.col(text_col).alias("_text"))
-    kind = dict(src.dtypes)["_id"]
-    rows = materialize(src.mapInArrow(_profile, f"_id {kind}, _tk long, key binary, n int, sig binary"), "jaccard-profiles")
+    src = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_tk"), *([F.col(row_key).alias("_rk")] if row_key else []), F.col(text_col).alias("_text"))
+    carried = ", ".join(f"{c} {k}" for c, k in src.dtypes if c != "_text")
+    rows = materialize(src.mapInArrow(_profile, f"{carried}, key binary, n int, sig binary"), "jaccard-profiles")
     known = rows.where(F.col("key").isNotNull())
     reps = materialize(known.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("_id").isNull(), "_id", "_tk")).alias("f"), F.max("n").alias("n"), F.max("sig").alias("sig")).select("key", "copies", F.col("f._id").alias("copy_id"), F.col("f._tk").alias("_tk"), "n", "sig"), "jaccard-reps")
     runs = runs_for(recall, threshold)
@@ -333,10 +350,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = linked.where(F.col("other").isNull()).groupBy("key").agg(F.sum("links").alias("links"))
     labels = components(linked.where(F.col("other").isNotNull()))
     ids = labels.join(reps.select("key", "copy_id"), "key")
-    classes = ids.join(ids.groupBy("label").agg(F.min("copy_id").alias("class_id")), "label").select("key", "class_id")
+    classes = ids.join(ids.groupBy("label").agg(F.min("copy_id").alias("class_id")), "label").select("key", "label", "class_id")
     per_rep = reps.select("key", "copies", "copy_id").join(links, "key", "left").join(classes, "key", "left")
-    per_rep = per_rep.select("key", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = rows.select("_id", "_tk", "key").join(per_rep, "key", "left")
+    per_rep = per_rep.select("key", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("label", "key").alias("class_key"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    # written, so that the join with the rows is between two exchanges and a hot text's rows can be dealt over tasks
+    per_rep = materialize(per_rep, "jaccard-classes")
+    out = rows.select("_id", *(["_rk"] if row_key else []), "key").join(per_rep, "key", "left")
     alone = F.col("key").isNull()
     cols = [F.col("_id").alias(id_col), F.when(alone, F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("_id")).otherwise(F.col("copy_id")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
-    return out.select(*cols, *(["_tk"] if keep_text_key else []))
+    return out.select(*cols, *([F.col("_rk").alias(row_key), "class_key"] if row_key else []))

@@ -1,10 +1,12 @@
 """Robust quality rules: minimum-covariance-determinant (MCD) estimates per language and source.
 
 Each text's statistics become a vector of integers (square roots and logarithms of rates, in thousandths). For each
-group two deterministic starts (all rows; medians and quartile widths) are refined by concentration steps: distances
-under the present estimate, the threshold that holds the nearest share of rows (from an exact histogram of distances,
-so no group is sorted in one task), then mean and covariance of those rows from integer sums, which do not depend on
-the order of rows. The start with the smaller determinant gives the estimate; texts beyond the chi-square cutoff go.
+group three deterministic starts (all rows; medians and quartile widths; the rows near the medians in every statistic)
+are refined by concentration steps: distances under the present estimate, the threshold that holds the nearest share of
+rows (from an exact histogram of distances, so no group is sorted in one task), then mean and covariance of those rows
+from integer sums, which do not depend on the order of rows. Steps end when no determinant falls any more (MAX_STEPS at
+most). The start with the least determinant gives the estimate; texts beyond the chi-square cutoff go. Estimates are a
+few rows a group and come to the rows by broadcast, or by salted keys if there are very many groups.
 
 A short text's rates vary more, so a text is judged under the group's covariance plus the sampling variance of its own
 rates (NOISE): counts are Poisson, so that their square roots have 1 / (4 n); repeats come as two copies of a line; the
@@ -24,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragmill.llm.common import materialize
+from ragmill.llm.common import join_groups, materialize
 from ragmill.llm.text_stats import WINDOW, text_stats
 
 UNIT = 1_000
@@ -34,7 +36,9 @@ SPREAD = 0.3  # squared coefficient of variation of word lengths
 NOISE = ("0.25D / _nw", "0.25D / _nw", f"pow(_unit / _nw, 2) + _unit * greatest(m2, 0D) / {UNIT} / _nw", f"{SPREAD}D / _nw")
 MIN_GROUP = 200
 KEEP_SHARE = 0.75
-STEPS = 3
+MAX_STEPS = 12
+SETTLED = 1e-3  # of the log determinant
+CENTRAL = 1.5  # robust standard deviations from the median, in every statistic
 TAIL = 1e-3
 DIM = len(FLOOR)
 PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
@@ -123,39 +127,54 @@ def _with_groups(rows: DataFrame, lang: str, source: str) -> DataFrame:
     groups = groups.join(small.withColumnRenamed("k", "in_pool"), "_pool", "left")
     name = F.when(F.col("k") >= MIN_GROUP, F.col("_key")).when(F.col("in_pool") >= MIN_GROUP, F.col("_pool")).otherwise(F.lit("*"))
     named = materialize(groups.select("_key", name.alias("_g")), "quality-groups")
-    return rows.withColumn("_key", key).join(named, "_key", "left").drop("_key")
+    return join_groups(rows.withColumn("_key", key), named, ["_key"]).drop("_key")
+
+
+def _central(rows: DataFrame, medians: DataFrame) -> DataFrame:
+    """The moments of the rows near their group's medians (start 2)."""
+    near = " AND ".join(f"abs(x{i} - m{i}) <= {CENTRAL} * l{i}{i}" for i in range(DIM))
+    return _moments(join_groups(rows, medians, ["_g"], "inner").where(near).withColumn("start", F.lit(2)), 1.0)
 
 
 def mcd_estimates(rows: DataFrame) -> DataFrame:
-    """MCD estimate of each group _g of integer vectors x0.. ; a row a group."""
+    """MCD estimate of each group _g of integer vectors x0.. ; a row a group. rows must be a written table."""
     both = rows.select("_g", *[f"x{i}" for i in range(DIM)])
-    est = _moments(both.withColumn("start", F.lit(0)), 1.0).unionByName(_median_start(both))
-    est = materialize(est, "mcd-start")
-    for step in range(STEPS):
-        far = _with_distance(both.join(est, "_g"), ["_g", "start", *[f"x{i}" for i in range(DIM)]], "bin", "floor(log1p({}) * 64)")
+    medians = materialize(_median_start(both), "mcd-medians")
+    starts = _moments(both.withColumn("start", F.lit(0)), 1.0).unionByName(medians).unionByName(_central(both, medians.drop("start", "n")))
+    est = materialize(starts, "mcd-start")
+    for step in range(MAX_STEPS):
+        far = _with_distance(join_groups(both, est, ["_g"], "inner"), ["_g", "start", *[f"x{i}" for i in range(DIM)]], "bin", "floor(log1p({}) * 64)")
         bins = far.groupBy("_g", "start", "bin").agg(F.count("*").alias("k"))
         w = Window.partitionBy("_g", "start")  # a few hundred bins a group
         cum = bins.select("_g", "start", "bin", F.sum("k").over(w.orderBy("bin")).alias("c"), F.sum("k").over(w).alias("t"))
-        cut = cum.where(F.col("c") >= F.col("t") * KEEP_SHARE).groupBy("_g", "start").agg(F.min("bin").alias("cut"))
-        near = far.join(cut, ["_g", "start"]).where(F.col("bin") <= F.col("cut"))
-        est = materialize(_moments(near, CONSISTENCY), f"mcd-{step}")
+        cut = materialize(cum.where(F.col("c") >= F.col("t") * KEEP_SHARE).groupBy("_g", "start").agg(F.min("bin").alias("cut")), "mcd-cut")
+        held = est.join(cut, ["_g", "start"])  # both a few rows a group
+        near = _with_distance(join_groups(both, materialize(held, "mcd-held"), ["_g"], "inner"), ["_g", "start", "cut", *[f"x{i}" for i in range(DIM)]], "bin", "floor(log1p({}) * 64)")
+        new = materialize(_moments(near.where(F.col("bin") <= F.col("cut")), CONSISTENCY), f"mcd-{step}")
+        was = est.select("_g", "start", F.col("logdet").alias("was"))
+        settled = step > 0 and new.join(was, ["_g", "start"]).where(F.col("logdet") < F.col("was") - SETTLED).isEmpty()
+        est = new
+        if settled:
+            break
     best = est.groupBy("_g").agg(F.min_by(F.struct(*est.columns), F.struct("logdet", "start")).alias("e"))
     return materialize(best.select("e.*"), "mcd")
 
 
-def quality_rules(docs: DataFrame, keep: list[str] | None = None, lang: str = "lang", source: str = "source", text_col: str = "text", keys: dict[str, Column] | None = None) -> DataFrame:
-    """Statistics and verdict of each text: keep columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, distance (squared; null where the base rule failed) and kept."""
+def quality_rules(docs: DataFrame, keep: list[str] | None = None, lang: str = "lang", source: str = "source", text_col: str = "text") -> DataFrame:
+    """Statistics and verdict of each text: keep columns (which may have the text itself), n_words, word_chars, n_symbols,
+    n_dup_lines, n_repeat_words, base_failed, distance (squared; null where the base rule failed) and kept. What is kept
+    is written once with the statistics and judged in its own row; no text is shuffled."""
     keep = ["doc_id"] if keep is None else keep
-    src = docs.select(*[F.col(c).alias(f"_k_{c}") for c in keep], *[v.alias(f"_x_{k}") for k, v in (keys or {}).items()], F.col(lang).alias("_lang"), F.col(source).alias("_source"), F.col(text_col).alias("_text"))
+    src = docs.select(*[F.col(c).alias(f"_k_{c}") for c in keep], F.col(lang).alias("_lang"), F.col(source).alias("_source"), F.col(text_col).alias("_text"))
     cols = [c for c in src.columns if c != "_text"]
     stats = text_stats(src, cols, "_text")
     stats = materialize(stats.select(*cols, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", base_failed().alias("base_failed"), *[v.alias(f"x{i}") for i, v in enumerate(vector())]), "quality-stats")
     rows = _with_groups(stats, "_lang", "_source")
-    est = mcd_estimates(rows.where(~F.col("base_failed")))
-    judged = rows.join(est.withColumnRenamed("n", "_n").drop("start", "logdet"), "_g", "left")
+    narrow = rows.where(~F.col("base_failed")).select("_g", *[f"x{i}" for i in range(DIM)])
+    est = mcd_estimates(materialize(narrow, "quality-vectors"))
+    judged = join_groups(rows, est.withColumnRenamed("n", "_n").drop("start", "logdet"), ["_g"])
     shown = [c for c in rows.columns if c != "_g" and c not in {f"x{i}" for i in range(DIM)}]
     rule = f"CASE WHEN NOT base_failed AND _n >= {2 * (DIM + 1)} THEN {{}} END"
     judged = _with_distance(_with_noise(judged, [*shown, "_n"]), shown, "distance", rule)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
-    return judged.select(*[F.col(f"_k_{c}").alias(c) for c in keep], *[F.col(f"_x_{k}").alias(k) for k in keys or {}], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
+    return judged.select(*[F.col(f"_k_{c}").alias(c) for c in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragmill.llm import bpe, decontam, jaccard, licenses, pu, quality, quotes, suffix_tree, token_counts, warc
-from ragmill.llm.common import tokenizer_path
+from ragmill.llm.common import materialize
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -35,7 +35,7 @@ def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(_t(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), digests=True)
+    return bpe.encode_decode(_t(spark, sf_dir, "documents"), WORD_BPE, digests=True)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,9 @@ def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lengths = bpe.encoded_lengths(_t(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
-    return token_counts.with_suffix_sums(token_counts.length_histogram(lengths))
+    lengths = bpe.encoded_lengths(_t(spark, sf_dir, "documents"), WORD_BPE)
+    hist = materialize(token_counts.length_histogram(lengths), "length-histogram")  # else each reader encodes again
+    return token_counts.with_suffix_sums(hist)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -81,14 +82,20 @@ ORACLES: dict[str, str] = {
         bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + 9], ' ') AS t
                FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0) AS q),
         ns AS (SELECT DISTINCT n FROM bw),
+        tok AS (SELECT r, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+        df AS (SELECT t, count(*) AS c FROM tok GROUP BY t),
+        bt AS (SELECT item_id, g, words, unnest(words) AS t, unnest(range(len(words))) AS o FROM (SELECT item_id, t AS g, string_split(t, ' ') AS words FROM bw) AS q),
+        anchor AS (SELECT item_id, words, arg_min(bt.t, {'c': coalesce(c, 0), 'o': o}) AS t FROM bt LEFT JOIN df ON bt.t = df.t GROUP BY item_id, words),
+        near AS (SELECT r, count(DISTINCT item_id) AS n_near FROM (
+                 SELECT tok.r, item_id FROM anchor JOIN tok ON tok.t = anchor.t JOIN d ON d.r = tok.r WHERE list_has_all(d.w[greatest(p - 20, 1):p + 20], words)) AS q GROUP BY r),
         dw AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS t
                FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns WHERE len(w) >= n) AS q),
         m AS (SELECT r, i, dw.n AS n, item_id FROM dw JOIN bw ON dw.t = bw.t AND dw.n = bw.n),
         h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM m) AS q GROUP BY r),
         s AS (SELECT r, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS k FROM m) AS q GROUP BY r)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN s ON d.r = s.r""",
+               coalesce(n_near, 0) AS n_near, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN s ON d.r = s.r LEFT JOIN near ON d.r = near.r""",
     "op8_warc_round_trip": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),

@@ -19,7 +19,7 @@ def length_histogram(lengths: DataFrame, length_col: str = "length") -> DataFram
 def with_suffix_sums(hist: DataFrame) -> DataFrame:
     """For each length L as a context limit: documents and tokens of at least L, tokens kept if texts are cut at L,
     documents cut, documents of at most L and their share. Sums run within blocks of lengths, then over blocks, so no
-    task holds all lengths."""
+    task holds all lengths. The histogram is read several times, so pass a written one."""
     blocks = hist.withColumn("block", F.floor(F.col("length") / BLOCK))
     totals = blocks.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("n_tokens").alias("bt"))
     after = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row per 1024 lengths
