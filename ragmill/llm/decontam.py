@@ -91,9 +91,10 @@ def positional_index(docs: DataFrame, terms: DataFrame, text_col: str = "text",
     b = f"(get(_h, i) & {bits - 1}L)"
     set_bit = f"shiftright(get(_bits, int({b} div 64)), int({b} % 64)) & 1L = 1L"
     h = h.withColumn("_bits", F.split(F.lit(table), ",").cast("array<bigint>"))
-    h = h.selectExpr("_k", "_h", f"CASE WHEN size(_h) > 0 THEN filter(sequence(0, size(_h) - 1), i -> {set_bit}) END AS _p").where(F.size("_p") > 0)
+    h = h.selectExpr("_k", "_h", f"CASE WHEN size(_h) > 0 THEN filter(sequence(0, size(_h) - 1), i -> {set_bit}) END AS _p")
     posting = f"transform(_p, p -> named_struct('term', get(_h, p), 'pos', p, 'near', slice(_h, greatest(p - {slop}, 0) + 1, least(p, {slop}) + 1 + {slop}), 'left', least(p, {slop})))"
-    found = h.selectExpr("_k", "_h", f"{posting} AS _c").select("_k", F.explode("_c").alias("c")).select("_k", "c.*")
+    # outer, as the planner would move the test for empty arrays below _h and make that again for each word
+    found = h.selectExpr("_k", f"{posting} AS _c").select("_k", F.explode_outer("_c").alias("c")).select("_k", "c.*")
     return found.join(_bounded(terms, TERMS), "term", "left_semi")
 
 

@@ -1,19 +1,22 @@
 """Quotation linking: conversations in reply order, without the quoted text.
 
-Each message's lines are split into quote level (the number of leading '>') and content. Neighbouring quoted lines of
-one level form a passage; passages and the messages' own paragraphs (runs of own lines, and each own line) are hashed
-after lower-casing and collapsing white space. A passage is linked to the first earlier message of its conversation that
-has it as own text; the message's parent is the link of its outermost (least-level) first linked passage. Messages
-without a link continue the conversation at its top level.
-
-The order of replies is a path of (turn, text hash) keys from the top-level ancestor down to the message, made by pointer
-doubling; sorting by it puts each message after its parent and before the parent's next sibling. All steps are joins and
+Each message's lines are split into quote level (the number of leading '>') and content; a line such as "On Monday, A
+wrote:" before a quote is an attribution and belongs to neither side. Neighbouring quoted lines of one level form a
+passage. Passages and the messages' own text (paragraphs, lines and sentences) are hashed after lower-casing and
+collapsing white space; a passage is linked to the first earlier message of its conversation that has it as own text.
+Passages left over (cut, re-wrapped or edited quotes) are matched by their runs of SHINGLE words: each run votes for the
+first message that has it among its own words, and the message with the most votes (of equal ones the first) is the
+original if it has half of the passage's runs or more. The message's parent is the link of its outermost (least-level)
+first linked passage. Messages without a link continue the conversation at its top level.
+
+The order of replies is (top-level ancestor, depth, message), so that each thread stands together and each message after
+its parent; ancestor and depth come from pointer doubling, which keeps two values a message. All steps are joins and
 aggregates on (conversation, hash) or (conversation, message); originals are reduced to one row per hash first, so
 common passages make no pairs and no conversation is gathered in one task.
 
 Defined cases: a null text is empty and links nothing; a null conversation id is a conversation of its own; a null turn
 sorts first; rows with the same conversation and turn are told apart by their text, and full copies share one key (each
-stays a row); an empty table gives no rows.
+stays a row); a passage of fewer than SHINGLE words is linked only by its hash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,88 +24,108 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragmill.llm.common import materialize
+from ragmill.llm.common import alnum_split, materialize
 
+SHINGLE = 5
 _MARK = r"^[ \t]*((?:>[ \t]?)+)"
+#: How an attribution line ends.
+_WROTE = r"(?:^|[ \t])(?:wrote|writes|said)[ \t]*:[ \t\r]*$"
 
 
 def _norm(x: str) -> str:
-    return f"trim(regexp_replace(lower({x}), '[ \\\\t\\\\r\\\\f]+', ' '))"
+    return f"trim(regexp_replace(lower({x}), '[ \\\\t\\\\r\\\\f\\\\n]+', ' '))"
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
     """conv, m (message key), turn, role, body (own text), depth (deepest quote level), passages (array of level, nth,
-    hash of each quoted passage) and own (hashes of own paragraphs and lines)."""
+    hash and distinct word runs of each quoted passage) and own (hashes of own paragraphs, lines and sentences)."""
     base = messages.select(
         F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv"),
         "conv_id", "turn", "role",
         F.coalesce("text", F.lit("")).alias("_t"),
     )
     m = F.format_string("%020d-%016x", F.coalesce(F.col("turn").cast("long"), F.lit(-1)) + F.lit(2**62), F.xxhash64("_t", F.coalesce("role", F.lit(""))))
+    k = ["conv", "conv_id", "turn", "role", "m"]
     base = base.withColumn("m", m).withColumn("_l", F.split("_t", "\n", -1))
     level = f"length(regexp_replace(regexp_extract(x, r'{_MARK}', 1), '[^>]', ''))"
-    lines = f"transform(_l, x -> named_struct('lv', {level}, 'c', regexp_replace(x, r'{_MARK}', '')))"
-    base = base.selectExpr("conv", "conv_id", "turn", "role", "m", f"{lines} AS _x")
-    start = "cast(named_struct('lv', -1, 'out', array()) AS struct<lv:int,out:array<struct<lv:int,t:string>>>)"
-    # neighbouring lines of one level join; a blank own line ends a paragraph
-    last = "named_struct('lv', x.lv, 't', concat(a.out[size(a.out) - 1].t, '\\n', x.c))"
-    step = (
-        f"(a, x) -> cast(CASE WHEN trim(x.c) = '' THEN named_struct('lv', -1, 'out', a.out) "
-        f"WHEN x.lv = a.lv THEN named_struct('lv', x.lv, 'out', concat(slice(a.out, 1, size(a.out) - 1), array({last}))) "
-        f"ELSE named_struct('lv', x.lv, 'out', array_append(a.out, named_struct('lv', x.lv, 't', x.c))) END AS struct<lv:int,out:array<struct<lv:int,t:string>>>)"
-    )
-    base = base.selectExpr("conv", "conv_id", "turn", "role", "m", "_x", f"aggregate(_x, {start}, {step}, a -> a.out) AS _p")
-    flat = "replace(replace({}, '\\r', ' '), '\\n', ' ')"
-    digest = lambda x: f"md5({_norm(flat.format(x))})"
-    quoted = "filter(_p, p -> p.lv > 0)"
-    own = f"array_distinct(concat(transform(filter(_p, p -> p.lv = 0), p -> {digest('p.t')}), transform(filter(_x, x -> x.lv = 0 AND trim(x.c) <> ''), x -> {digest('x.c')})))"
+    base = base.selectExpr(*k, f"transform(_l, x -> named_struct('lv', {level}, 'c', regexp_replace(x, r'{_MARK}', ''))) AS _x")
+    # an attribution stands right before a quote, or with one blank line between
+    quote_next = "coalesce(get(_x, i + 1).lv > 0 OR (trim(get(_x, i + 1).c) = '' AND get(_x, i + 2).lv > 0), false)"
+    base = base.selectExpr(*k, f"transform(_x, (x, i) -> CASE WHEN x.lv = 0 AND lower(x.c) RLIKE r'{_WROTE}' AND {quote_next} THEN named_struct('lv', -1, 'c', '') ELSE x END) AS _y")
+    # a passage or paragraph starts at a line with content whose neighbour above is blank or of another level
+    has = "trim(BOTH ' \\t\\r' FROM {}.c) <> ''"
+    starts = f"filter(sequence(0, size(_y) - 1), i -> {has.format('get(_y, i)')} AND (i = 0 OR NOT {has.format('get(_y, i - 1)')} OR get(_y, i - 1).lv <> get(_y, i).lv))"
+    base = base.selectExpr(*k, "_y", f"{starts} AS _s")
+    lines = f"filter(slice(_y, s + 1, coalesce(get(_s, j + 1), size(_y)) - s), y -> {has.format('y')})"
+    base = base.selectExpr(*k, "_y", f"transform(_s, (s, j) -> named_struct('lv', get(_y, s).lv, 't', array_join(transform({lines}, y -> y.c), '\\n'))) AS _p")
+    digest = lambda x: f"md5({_norm(x)})"
+    base = base.select(*k, "_y", "_p", alnum_rows("_p").alias("_w"))
+    runs = f"array_distinct(transform(sequence(0, size(_w[i]) - {SHINGLE}), o -> xxhash64({', '.join(f'get(_w[i], o + {n})' for n in range(SHINGLE))})))"
+    passages = f"filter(transform(_p, (p, i) -> named_struct('lv', p.lv, 'nth', i, 'h', {digest('p.t')}, 'runs', CASE WHEN p.lv > 0 AND size(_w[i]) >= {SHINGLE} THEN {runs} ELSE array() END)), p -> p.lv > 0)"
+    own = "filter(_p, p -> p.lv = 0)"
+    parts = f"concat(transform({own}, p -> p.t), transform(filter(_y, y -> y.lv = 0 AND {has.format('y')}), y -> y.c), flatten(transform({own}, p -> split(regexp_replace(p.t, '\\\\s+', ' '), '(?<=[.!?]) '))))"
     return base.selectExpr(
-        "conv", "conv_id", "turn", "role", "m",
-        "trim(BOTH '\\n' FROM array_join(transform(filter(_x, x -> x.lv = 0), x -> x.c), '\\n')) AS body",
-        "coalesce(array_max(transform(_x, x -> x.lv)), 0) AS depth",
-        f"transform({quoted}, (p, i) -> named_struct('lv', p.lv, 'nth', i, 'h', {digest('p.t')})) AS passages",
-        f"{own} AS own",
+        *k,
+        "trim(BOTH '\\n' FROM array_join(transform(filter(_y, y -> y.lv = 0), y -> y.c), '\\n')) AS body",
+        "coalesce(array_max(transform(_y, y -> y.lv)), 0) AS depth",
+        f"{passages} AS passages",
+        f"array_distinct(transform({parts}, x -> {digest('x')})) AS own",
     )
 
 
-def link_quotes(parsed: DataFrame) -> DataFrame:
-    """Rows (conv, m, lv, nth, original) of quoted passages whose text an earlier message has as its own."""
-    own = parsed.select("conv", "m", F.explode("own").alias("h")).groupBy("conv", "h").agg(F.min("m").alias("original"))
-    quoted = parsed.select("conv", "m", F.explode("passages").alias("p")).select("conv", "m", "p.lv", "p.nth", "p.h").distinct()
-    return quoted.join(own, ["conv", "h"]).where(F.col("original") < F.col("m")).select("conv", "m", "lv", "nth", "original")
+def alnum_rows(passages: str):
+    """The words of each passage or paragraph."""
+    return F.transform(passages, lambda p: F.when(p["lv"] > 0, alnum_split(F.lower(p["t"]))))
 
 
-def reply_paths(parents: DataFrame) -> DataFrame:
-    """conv, m, path (ancestors from the top, then the message) from rows (conv, m, parent); messages absent as m are
-    tops. Each round doubles the known part of every path, so rounds are the logarithm of the deepest reply."""
-    state = materialize(parents.select("conv", "m", F.col("parent").alias("up"), F.array("parent", "m").alias("path")), "quotes-paths")
-    while not state.where(F.col("up").isNotNull()).isEmpty():
-        above = state.select("conv", F.col("m").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
-        nxt = state.join(above, ["conv", "up"], "left")
-        # the part above ends in this part's first message
-        path = F.when(F.col("path2").isNotNull(), F.concat("path2", F.slice("path", 2, F.size("path")))).otherwise(F.col("path"))
-        state = materialize(nxt.select("conv", "m", F.col("up2").alias("up"), path.alias("path")), "quotes-paths")
-    return state.select("conv", "m", "path")
+def link_quotes(parsed: DataFrame) -> DataFrame:
+    """Rows (conv, m, lv, nth, original, turn of the original) of the quoted passages that an earlier message has."""
+    key = ["conv", "m", "lv", "nth"]
+    quoted = materialize(parsed.where(F.size("passages") > 0).select("conv", "m", F.explode("passages").alias("p")).select("conv", "m", "p.*").dropDuplicates(key), "quotes-passages")
+    if quoted.isEmpty():
+        return quoted.select(*key, F.col("m").alias("original"), F.lit(None).cast(dict(parsed.dtypes)["turn"]).alias("parent_turn"))
+    first = F.min(F.struct("m", "turn")).alias("f")
+    own = parsed.select("conv", "m", "turn", F.explode("own").alias("h")).groupBy("conv", "h").agg(first)
+    same = materialize(quoted.drop("runs").join(own, ["conv", "h"]).where(F.col("f.m") < F.col("m")).select(*key, "f"), "quotes-equal")
+    rest = materialize(quoted.where(F.size("runs") > 0).join(same, key, "left_anti").select(*key, "runs"), "quotes-rest")
+    if not rest.isEmpty():
+        talks = materialize(rest.select("conv").distinct(), "quotes-talks")
+        words = parsed.join(talks, "conv", "left_semi").select("conv", "m", "turn", alnum_split(F.lower("body")).alias("_w"))
+        runs = f"CASE WHEN size(_w) >= {SHINGLE} THEN transform(sequence(0, size(_w) - {SHINGLE}), o -> xxhash64({', '.join(f'get(_w, o + {n})' for n in range(SHINGLE))})) END"
+        holders = words.select("conv", "m", "turn", F.explode(F.expr(runs)).alias("run")).groupBy("conv", "run").agg(first)
+        votes = rest.select(*key, F.size("runs").alias("n"), F.explode("runs").alias("run")).join(materialize(holders, "quotes-holders"), ["conv", "run"]).where(F.col("f.m") < F.col("m"))
+        votes = votes.groupBy(*key, "n", "f").agg(F.count("*").alias("v")).groupBy(*key, "n").agg(F.min(F.struct((-F.col("v")).alias("v"), "f")).alias("b"))
+        same = same.unionByName(votes.where(-2 * F.col("b.v") >= F.col("n")).select(*key, "b.f"))
+    return same.select(*key, F.col("f.m").alias("original"), F.col("f.turn").alias("parent_turn"))
+
+
+def reply_threads(parents: DataFrame) -> DataFrame:
+    """conv, m, thread (top-level ancestor), reply_depth from rows (conv, m, parent); messages absent as m are tops. Each
+    round doubles the distance to the known ancestor, so rounds are the logarithm of the deepest reply."""
+    state = materialize(parents.select("conv", "m", F.col("parent").alias("up"), F.lit(1).cast("long").alias("dist"), F.lit(True).alias("moved")), "quotes-threads")
+    while not state.where("moved").isEmpty():
+        above = state.select("conv", F.col("m").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"))
+        nxt = state.drop("moved").join(above, ["conv", "up"], "left")
+        state = materialize(nxt.select("conv", "m", F.coalesce("up2", "up").alias("up"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), F.col("up2").isNotNull().alias("moved")), "quotes-threads")
+    return state.select("conv", "m", F.col("up").alias("thread"), F.col("dist").alias("reply_depth"))
 
 
 def link_conversations(messages: DataFrame) -> DataFrame:
     """A row per message: conv_id, turn, role, body, quote_depth, n_quotes, n_linked, parent_turn, reply_depth and
-    reply_path; ordering a conversation by reply_path gives the reply order."""
+    reply_key; ordering a conversation by reply_key gives the reply order."""
     parsed = materialize(parse_messages(messages), "quotes-parsed")
     links = materialize(link_quotes(parsed), "quotes-links")
-    chosen = links.groupBy("conv", "m").agg(F.min_by("original", F.struct("lv", "nth")).alias("parent"), F.count("*").alias("n_linked"))
-    chosen = materialize(chosen, "quotes-parents")
-    paths = reply_paths(chosen)
-    turns = parsed.groupBy("conv", "m").agg(F.first("turn").alias("parent_turn"))
-    named = chosen.join(turns.withColumnRenamed("m", "parent"), ["conv", "parent"]).join(paths, ["conv", "m"])
+    outermost = F.min(F.struct("lv", "nth", "original", "parent_turn")).alias("b")
+    chosen = materialize(links.groupBy("conv", "m").agg(outermost, F.count("*").alias("n_linked")).select("conv", "m", F.col("b.original").alias("parent"), F.col("b.parent_turn").alias("parent_turn"), "n_linked"), "quotes-parents")
+    named = materialize(chosen.drop("parent").join(reply_threads(chosen), ["conv", "m"]), "quotes-named")
     out = parsed.join(named, ["conv", "m"], "left")
-    path = F.coalesce("path", F.array("m"))
+    depth = F.coalesce("reply_depth", F.lit(0)).cast("long")
     return out.select(
         "conv_id", "turn", "role", "body",
-        F.col("depth").cast("long").alias("quote_depth"),
+        F.greatest("depth", F.lit(0)).cast("long").alias("quote_depth"),
         F.size("passages").cast("long").alias("n_quotes"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         "parent_turn",
-        (F.size(path) - 1).cast("long").alias("reply_depth"),
-        F.array_join(path, "/").alias("reply_path"),
+        depth.alias("reply_depth"),
+        F.format_string("%s/%010d/%s", F.coalesce("thread", "m"), depth, F.col("m")).alias("reply_key"),
     )

@@ -146,13 +146,95 @@ def test_quotes(spark):
             (1, 5, "d", "> second PARA\r\nyes"), (2, 0, "a", None), (None, None, None, "> x"), (2, 1, "z", "> I agree\nother"), (2, 1, "z", "> I agree\nother")]
     got = quotes.link_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert len(got) == len(rows)
-    one = sorted((r for r in got if r["conv_id"] == 1), key=lambda r: r["reply_path"])
-    assert [r["turn"] for r in one] == [0, 1, 3, 5, 2]
-    assert [(r["parent_turn"], r["reply_depth"]) for r in one] == [(None, 0), (0, 1), (1, 2), (0, 1), (None, 0)]
-    assert [r["body"] for r in one] == ["Hello there\nfirst line\n\nSecond para", "I agree", "thanks", "yes", "unrelated"]
+    one = sorted((r for r in got if r["conv_id"] == 1), key=lambda r: r["reply_key"])
+    assert [r["turn"] for r in one] == [0, 1, 5, 3, 2]
+    assert [(r["parent_turn"], r["reply_depth"]) for r in one] == [(None, 0), (0, 1), (0, 1), (1, 2), (None, 0)]
+    assert [r["body"] for r in one] == ["Hello there\nfirst line\n\nSecond para", "I agree", "yes", "thanks", "unrelated"]
     assert all(r["n_linked"] == 0 for r in got if r["conv_id"] != 1)
 
 
+def brute_threads(rows):
+    """n_quotes, n_linked, parent turn, depth and body of each (turn, text) of one conversation; turns are distinct."""
+    norm = lambda x: re.sub(r"[ \t\r\f\n]+", " ", x.lower()).strip(" ")
+    runs_of = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    parsed = []
+    for turn, text in sorted(rows):
+        lines = []
+        for x in text.split("\n"):
+            mark = re.match(r"[ \t]*((?:>[ \t]?)+)", x)
+            lines.append([mark.group(1).count(">") if mark else 0, x[mark.end() :] if mark else x])
+        blank = lambda x: not x[1].strip(" \t\r")
+        for i, x in enumerate(lines):
+            after = lines[i + 1 :]
+            if x[0] == 0 and re.search(r"(?:^|[ \t])(?:wrote|writes|said)[ \t]*:[ \t\r]*$", x[1].lower()) and after and (after[0][0] > 0 or (blank(after[0]) and len(after) > 1 and after[1][0] > 0)):
+                lines[i] = [-1, ""]
+        groups = []
+        for i, x in enumerate(lines):
+            if blank(x):
+                continue
+            if i == 0 or blank(lines[i - 1]) or lines[i - 1][0] != x[0]:
+                groups.append([x[0], []])
+            groups[-1][1].append(x[1])
+        own = {norm("\n".join(g)) for lv, g in groups if lv == 0} | {norm(x) for lv, g in groups if lv == 0 for x in g}
+        own |= {norm(y) for lv, g in groups if lv == 0 for y in re.split(r"(?<=[.!?]) ", re.sub(r"\s+", " ", "\n".join(g)))}
+        body = "\n".join(x[1] for x in lines if x[0] == 0).strip("\n")
+        parsed.append((turn, own, set(runs_of(ALNUM.findall(body.lower()))), [(lv, "\n".join(g)) for lv, g in groups if lv > 0], body))
+    out, depth = {}, {}
+    for n, (turn, _, _, quoted, body) in enumerate(parsed):
+        links = []
+        for nth, (lv, q) in enumerate(quoted):
+            got = next((p[0] for p in parsed[:n] if norm(q) in p[1]), None)
+            if got is None:
+                runs, votes = set(runs_of(ALNUM.findall(q.lower()))), Counter()
+                for r in runs:
+                    votes.update(next(([p[0]] for p in parsed[:n] if r in p[2]), []))
+                if votes:
+                    v, t = min((-v, t) for t, v in votes.items())
+                    got = t if -2 * v >= len(runs) else None
+            if got is not None:
+                links.append((lv, nth, got))
+        parent = min(links)[2] if links else None
+        depth[turn] = 0 if parent is None else depth[parent] + 1
+        out[turn] = (len(quoted), len(links), parent, depth[turn], body)
+    return out
+
+
+def test_quotes_against_brute_force(spark):
+    """Threads with whole, cut, re-wrapped, edited, nested and repeated quotes, and quotes of nothing."""
+    rnd = random.Random(12)
+    rows = []
+    for conv in range(12):
+        texts = []
+        for turn in range(14):
+            own = ["\n".join(" ".join(rnd.choice("red green blue grey pink gold".split()) + str(rnd.randrange(12)) for _ in range(rnd.randrange(3, 14))) + rnd.choice([".", "!", ""]) for _ in range(rnd.randrange(1, 4))) for _ in range(rnd.randrange(1, 3))]
+            body = "\n\n".join(own)
+            if texts and rnd.random() < 0.85:
+                src = rnd.choice(texts)
+                words, kind = src.split(), rnd.randrange(6)
+                a = rnd.randrange(len(words))
+                cut = {0: src, 1: " ".join(words[a : a + rnd.randrange(2, 16)]), 2: "\n".join(" ".join(words[i : i + 6]) for i in range(0, len(words), 6)), 3: " ".join(w for w in words if rnd.random() < 0.93), 4: src.split("\n")[0], 5: "never said by anyone in here"}[kind]
+                quote = "\n".join("> " + x for x in cut.split("\n"))
+                body = rnd.choice(["", "On Monday, A. B. wrote:\n", "As she said:\n\n"]) + quote + "\n" + body + rnd.choice(["", "\n" + quote])
+            texts.append(body)
+            rows.append((conv, turn, "u", body))
+    got = quotes.link_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sum(r["n_linked"] for r in got) > 80 and len(got) == len(rows)
+    for conv in range(12):
+        want = brute_threads([(t, x) for c, t, _, x in rows if c == conv])
+        mine = sorted((r for r in got if r["conv_id"] == conv), key=lambda r: r["reply_key"])
+        for r in mine:
+            assert (r["n_quotes"], r["n_linked"], r["parent_turn"], r["reply_depth"], r["body"]) == want[r["turn"]], (conv, r)
+        at = {r["turn"]: i for i, r in enumerate(mine)}
+        assert all(r["parent_turn"] is None or at[r["parent_turn"]] < at[r["turn"]] for r in mine)
+
+
+def test_quotes_long_text(spark):
+    """A text of many lines is parsed in time proportional to its length."""
+    text = "\n".join(f"> line {i}\n\nanswer {i}" for i in range(8_000))
+    got = quotes.link_conversations(spark.createDataFrame([(1, 0, "a", text), (1, 1, "b", None)], "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(r["n_quotes"] for r in got) == [0, 8_000]
+
+
 def test_quotes_deep_chain(spark):
     rows = [(7, 0, "a", "message number 0")] + [(7, i, "a", f"> message number {i - 1}\nmessage number {i}") for i in range(1, 20)]
     got = quotes.link_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
