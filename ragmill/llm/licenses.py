@@ -1,10 +1,15 @@
 """License scans: several hundred ordered signature rules behind a keyword prefilter.
 
 A text is reduced to its lower-cased words, joined by one space. Rules (label, priority, confidence, keywords, regular
-expression over words) come from FAMILIES times versions times forms of mention; a rule is tried only where its keywords
-occur, and no rule on texts without any license word. Overlaps are resolved in order: a detection inside another of the
-same or a higher priority goes, as does one that overlaps a detection of a higher priority. The four base phrases are
-always reported. All work is done in the text's own row.
+expression over words) are of five sorts: wording of the licences themselves (TEXTS), addresses (ADDRESSES), SPDX tags
+(SPDX), and names from FAMILIES alone or in a notice, each with and without a version. A rule's keywords are the plain
+words that every match of it has; rules with the same keywords form a set that is tried only where all of them occur,
+and no rule is tried on a text without any gate word (every rule needs one).
+
+Overlaps are resolved in the order of priority, then length, then place, then label: a detection goes if an accepted one of
+the same or a higher priority contains it, or if it overlaps an accepted one of a higher priority. Rejected detections
+suppress nothing. Only detections that overlap through each other are compared, so the work grows with the text. The four
+base phrases are always reported. All work is done in the text's own row.
 
 Defined cases: a null text has no words; without a detection the labels are empty, the places null and the score 0;
 equal intervals of one priority keep the label that sorts first; copies and repeated ids give a row each.
@@ -13,138 +18,183 @@ equal intervals of one priority keep the label that sorts first; copies and repe
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragmill.llm.common import alnum_split, ascii_lower
+from ragmill.llm.license_texts import ADDRESSES, SPDX, TEXTS
 
 #: The base phrases and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: Label, keyword, names (regular expressions over words), versions (empty: none are told apart).
+#: Label, names (regular expressions over words), versions (empty: none are told apart).
 FAMILIES = (
-    ("gpl", "general public", ("gnu general public licen[sc]e", "gnu gpl", "gpl"), ("1", "2", "3")),
-    ("gpl", "gpl", ("gplv?", "gnu gplv?"), ("1", "2", "3")),
-    ("lgpl", "lesser general", ("gnu lesser general public licen[sc]e", "gnu library or lesser general public licen[sc]e"), ("2", "2 1", "3")),
-    ("lgpl", "lgpl", ("lgplv?", "gnu lgplv?"), ("2", "2 1", "3")),
-    ("agpl", "affero", ("gnu affero general public licen[sc]e", "affero general public licen[sc]e"), ("1", "3")),
-    ("agpl", "agpl", ("agplv?", "gnu agplv?"), ("1", "3")),
-    ("gfdl", "documentation", ("gnu free documentation licen[sc]e", "free documentation licen[sc]e"), ("1 1", "1 2", "1 3")),
-    ("apache", "apache", ("apache licen[sc]e", "apache software licen[sc]e", "apache"), ("1 0", "1 1", "2 0")),
-    ("mit", "mit", ("mit licen[sc]e", "expat licen[sc]e", "x11 licen[sc]e"), ()),
-    ("bsd-2-clause", "bsd", ("bsd 2 clause", "2 clause bsd", "simplified bsd", "freebsd licen[sc]e"), ()),
-    ("bsd-3-clause", "bsd", ("bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd", "revised bsd"), ()),
-    ("bsd-4-clause", "bsd", ("bsd 4 clause", "4 clause bsd", "original bsd"), ()),
-    ("bsd", "bsd", ("bsd licen[sc]e", "bsd style licen[sc]e", "berkeley software distribution licen[sc]e"), ()),
-    ("0bsd", "bsd", ("bsd zero clause", "zero clause bsd", "0bsd"), ()),
-    ("isc", "isc", ("isc licen[sc]e", "internet systems consortium licen[sc]e"), ()),
-    ("zlib", "zlib", ("zlib licen[sc]e", "zlib libpng licen[sc]e"), ()),
-    ("mpl", "mozilla", ("mozilla public licen[sc]e",), ("1 0", "1 1", "2 0")),
-    ("mpl", "mpl", ("mpl", "mplv?"), ("1 0", "1 1", "2 0")),
-    ("epl", "eclipse", ("eclipse public licen[sc]e",), ("1 0", "2 0")),
-    ("edl", "eclipse", ("eclipse distribution licen[sc]e",), ("1 0",)),
-    ("eupl", "union", ("european union public licen[sc]e",), ("1 0", "1 1", "1 2")),
-    ("cddl", "common development", ("common development and distribution licen[sc]e",), ("1 0", "1 1")),
-    ("cpl", "common public", ("common public licen[sc]e",), ("1 0",)),
-    ("cpal", "attribution", ("common public attribution licen[sc]e",), ("1 0",)),
-    ("artistic", "artistic", ("artistic licen[sc]e", "perl artistic licen[sc]e", "clarified artistic licen[sc]e"), ("1 0", "2 0")),
-    ("bsl", "boost", ("boost software licen[sc]e",), ("1 0",)),
-    ("busl", "business", ("business source licen[sc]e",), ("1 0", "1 1")),
-    ("sspl", "server side", ("server side public licen[sc]e",), ("1",)),
-    ("elastic", "elastic", ("elastic licen[sc]e",), ("1 0", "2 0")),
-    ("unlicense", "unlicense", ("unlicense", "the unlicense"), ()),
-    ("wtfpl", "wtfpl", ("wtfpl", "wtfplv?"), ("2",)),
-    ("psf", "python", ("python software foundation licen[sc]e", "psf licen[sc]e", "python licen[sc]e"), ("2",)),
-    ("php", "php", ("php licen[sc]e",), ("3 0", "3 01")),
-    ("ruby", "ruby", ("ruby licen[sc]e",), ()),
-    ("ofl", "open font", ("sil open font licen[sc]e", "open font licen[sc]e"), ("1 0", "1 1")),
-    ("odbl", "database", ("open database licen[sc]e", "open data commons open database licen[sc]e"), ("1 0",)),
-    ("odc-by", "commons attribution", ("open data commons attribution licen[sc]e",), ("1 0",)),
-    ("pddl", "dedication", ("open data commons public domain dedication and licen[sc]e", "public domain dedication and licen[sc]e"), ("1 0",)),
-    ("cc0", "cc0", ("cc0", "creative commons zero", "cc0 universal"), ("1 0",)),
-    ("cc-by", "cc", ("cc by",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-sa", "cc", ("cc by sa",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nd", "cc", ("cc by nd",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc", "cc", ("cc by nc",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-sa", "cc", ("cc by nc sa",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-nd", "cc", ("cc by nc nd",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by", "creative commons", ("creative commons attribution",), ("2 0", "3 0", "4 0")),
-    ("cc-by-sa", "creative commons", ("creative commons attribution share ?alike",), ("2 0", "3 0", "4 0")),
-    ("cc-by-nc", "creative commons", ("creative commons attribution non ?commercial",), ("2 0", "3 0", "4 0")),
-    ("cc-by-nd", "creative commons", ("creative commons attribution no ?deriv(?:ative)?s",), ("2 0", "3 0", "4 0")),
-    ("openssl", "openssl", ("openssl licen[sc]e",), ()),
-    ("ncsa", "illinois", ("university of illinois ncsa open source licen[sc]e",), ()),
-    ("upl", "universal permissive", ("universal permissive licen[sc]e",), ("1 0",)),
-    ("ms-pl", "microsoft", ("microsoft public licen[sc]e",), ()),
-    ("ms-rl", "microsoft", ("microsoft reciprocal licen[sc]e",), ()),
-    ("osl", "open software", ("open software licen[sc]e",), ("1 0", "2 0", "2 1", "3 0")),
-    ("afl", "academic", ("academic free licen[sc]e",), ("1 2", "2 0", "2 1", "3 0")),
-    ("public-domain", "public domain", ("dedicated to the public domain", "in the public domain", "public domain dedication"), ()),
+    ("gpl", ("gnu general public licen[sc]e", "gnu gpl", "gpl"), ("1", "2", "3")),
+    ("gpl", ("gplv?", "gnu gplv?"), ("1", "2", "3")),
+    ("lgpl", ("gnu lesser general public licen[sc]e", "gnu library or lesser general public licen[sc]e"), ("2", "2 1", "3")),
+    ("lgpl", ("lgplv?", "gnu lgplv?"), ("2", "2 1", "3")),
+    ("agpl", ("gnu affero general public licen[sc]e", "affero general public licen[sc]e"), ("1", "3")),
+    ("agpl", ("agplv?", "gnu agplv?"), ("1", "3")),
+    ("gfdl", ("gnu free documentation licen[sc]e", "free documentation licen[sc]e"), ("1 1", "1 2", "1 3")),
+    ("apache", ("apache licen[sc]e", "apache software licen[sc]e", "apache"), ("1 0", "1 1", "2 0")),
+    ("mit", ("mit licen[sc]e", "expat licen[sc]e", "x11 licen[sc]e"), ()),
+    ("bsd-2-clause", ("bsd 2 clause", "2 clause bsd", "simplified bsd", "freebsd licen[sc]e"), ()),
+    ("bsd-3-clause", ("bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd", "revised bsd"), ()),
+    ("bsd-4-clause", ("bsd 4 clause", "4 clause bsd", "original bsd"), ()),
+    ("bsd", ("bsd licen[sc]e", "bsd style licen[sc]e", "berkeley software distribution licen[sc]e"), ()),
+    ("0bsd", ("bsd zero clause", "zero clause bsd", "0bsd"), ()),
+    ("isc", ("isc licen[sc]e", "internet systems consortium licen[sc]e"), ()),
+    ("zlib", ("zlib licen[sc]e", "zlib libpng licen[sc]e"), ()),
+    ("mpl", ("mozilla public licen[sc]e",), ("1 0", "1 1", "2 0")),
+    ("mpl", ("mpl", "mplv?"), ("1 0", "1 1", "2 0")),
+    ("epl", ("eclipse public licen[sc]e",), ("1 0", "2 0")),
+    ("edl", ("eclipse distribution licen[sc]e",), ("1 0",)),
+    ("eupl", ("european union public licen[sc]e",), ("1 0", "1 1", "1 2")),
+    ("cddl", ("common development and distribution licen[sc]e",), ("1 0", "1 1")),
+    ("cpl", ("common public licen[sc]e",), ("1 0",)),
+    ("cpal", ("common public attribution licen[sc]e",), ("1 0",)),
+    ("artistic", ("artistic licen[sc]e", "perl artistic licen[sc]e", "clarified artistic licen[sc]e"), ("1 0", "2 0")),
+    ("bsl", ("boost software licen[sc]e",), ("1 0",)),
+    ("busl", ("business source licen[sc]e",), ("1 0", "1 1")),
+    ("sspl", ("server side public licen[sc]e",), ("1",)),
+    ("elastic", ("elastic licen[sc]e",), ("1 0", "2 0")),
+    ("unlicense", ("unlicense", "the unlicense"), ()),
+    ("wtfpl", ("wtfpl", "wtfplv?"), ("2",)),
+    ("psf", ("python software foundation licen[sc]e", "psf licen[sc]e", "python licen[sc]e"), ("2",)),
+    ("php", ("php licen[sc]e",), ("3 0", "3 01")),
+    ("ruby", ("ruby licen[sc]e",), ()),
+    ("ofl", ("sil open font licen[sc]e", "open font licen[sc]e"), ("1 0", "1 1")),
+    ("odbl", ("open database licen[sc]e", "open data commons open database licen[sc]e"), ("1 0",)),
+    ("odc-by", ("open data commons attribution licen[sc]e",), ("1 0",)),
+    ("pddl", ("open data commons public domain dedication and licen[sc]e", "public domain dedication and licen[sc]e"), ("1 0",)),
+    ("cc0", ("cc0", "creative commons zero", "cc0 universal"), ("1 0",)),
+    ("cc-by", ("cc by",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-sa", ("cc by sa",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nd", ("cc by nd",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc", ("cc by nc",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc-sa", ("cc by nc sa",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc-nd", ("cc by nc nd",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by", ("creative commons attribution",), ("2 0", "3 0", "4 0")),
+    ("cc-by-sa", ("creative commons attribution share ?alike",), ("2 0", "3 0", "4 0")),
+    ("cc-by-nc", ("creative commons attribution non ?commercial",), ("2 0", "3 0", "4 0")),
+    ("cc-by-nd", ("creative commons attribution no ?deriv(?:ative)?s",), ("2 0", "3 0", "4 0")),
+    ("openssl", ("openssl licen[sc]e",), ()),
+    ("ncsa", ("university of illinois ncsa open source licen[sc]e",), ()),
+    ("upl", ("universal permissive licen[sc]e",), ("1 0",)),
+    ("ms-pl", ("microsoft public licen[sc]e",), ()),
+    ("ms-rl", ("microsoft reciprocal licen[sc]e",), ()),
+    ("osl", ("open software licen[sc]e",), ("1 0", "2 0", "2 1", "3 0")),
+    ("afl", ("academic free licen[sc]e",), ("1 2", "2 0", "2 1", "3 0")),
+    ("public-domain", ("dedicated to the public domain", "in the public domain", "public domain dedication"), ()),
 )
 
 #: What stands before a licence's name, and the rank and confidence of the form.
 FORMS = (
-    ("notice", 3, 1.0, "(?:licen[sc]ed|released|distributed|published|available|provided|covered|made available) (?:under|by) (?:the )?(?:terms of (?:the )?)?(?:a )?"),
-    ("tag", 3, 0.95, "spdx licen[sc]e identifier "),
-    ("name", 2, 0.8, ""),
+    ("notice", 6, 1.0, "(?:licen[sc]ed|released|distributed|published|available|provided|covered|made available) (?:under|by) (?:the )?(?:terms of (?:the )?)?(?:a )?"),
+    ("name", 4, 0.8, ""),
 )
-#: every mention has one of these; cheap to refuse a text by
-GATE = r"licen[sc]e|spdx|gpl|wtfpl|mpl|0bsd|cc0|bsd|apache|creative|cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by|public[\x00-\x2F\x3A-\x60\x7B-\x7F]+domain"
+TEXT_PRIORITY, TEXT_SURE = 8, 1.0  # wording of a licence
+TAG_PRIORITY, TAG_SURE = 7, 0.95  # tags and addresses
+WEAK_PRIORITY, WEAK_SURE = 2, 0.4  # wording that many licences share
+#: Every rule needs one of these; cheap to refuse a text by
+GATES = ("licen", "spdx", "gpl", "mpl", "bsd", "apache", "gnu", "creative", "cc", "cc0", "public", "permi", "redistribut", "warrant", "copyright", "unencumbered", "proprietary", "confidential", "liab", "conditions", "advertis", "openssl", "cryptograph", "hereby", "third parties", "commercial", "wtfpl")
+_GATE = "|".join(g for g in GATES if g not in ("cc", "cc0")) + r"|cc0|cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
+OPTIONAL = re.compile(r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)[?*+]?(?:\{[0-9,]+\})?|\[[^\]]*\][?*+]?")
+
+
+def keywords_of(pattern: str) -> list[str]:
+    """The gate word and the two longest other plain words that every match has; a group, a class or an optional letter
+    leaves the plain beginning of its word."""
+    words = []
+    for w in re.split("[ \x00]", OPTIONAL.sub("\x00", pattern)):
+        plain = re.match(r"[a-z0-9]*", re.sub(r"[a-z0-9]\?.*", "", w)).group()
+        if len(plain) > 1 or plain.isdigit():
+            words.append(plain)
+    fixed = " ".join(words)
+    gates = [g for g in GATES if g in fixed]
+    if not gates:
+        raise ValueError(f"no gate word in every match of: {pattern}")
+    rest = sorted({w for w in words if gates[0] not in w}, key=lambda w: (-len(w), w))[:2]
+    return [gates[0], *rest]
+
+
+def _rule(rule: str, label: str, priority: int, sure: float, pattern: str) -> dict:
+    return {"rule": rule, "label": label, "priority": priority, "sure": sure, "keywords": keywords_of(pattern), "pattern": f"(?<= ){pattern}(?= )"}
 
 
 def build_rules() -> list[dict]:
-    """All signature rules in order: longer forms and told versions before bare names."""
-    rules = []
-    for label, keyword, names, versions in FAMILIES:
-        name = "(?:" + "|".join(names) + ")"
-        for form, priority, sure, before in FORMS:
-            for v in (*versions, ""):
-                major, _, minor = v.partition(" ")
-                number = f" ?(?:version |v ?)?{major}(?: {minor or '0'})?" if minor in ("", "0") else f" ?(?:version |v ?)?{major} {minor}"
-                tail = f"{number}(?! [0-9])(?: or (?:any )?later(?: version)?| only)?" if v else ""
-                rules.append({
-                    "rule": f"{label}{'-' + v.replace(' ', '.') if v else ''}/{form}/{keyword}",
-                    "label": label + (f"-{major}.{minor or '0'}" if v else ""),
-                    "priority": priority * 2 + bool(v),
-                    "sure": sure if v or not versions else sure - 0.1,
-                    "keywords": keyword.split(" ") + (["spdx"] if form == "tag" else []),
-                    "pattern": f"(?<= ){before}{name}{tail}(?= )",
-                })
+    """All signature rules in order: wording, tags and addresses, notices, names, shared wording."""
+    rules = [_rule(f"{label}/text-{i}", label, WEAK_PRIORITY if label.startswith("~") else TEXT_PRIORITY, WEAK_SURE if label.startswith("~") else TEXT_SURE, x) for label, xs in TEXTS for i, x in enumerate(xs)]
+    for r in rules:
+        r["label"] = r["label"].removeprefix("~")
+    for name in SPDX.split():
+        words = " ".join(re.findall("[a-z0-9]+", name.lower()))
+        gnu = bool(re.match("[al]?gpl|gfdl", words))
+        rules.append(_rule(f"{name}/tag", name.lower(), TAG_PRIORITY, TAG_SURE, f"spdx licen[sc]e identifier {words}(?! [0-9])" + ("(?: only| or later)?" if gnu else "")))
+    rules += [_rule(f"{label}/address-{i}", label, TAG_PRIORITY, TAG_SURE, x) for i, (label, x) in enumerate(ADDRESSES)]
+    for form, priority, sure, before in FORMS:
+        for label, names, versions in FAMILIES:
+            for name in names:
+                for v in (*versions, ""):
+                    major, _, minor = v.partition(" ")
+                    number = f" ?(?:version |v ?)?{major}(?: {minor or '0'})?" if minor in ("", "0") else f" ?(?:version |v ?)?{major} {minor}"
+                    tail = f"(?:{number})(?! [0-9])(?: or (?:any )?later(?: version)?| only)?" if v else ""
+                    full = label + (f"-{major}.{minor or '0'}" if v else "")
+                    rules.append({
+                        "rule": f"{full}/{form}/{name}", "label": full, "priority": priority + bool(v), "sure": sure if v or not versions else sure - 0.1,
+                        "keywords": keywords_of(name), "pattern": f"(?<= ){before}{name}{tail}(?= )",
+                    })
     return rules
 
 
 RULES = build_rules()
-_RULE = "array<struct<label:string,priority:int,sure:double,keywords:array<string>,pattern:string,base:boolean>>"
+_ONE = "struct<label:string,priority:int,sure:double,pattern:string,base:boolean>"
 
 
-def _all_rules() -> list[dict]:
+def _rule_sets() -> list[dict]:
+    """Rules by their keywords; the base phrases are sets of their own."""
     base = [{"label": label, "priority": 0, "sure": 0.5, "keywords": phrase.split(" "), "pattern": f"(?<= ){phrase}(?= )", "base": True} for phrase, label in BASE]
-    return base + [{k: v for k, v in r.items() if k != "rule"} | {"base": False} for r in RULES]
+    sets: dict[tuple[str, ...], list[dict]] = {}
+    for r in base + [r | {"base": False} for r in RULES]:
+        sets.setdefault(tuple(r["keywords"]), []).append({k: r[k] for k in ("label", "priority", "sure", "pattern", "base")})
+    return [{"keywords": list(k), "rules": v} for k, v in sets.items()]
 
 
 def _spaces(x: str) -> str:
     return f"(length({x}) - length(replace({x}, ' ', '')))"
 
 
+def _suppressed(found: str) -> str:
+    """Detections, sorted by place, after suppression."""
+    kind = "struct<s:int,e:int,p:int,label:string,sure:double>"
+    plain = "named_struct('s', x.s, 'e', x.e, 'p', x.p, 'label', x.label, 'sure', x.sure)"
+    # detections that overlap through each other, from left to right; 'now' is the group being made and e where it ends
+    group = f"struct<e:int,now:array<{kind}>,done:array<array<{kind}>>>"
+    groups = (
+        f"aggregate(array_sort(transform({found}, x -> {plain})), cast(named_struct('e', 0, 'now', array(), 'done', array()) AS {group}), "
+        f"(a, x) -> cast(CASE WHEN x.s < a.e THEN named_struct('e', greatest(a.e, x.e), 'now', array_append(a.now, x), 'done', a.done) "
+        f"ELSE named_struct('e', x.e, 'now', array(x), 'done', array_append(a.done, a.now)) END AS {group}), a -> array_append(a.done, a.now))"
+    )
+    order = "struct<np:int,ne:int,s:int,label:string,e:int,p:int,sure:double>"
+    ranked = "array_sort(transform(g, x -> named_struct('np', -x.p, 'ne', x.s - x.e, 's', x.s, 'label', x.label, 'e', x.e, 'p', x.p, 'sure', x.sure)))"
+    clash = "exists(a, y -> (y.s <= x.s AND x.e <= y.e) OR (y.p > x.p AND y.s < x.e AND x.s < y.e))"
+    chosen = f"CASE WHEN size(g) < 2 THEN g ELSE transform(aggregate({ranked}, cast(array() AS array<{order}>), (a, x) -> CASE WHEN {clash} THEN a ELSE array_append(a, x) END), x -> {plain}) END"
+    return f"array_sort(flatten(transform({groups}, g -> {chosen})))"
+
+
 def license_scan(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """For each text: keep columns, n_words, n_base, first_word, last_word, base_labels, labels, score, detections (array
     of start, end, label, priority, sure; in words, end excluded, after suppression)."""
     keep = ["doc_id"] if keep is None else keep
     k = [f"_o_{c}" for c in keep]
-    rules = _all_rules()
-    words = sorted({w for r in rules for w in r["keywords"]})
     low = docs.select(*[F.col(c).alias(f"_o_{c}") for c in keep], ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
-    got = low.select(*k, "_t", alnum_split(F.col("_t")).alias("_w"), F.col("_t").rlike(GATE).alias("_gate"))
-    got = got.select(
-        *k,
-        F.size("_w").cast("long").alias("n_words"),
-        F.when(F.col("_gate"), F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" "))).alias("_n"),
-        F.when(F.col("_gate"), F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("_t"), w) & F.col("_t").isNotNull())).alias("_p"),
-    )
-    got = got.withColumn("_r", F.from_json(F.lit(json.dumps(rules)), _RULE))
-    tried = "filter(_r, r -> forall(r.keywords, w -> array_contains(_p, w)))"
-    got = got.selectExpr(*k, "n_words", "_n", f"CASE WHEN _n IS NOT NULL AND size(_p) > 0 THEN {tried} END AS _r")
+    got = low.select(*k, alnum_split(F.col("_t")).alias("_w"), F.col("_t").rlike(_GATE).alias("_gate"))
+    got = got.select(*k, F.size("_w").cast("long").alias("n_words"), F.when(F.col("_gate"), F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" "))).alias("_n"))
+    got = got.withColumn("_r", F.from_json(F.lit(json.dumps(_rule_sets())), f"array<struct<keywords:array<string>,rules:array<{_ONE}>>>"))
+    tried = "flatten(transform(filter(_r, g -> forall(g.keywords, w -> contains(_n, w))), g -> g.rules))"
+    got = got.selectExpr(*k, "n_words", "_n", f"CASE WHEN _n IS NOT NULL THEN {tried} END AS _r")
     hits = "filter(transform(_r, r -> named_struct('p', r.priority, 'label', r.label, 'sure', r.sure, 'base', r.base, 'm', regexp_extract_all(_n, r.pattern, 0), 'q', split(_n, r.pattern, -1))), h -> size(h.m) > 0)"
     got = got.selectExpr(*k, "n_words", f"coalesce({hits}, array()) AS _h")
     one = "struct<s:int,e:int,p:int,label:string,sure:double,base:boolean>"
@@ -154,24 +204,8 @@ def license_scan(docs: DataFrame, keep: list[str] | None = None, text_col: str =
         f"(a, i) -> cast(named_struct('n', {end}, 'out', array_append(a.out, named_struct('s', {at}, 'e', {end} + 1, 'p', h.p, 'label', h.label, 'sure', h.sure, 'base', h.base))) AS struct<n:int,out:array<{one}>>), a -> a.out)))"
     )
     got = got.selectExpr(*k, "n_words", f"{found} AS _f")
-    # order: start, longer first, higher priority first, label
-    key = "named_struct('s', x.s, 'ne', -x.e, 'np', -x.p, 'label', x.label, 'e', x.e, 'p', x.p, 'sure', x.sure)"
-    got = got.selectExpr(*k, "n_words", "filter(_f, x -> x.base) AS _b", f"array_sort(transform(filter(_f, x -> NOT x.base), x -> {key})) AS _d")
-    levels = sorted({r["priority"] for r in RULES}, reverse=True)
-    kind = "struct<" + ",".join(f"t{p}:int" for p in levels) + ",out:array<struct<s:int,e:int,p:int,label:string,sure:double>>>"
-    start = f"cast(named_struct({', '.join(f"'t{p}', 0" for p in levels)}, 'out', array()) AS {kind})"
-    # t<p>: the furthest end of an earlier detection of at least that priority
-    at_least = "CASE x.p " + " ".join(f"WHEN {p} THEN a.t{p}" for p in levels) + " END"
-    above = "CASE x.p " + " ".join(f"WHEN {p} THEN a.t{q}" for q, p in zip(levels, levels[1:], strict=False)) + " ELSE 0 END"
-    this = "named_struct('s', x.s, 'e', x.e, 'p', x.p, 'label', x.label, 'sure', x.sure)"
-    step = f"(a, x) -> CASE WHEN {at_least} >= x.e OR {above} > x.s THEN a ELSE cast(named_struct({', '.join(f"'t{p}', CASE WHEN x.p >= {p} THEN greatest(a.t{p}, x.e) ELSE a.t{p} END" for p in levels)}, 'out', array_append(a.out, {this})) AS {kind}) END"
-    got = got.selectExpr(*k, "n_words", "_b", f"aggregate(_d, {start}, {step}, a -> a.out) AS _d")
-    # the same from the other end, for detections that a later one of a higher priority overlaps
-    far = 2**31 - 1
-    start = f"cast(named_struct({', '.join(f"'t{p}', {far}" for p in levels)}, 'out', array()) AS {kind})"
-    above = above.replace("ELSE 0", f"ELSE {far}")
-    step = f"(a, x) -> CASE WHEN {above} < x.e THEN a ELSE cast(named_struct({', '.join(f"'t{p}', CASE WHEN x.p >= {p} THEN least(a.t{p}, x.s) ELSE a.t{p} END" for p in levels)}, 'out', array_append(a.out, {this})) AS {kind}) END"
-    got = got.selectExpr(*k, "n_words", "_b", f"reverse(aggregate(reverse(_d), {start}, {step}, a -> a.out)) AS _d")
+    got = got.selectExpr(*k, "n_words", "filter(_f, x -> x.base) AS _b", "filter(_f, x -> NOT x.base) AS _d")
+    got = got.selectExpr(*k, "n_words", "_b", f"CASE WHEN size(_d) < 2 THEN transform(_d, x -> named_struct('s', x.s, 'e', x.e, 'p', x.p, 'label', x.label, 'sure', x.sure)) ELSE {_suppressed('_d')} END AS _d")
     return got.selectExpr(
         *[f"_o_{c} AS `{c}`" for c in keep],
         "n_words",
