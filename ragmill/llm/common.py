@@ -58,11 +58,11 @@ GROUPS = 10_000
 SALTS = 64
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Join written rows with a written table of a few rows for each group. Groups of up to GROUPS rows in all (a few
-    hundred bytes each) are broadcast; beyond that each group's rows are dealt over SALTS keys, so no hot group meets in
-    one task."""
-    if groups.count() <= GROUPS:
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "left", n: int | None = None) -> DataFrame:
+    """Join written rows with a table of a few rows for each group. Groups of up to GROUPS rows in all (a few hundred bytes
+    each; n if it is known, else counted) are broadcast; beyond that each group's rows are dealt over SALTS keys, so no
+    hot group meets in one task."""
+    if (groups.count() if n is None else n) <= GROUPS:
         return rows.join(F.broadcast(groups), on, how)
     salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(F.spark_partition_id(), *rows.columns), F.lit(SALTS)).cast("int")  # the same if a task runs again

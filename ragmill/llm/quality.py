@@ -37,10 +37,11 @@ NOISE = ("0.25D / _nw", "0.25D / _nw", f"pow(_unit / _nw, 2) + _unit * greatest(
 MIN_GROUP = 200
 KEEP_SHARE = 0.75
 MAX_STEPS = 12
-SETTLED = 1e-3  # of the log determinant
 CENTRAL = 1.5  # robust standard deviations from the median, in every statistic
+BINS = 64  # of the distance histogram, for each factor of e
 TAIL = 1e-3
 DIM = len(FLOOR)
+SETTLED = DIM / 2 / BINS  # of half the log determinant: what one bin is worth
 PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
 
 
@@ -99,15 +100,16 @@ def _with_noise(rows: DataFrame, keep: list[str]) -> DataFrame:
 def _cholesky(est: DataFrame) -> DataFrame:
     """Rows with n, m{i}, the factor l{i}{j} and the log determinant, from rows with m{i} and c{i}{j}."""
     det = " + ".join(f"ln(l{i}{i})" for i in range(DIM))
-    return est.selectExpr("_g", "start", "n", *[f"m{i}" for i in range(DIM)], *_factor(), f"{det} AS logdet")
+    return est.selectExpr("_g", "start", *(["was"] if "was" in est.columns else []), "n", *[f"m{i}" for i in range(DIM)], *_factor(), f"{det} AS logdet")
 
 
 def _moments(rows: DataFrame, factor: float) -> DataFrame:
     """Estimates from integer sums over rows with _g, start, x{i}."""
     sums = [F.expr("count(*) AS n"), *[F.expr(f"sum(x{i}) AS s{i}") for i in range(DIM)], *[F.expr(f"sum(x{i} * x{j}) AS q{i}{j}") for i, j in PAIRS]]
-    t = rows.groupBy("_g", "start").agg(*sums)
+    by = ["_g", "start", *(["was"] if "was" in rows.columns else [])]
+    t = rows.groupBy(*by).agg(*sums)
     cov = [f"(q{i}{j} - double(s{i}) * s{j} / n) / n * {factor!r}D" + (f" + {(FLOOR[i] * UNIT) ** 2!r}D" if i == j else "") + f" AS c{i}{j}" for i, j in PAIRS]
-    return _cholesky(t.selectExpr("_g", "start", "n", *[f"s{i} / n AS m{i}" for i in range(DIM)], *cov))
+    return _cholesky(t.selectExpr(*by, "n", *[f"s{i} / n AS m{i}" for i in range(DIM)], *cov))
 
 
 def _median_start(rows: DataFrame) -> DataFrame:
@@ -130,32 +132,31 @@ def _with_groups(rows: DataFrame, lang: str, source: str) -> DataFrame:
     return join_groups(rows.withColumn("_key", key), named, ["_key"]).drop("_key")
 
 
-def _central(rows: DataFrame, medians: DataFrame) -> DataFrame:
+def _central(rows: DataFrame, medians: DataFrame, groups: int) -> DataFrame:
     """The moments of the rows near their group's medians (start 2)."""
     near = " AND ".join(f"abs(x{i} - m{i}) <= {CENTRAL} * l{i}{i}" for i in range(DIM))
-    return _moments(join_groups(rows, medians, ["_g"], "inner").where(near).withColumn("start", F.lit(2)), 1.0)
+    return _moments(join_groups(rows, medians, ["_g"], "inner", groups).where(near).withColumn("start", F.lit(2)), 1.0)
 
 
 def mcd_estimates(rows: DataFrame) -> DataFrame:
     """MCD estimate of each group _g of integer vectors x0.. ; a row a group. rows must be a written table."""
     both = rows.select("_g", *[f"x{i}" for i in range(DIM)])
     medians = materialize(_median_start(both), "mcd-medians")
-    starts = _moments(both.withColumn("start", F.lit(0)), 1.0).unionByName(medians).unionByName(_central(both, medians.drop("start", "n")))
+    groups = 3 * medians.count()
+    starts = _moments(both.withColumn("start", F.lit(0)), 1.0).unionByName(medians).unionByName(_central(both, medians.drop("start", "n"), groups))
     est = materialize(starts, "mcd-start")
     for step in range(MAX_STEPS):
-        far = _with_distance(join_groups(both, est, ["_g"], "inner"), ["_g", "start", *[f"x{i}" for i in range(DIM)]], "bin", "floor(log1p({}) * 64)")
+        far = _with_distance(join_groups(both, est, ["_g"], "inner", groups), ["_g", "start", *[f"x{i}" for i in range(DIM)]], "bin", f"floor(log1p({{}}) * {BINS})")
         bins = far.groupBy("_g", "start", "bin").agg(F.count("*").alias("k"))
         w = Window.partitionBy("_g", "start")  # a few hundred bins a group
         cum = bins.select("_g", "start", "bin", F.sum("k").over(w.orderBy("bin")).alias("c"), F.sum("k").over(w).alias("t"))
-        cut = materialize(cum.where(F.col("c") >= F.col("t") * KEEP_SHARE).groupBy("_g", "start").agg(F.min("bin").alias("cut")), "mcd-cut")
-        held = est.join(cut, ["_g", "start"])  # both a few rows a group
-        near = _with_distance(join_groups(both, materialize(held, "mcd-held"), ["_g"], "inner"), ["_g", "start", "cut", *[f"x{i}" for i in range(DIM)]], "bin", "floor(log1p({}) * 64)")
-        new = materialize(_moments(near.where(F.col("bin") <= F.col("cut")), CONSISTENCY), f"mcd-{step}")
-        was = est.select("_g", "start", F.col("logdet").alias("was"))
-        settled = step > 0 and new.join(was, ["_g", "start"]).where(F.col("logdet") < F.col("was") - SETTLED).isEmpty()
-        est = new
-        if settled:
+        cut = cum.where(F.col("c") >= F.col("t") * KEEP_SHARE).groupBy("_g", "start").agg(F.min("bin").alias("cut"))
+        held = materialize(est.drop("was").withColumnRenamed("logdet", "was").join(cut, ["_g", "start"]), "mcd-held")  # a row a group and start
+        near = _with_distance(join_groups(both, held, ["_g"], "inner", groups), ["_g", "start", "was", "cut", *[f"x{i}" for i in range(DIM)]], "bin", f"floor(log1p({{}}) * {BINS})")
+        est = materialize(_moments(near.where(F.col("bin") <= F.col("cut")), CONSISTENCY), f"mcd-{step}")
+        if step and est.where(F.col("logdet") < F.col("was") - SETTLED).isEmpty():
             break
+    est = est.drop("was")
     best = est.groupBy("_g").agg(F.min_by(F.struct(*est.columns), F.struct("logdet", "start")).alias("e"))
     return materialize(best.select("e.*"), "mcd")
 
