@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragmill.llm.common import materialize, tokenizer_path
+from ragmill.llm.common import materialize, slices, tokenizer_path
 from ragmill.session import ship
 
 LEAF = 16_384  # characters of a leaf; longer texts are spread over the cluster
@@ -63,7 +63,7 @@ class WordBpe:
         self.splitter = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.pattern = regex.compile(PRE_TOKEN)
         self.ids = vocab | self.special
-        self.open = models.BPE(vocab=vocab, merges=merges)  # without the word end: for the inner leaves of a run
+        self.open_model = functools.cache(lambda: models.BPE(vocab=vocab, merges=merges))  # made only for a long run
         self.bytes = str.maketrans({chr(b): c for b, c in _byte_table().items()})
         self.cache: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
@@ -82,10 +82,10 @@ class WordBpe:
         return piece.encode("utf-8").decode("latin-1").translate(self.bytes)
 
     def tokens(self, symbols: str, closed: bool) -> list[str]:
-        """Tokens of a run of symbols; closed: the word ends here."""
+        """Tokens of a run of symbols; closed: the word ends here, else (inner leaves of a run) no word end is added."""
         if not symbols:
             return []
-        return [t.value for t in (self.tok.model if closed else self.open).tokenize(symbols)]
+        return [t.value for t in (self.tok.model if closed else self.open_model()).tokenize(symbols)]
 
     def row(self, tokens: list[str]) -> tuple[int, str, str]:
         return len(tokens), " ".join(str(self.ids[t]) for t in tokens), " ".join(tokens)
@@ -216,7 +216,7 @@ RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 def _short(path: str, keep_text: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in slices(batches):
             rows = [enc.encode(t or "") for t in b.column("_text").to_pylist()]
             cols = [b.column("_id"), pa.array([r[0] for r in rows], pa.int64())]
             cols += [pa.array([r[k] if keep_text else _sha(r[k]) for r in rows], pa.string()) for k in (1, 2)]
@@ -228,7 +228,7 @@ def _short(path: str, keep_text: bool):
 def _cut(path: str, leaf: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in slices(batches, 8):
             for rid, doc, text in zip(*(b.column(c).to_pylist() for c in ("_rid", "_id", "_text")), strict=True):
                 got = list(enc.leaves(text, leaf)) or [("text", "")]
                 n = len(got)
@@ -243,7 +243,7 @@ def _cut(path: str, leaf: int):
 def _leaf(path: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in slices(batches, 32):
             n, ids, toks = [], [], []
             for kind, payload in zip(b.column("kind").to_pylist(), b.column("payload").to_pylist(), strict=True):
                 if kind == "special":
@@ -265,7 +265,7 @@ def _leaf(path: str):
 def _joined(path: str, keep_text: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in slices(batches, 8):
             rows = []
             for leaves in b.column("leaves").to_pylist():
                 out: list[tuple[int, str, str]] = []
@@ -309,7 +309,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 def _lengths(path: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([enc.length(t or "") for t in b.column("_text").to_pylist()], pa.int64())], names=["length"])
 
     return work

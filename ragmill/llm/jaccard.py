@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragmill.llm.common import materialize
+from ragmill.llm.common import materialize, slices
 from ragmill.session import ship
 
 SHINGLE = 5
@@ -119,7 +119,7 @@ class Shingler:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sh = Shingler()
-    for b in batches:
+    for b in slices(batches):
         keys, sizes, sigs = [], [], []
         rest = [c for c in b.schema.names if c != "_text"]
         for text in b.column("_text").to_pylist():
@@ -294,7 +294,7 @@ def _verify(threshold: float):
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sh = Shingler()
-    for b in batches:
+    for b in slices(batches):
         keys, sets = [], []
         for text in b.column("_text").to_pylist():
             words = sh.words(text or "")

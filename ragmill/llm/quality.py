@@ -151,10 +151,10 @@ def mcd_estimates(rows: DataFrame) -> DataFrame:
         w = Window.partitionBy("_g", "start")  # a few hundred bins a group
         cum = bins.select("_g", "start", "bin", F.sum("k").over(w.orderBy("bin")).alias("c"), F.sum("k").over(w).alias("t"))
         cut = cum.where(F.col("c") >= F.col("t") * KEEP_SHARE).groupBy("_g", "start").agg(F.min("bin").alias("cut"))
-        held = materialize(est.drop("was").withColumnRenamed("logdet", "was").join(cut, ["_g", "start"]), "mcd-held")  # a row a group and start
+        held = est.drop("was").withColumnRenamed("logdet", "was").join(cut, ["_g", "start"])  # a row a group and start
         near = _with_distance(join_groups(both, held, ["_g"], "inner", groups), ["_g", "start", "was", "cut", *[f"x{i}" for i in range(DIM)]], "bin", f"floor(log1p({{}}) * {BINS})")
         est = materialize(_moments(near.where(F.col("bin") <= F.col("cut")), CONSISTENCY), f"mcd-{step}")
-        if step and est.where(F.col("logdet") < F.col("was") - SETTLED).isEmpty():
+        if step > 1 and est.where(F.col("logdet") < F.col("was") - SETTLED).isEmpty():
             break
     est = est.drop("was")
     best = est.groupBy("_g").agg(F.min_by(F.struct(*est.columns), F.struct("logdet", "start")).alias("e"))

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragmill.llm.common import bucket_of, materialize
+from ragmill.llm.common import bucket_of, materialize, slices
 from ragmill.session import ship
 
 DEPTH = 5
@@ -53,7 +53,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[bytes] = Counter()
     texts = 0
     out = lambda c: pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
-    for b in batches:
+    for b in slices(batches):
         for t in b.column("_text").to_pylist():
             seen.update(words_of(t))
             texts += 1
@@ -128,7 +128,7 @@ def _count_grams(classes: np.ndarray):
             return u, np.bincount(at, np.concatenate(counts)).astype(np.int64)
 
         rows = lambda u, n: pa.RecordBatch.from_arrays([pa.array(u >> 1, pa.int64()), pa.array(np.where(u & 1, 0, n), pa.int64()), pa.array(n, pa.int64())], names=["key", "n", "m"])
-        for b in batches:
+        for b in slices(batches, 1_024):
             for held in (0, 1):
                 texts = b.column("_text").filter(pc.equal(b.column("_held"), bool(held))).to_pylist()
                 for part in _chunks(words_of(t) for t in texts):
@@ -268,7 +268,7 @@ def _score(model):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         top = dict(zip(m["words"].column("word").to_pylist(), m["words"].column("p").to_pylist(), strict=True))
-        for b in batches:
+        for b in slices(batches):
             scores, grams, gram_counts, tokens, base, known, rare_words, rare_counts = [], [], [], [], [], [], [], []
             for part in _chunks(words_of(t) for t in b.column("_text").to_pylist()):
                 score, other, n_other = _head_scores([b" ".join(w) for w in part], m)
