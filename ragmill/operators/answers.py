@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ragmill.functions.text import citations, cut_on_space, key_terms, simple_sentences, snippet, strip
 
-#: The sentences of the extractive answer.
+#: The sentences of the extractive answers.
 NOTHING = "I could not find anything relevant in the provided documents to answer that question."
+COMPARE_NOTHING = "I could not find anything relevant in the selected documents to compare."
+COMPARE_TOP = "[offline mode] Top passage from each selected document:"
 BASED = "[offline mode] Based on the most relevant passage in your documents [1]:\n\n"
 
 
@@ -84,12 +86,13 @@ def last_per(rows: DataFrame, by: str, order: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
 
 
-def offline_compare_answer(results: DataFrame) -> DataFrame:
-    """Top passage (at most 300 characters) of each compared document in chosen order, numbered by document.
-    results: query_id, position, rank, document_name, content."""
-    top = results.where(F.col("rank") == 1).select("query_id", "position", F.concat(F.lit("["), F.col("position").cast("string"), F.lit("] "), F.col("document_name"), F.lit(": "), cut_on_space(strip(F.col("content")), 300)).alias("line"))
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("position", "line"))), lambda x: x["line"])
-    return top.groupBy("query_id").agg(F.concat(F.lit("[offline mode] Most relevant passage of each document:\n\n"), F.array_join(lines, "\n")).alias("answer"))
+def offline_compare_answer(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """Top passage (at most 300 characters) of each compared document in chosen order, numbered over the documents that
+    have one; a query without any has a fixed sentence. results: query_id, position, rank, document_name, content."""
+    top = results.where(F.col("rank") == 1).select("query_id", F.struct("position", "document_name", cut_on_space(strip(F.col("content")), 300).alias("passage")).alias("p"))
+    line = lambda x, i: F.concat(F.lit("\n\n**"), x["document_name"], F.lit("** ["), (i + 1).cast("string"), F.lit("]: "), x["passage"])
+    found = top.groupBy("query_id").agg(F.concat(F.lit(COMPARE_TOP), F.array_join(F.transform(F.sort_array(F.collect_list("p")), line), "")).alias("answer"))
+    return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("answer", F.lit(COMPARE_NOTHING)).alias("answer"))
 
 
 def highlight_inputs(highlights: DataFrame, first: int = 5, timeline: int = 20) -> DataFrame:

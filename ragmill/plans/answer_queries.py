@@ -9,7 +9,7 @@ from ragmill.functions import text as tx
 from ragmill.operators import answers as an
 from ragmill.operators import chunking, importance, vectors
 from ragmill.plans.registry import query
-from ragmill.plans.retrieval_queries import HYBRID_SQL, K, compare_results, results
+from ragmill.plans.retrieval_queries import HYBRID_SQL, K, asked, compare_results, results
 from ragmill.plans.text_queries import IMPORTANCE_SQL, chunks
 from ragmill.sources.views import documents, table
 
@@ -20,12 +20,13 @@ _WORDS = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 def _terms(name: str, keys: str, text: str, source: str) -> str:
     """SQL of distinct key terms (keys, term) of a text column."""
     return f"""{name}r AS (SELECT {keys}, unnest(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {source}),
-  {name}n AS (SELECT {keys}, unnest(regexp_extract_all({text}, '[0-9][0-9,.%]*')) AS w FROM {source}),
+  {name}n AS (SELECT {keys}, unnest(regexp_extract_all({text}, '\\b[0-9][0-9,.%]*\\b')) AS w FROM {source}),
   {name} AS (SELECT {keys}, lower(w) AS term FROM {name}r WHERE regexp_full_match(w, '[A-Z][A-Za-z]{{2,}}') AND w NOT IN ({_CAPS})
-    UNION SELECT {keys}, lower(w) FROM {name}r WHERE regexp_full_match(lower(w), '[a-z]{{5,}}') AND lower(w) NOT IN ({_WORDS}))"""
+    UNION SELECT {keys}, lower(w) FROM {name}r WHERE regexp_full_match(lower(w), '[a-z]{{5,}}') AND lower(w) NOT IN ({_WORDS})
+    UNION SELECT {keys}, w FROM {name}n)"""
 
 
-TURNS_SQL = """a AS (SELECT conv_id * 1000 + turn AS query_id, text AS answer FROM conversations WHERE role = 'assistant' AND NOT regexp_matches(text, '[0-9]')),
+TURNS_SQL = """a AS (SELECT conv_id * 1000 + turn AS query_id, text AS answer FROM conversations WHERE role = 'assistant'),
   c AS (SELECT conv_id * 1000 + turn + k AS query_id, k AS rank, conv_id * 1000 + turn AS id, text AS content FROM conversations, (SELECT unnest([1, 2]) AS k) AS ks),
   s0 AS (SELECT query_id, string_split(regexp_replace(regexp_replace(answer, '^\\s+|\\s+$', '', 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS x FROM a),
   s AS (SELECT query_id, unnest(range(0, len(x))) AS sentence_no, unnest(x) AS sentence FROM s0)"""
@@ -35,7 +36,7 @@ def turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Assistant turns as answers, the two turns before as what was retrieved."""
     c = table(spark, sf_dir, "conversations")
     key = F.col("conv_id") * 1_000 + F.col("turn")
-    a = c.where("role = 'assistant'").where(~F.col("text").rlike("[0-9]")).select(key.alias("query_id"), F.col("text").alias("answer"))
+    a = c.where("role = 'assistant'").select(key.alias("query_id"), F.col("text").alias("answer"))
     r = c.select(key.alias("id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"), F.col("text").alias("content"))
     return a, r.withColumn("query_id", F.col("id") + F.col("rank"))
 
@@ -50,13 +51,12 @@ def grounding_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.grounding_check(a, r).select("query_id", F.col("sentence_no").cast("long").alias("sentence_no"), "supported", "source_id")
 
 
-@query("confidence", f"""WITH {HYBRID_SQL}, r AS (SELECT query_id, avg(CASE WHEN rank <= 3 THEN ranked_score END) AS top3, max(CASE WHEN rank = 1 THEN similarity_score END) AS sim, count(*) AS n FROM hy WHERE rank <= {K} GROUP BY 1)
-  SELECT qs.query_id, round(CASE WHEN n IS NULL THEN 0 WHEN sim < 0.4 THEN least(0.35, sim) ELSE least(1, 0.5 * top3 + 0.3 * sim + 0.2 + least(0.1, 0.02 * n)) END, 4) AS confidence FROM qs LEFT JOIN r ON r.query_id = qs.query_id""")
+@query("confidence")
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confidence of answers without unsupported sentences."""
+    """Confidence of the extractive answers, less what their unsupported sentences cost."""
     _, q, r = results(spark, sf_dir)
     a = an.offline_answer(q, r)
-    return an.confidence(q, r, a, an.grounding_check(a, r).where("false"))
+    return an.confidence(q, r, a, an.grounding_check(a, r))
 
 
 @query("prompt_context", f"WITH {HYBRID_SQL} SELECT query_id, md5(string_agg('[' || rank || '] ' || content, chr(10) || chr(10) ORDER BY rank)) AS digest FROM hy JOIN chunks AS c ON c.id = hy.id WHERE rank <= {K} GROUP BY 1")
@@ -74,11 +74,11 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.citation_counts(a, s).withColumn("times", F.col("times").cast("int"))
 
 
-@query("answer_blocks", "SELECT conv_id * 1000 + turn AS query_id, unnest([1, 2, 3]) AS block_no, unnest(['heading', 'paragraph', 'list']) AS kind, unnest(['Turn ' || turn, replace(replace(text, chr(10), ' '), '  ', ' '), 'one two']) AS text FROM conversations WHERE text = regexp_replace(text, '^\\s+|\\s+$', '', 'g') AND NOT contains(text, '- ') AND NOT contains(text, '#') AND NOT contains(text, chr(10) || chr(10)) AND NOT contains(text, ' ' || chr(10)) AND NOT contains(text, '  ')")
+@query("answer_blocks")
 def answer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of every turn's whole text under a heading, with a list after it."""
     c = table(spark, sf_dir, "conversations")
-    plain = "text = regexp_replace(text, r'^\\s+|\\s+$', '') AND NOT contains(text, '- ') AND NOT contains(text, '#') AND NOT contains(text, '\\n\\n') AND NOT contains(text, ' \\n') AND NOT contains(text, '  ')"
-    a = c.where(plain).select((F.col("conv_id") * 1_000 + F.col("turn")).alias("query_id"), F.concat(F.lit("## Turn "), F.col("turn").cast("string"), F.lit("\n"), F.col("text"), F.lit("\n- one\n- two")).alias("answer"))
+    a = c.select((F.col("conv_id") * 1_000 + F.col("turn")).alias("query_id"), F.concat(F.lit("## Turn "), F.col("turn").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n- one\n- two")).alias("answer"))
     return an.answer_blocks(a)
 
 
@@ -97,7 +97,7 @@ def chunk_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("offline_compare_answer")
 def offline_compare_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return an.offline_compare_answer(compare_results(spark, sf_dir))
+    return an.offline_compare_answer(asked(spark, sf_dir), compare_results(spark, sf_dir))
 
 
 @query("ingest_documents", f"WITH {IMPORTANCE_SQL}, k AS (SELECT document_id, count(*) AS chunks, round(max(importance_score), 6) AS top FROM imp GROUP BY 1) SELECT d.document_id, coalesce(chunks, 0) AS chunks, top AS top_importance, CASE WHEN chunks IS NULL THEN 'failed' ELSE 'done' END AS status, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS words FROM docs AS d LEFT JOIN k ON k.document_id = d.document_id")

@@ -24,10 +24,10 @@ def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.cache_replay(e, 3_600)
 
 
-@query("answer_assembly", "SELECT conv_id AS query_id, string_agg(text, '' ORDER BY turn) AS answer, CAST(max(CASE WHEN turn >= 3 THEN 1 ELSE 0 END) AS INTEGER) AS complete FROM (SELECT conv_id, turn, substr(text, 1, 20) AS text FROM conversations) AS c GROUP BY 1")
+@query("answer_assembly", "SELECT conv_id AS query_id, string_agg(text, '' ORDER BY turn) AS answer, CAST(max(CASE WHEN turn >= 3 THEN 1 ELSE 0 END) AS INTEGER) AS complete FROM conversations GROUP BY 1")
 def answer_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    tokens = c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("seq"), F.lit("token").alias("kind"), F.substring("text", 1, 20).alias("text"))
+    tokens = c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("seq"), F.lit("token").alias("kind"), "text")
     done = c.where("turn >= 3").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("seq"), F.lit("done").alias("kind"), F.lit("").alias("text"))
     return assemble(tokens.unionByName(done))
 

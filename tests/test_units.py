@@ -144,3 +144,33 @@ def test_cache_replay_anchored(spark):
     rows = [(1, "u", 0, "k"), (2, "u", 200, "k"), (3, "u", 301, "k"), (4, "u", 310, None), (5, "u", 311, "k"), (6, "v", 0, "k")]
     d = spark.createDataFrame([(i, u, t + dt.timedelta(seconds=s), k) for i, u, s, k in rows], "id long, user_id string, ts timestamp, cache_key string")
     assert {r["id"]: r["hit"] for r in streams.cache_replay(d).collect()} == {1: False, 2: True, 3: False, 4: False, 5: False, 6: False}
+
+
+def test_compare_answer(spark):
+    q = spark.createDataFrame([(1,), (2,)], "query_id long")
+    r = spark.createDataFrame([(1, 2, 1, "b.txt", " short "), (1, 0, 1, "a.txt", "word " * 100), (1, 0, 2, "a.txt", "second")], "query_id long, position int, rank int, document_name string, content string")
+    got = {x["query_id"]: x["answer"] for x in answers.offline_compare_answer(q, r).collect()}
+    cut = ("word " * 60).rstrip().rsplit(" ", 1)[0] if ("word " * 60)[:300].endswith("d") else ("word " * 60)[:300].rsplit(" ", 1)[0]
+    assert got[1] == f"{answers.COMPARE_TOP}\n\n**a.txt** [1]: {cut}…\n\n**b.txt** [2]: short"
+    assert got[2] == answers.COMPARE_NOTHING
+
+
+def test_answer_blocks_whole_texts(spark):
+    """Blocks of hard texts, line by line."""
+    texts = ["plain\nlines\n\n- a\n- b\n# one\n## two\n### three\ntail ", "", "  - x  \n\n\n-y\n- ", "a\n\nb"]
+    want = []
+    for i, t in enumerate(texts):
+        blocks, last = [], None
+        for line in t.split("\n"):
+            line = line.strip()
+            head = line.startswith(("## ", "### "))
+            kind = "blank" if not line else "heading" if head else "list" if line.startswith("- ") else "paragraph"
+            text = line.split(" ", 1)[1] if head else line[2:] if kind == "list" else line
+            if kind == last and kind not in ("heading", "blank"):
+                blocks[-1][1].append(text)
+            elif kind != "blank":
+                blocks.append((kind, [text]))
+            last = kind
+        want += [(i, n + 1, k, " ".join(x)) for n, (k, x) in enumerate(blocks)]
+    got = answers.answer_blocks(spark.createDataFrame(list(enumerate(texts)), "query_id long, answer string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
