@@ -73,7 +73,7 @@ def vector() -> list[Column]:
     return [F.round(r * UNIT).cast("long") for r in raw]
 
 
-def _with_distance(rows: DataFrame, keep: list[str], name: str, wrap: str = "{}") -> DataFrame:
+def _with_distance(rows: DataFrame, keep: list[str], name: str, wrap: str) -> DataFrame:
     """Squared Mahalanobis distance by forward substitution with the group's Cholesky factor (later columns use the
     aliases of earlier ones)."""
     z = [f"({' - '.join([f'x{i}', f'm{i}', *[f'l{i}{k} * z{k}' for k in range(i)]])}) / l{i}{i} AS z{i}" for i in range(DIM)]
@@ -90,11 +90,27 @@ def _factor() -> list[str]:
     return steps
 
 
-def _with_noise(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """The factor of each text's own covariance: the group's (from its factor) and NOISE."""
-    cov = [" + ".join([f"l{i}{k} * l{j}{k}" for k in range(j + 1)] + ([f"{UNIT**2}D * ({NOISE[i]})"] if i == j else [])) + f" AS c{i}{j}" for i, j in PAIRS]
-    place = [f"{c}{i}" for c in "xm" for i in range(DIM)]
-    return rows.withColumn("_nw", F.greatest(F.col("n_words"), F.lit(1))).withColumn("_unit", F.expr(f"greatest({WINDOW}, 2 * _nw / greatest(n_lines, 1))")).selectExpr(*keep, *place, *cov).selectExpr(*keep, *place, *_factor())
+def _own_distance() -> Column:
+    """Squared Mahalanobis distance under each text's own covariance: the group's (from its factor) and NOISE. One
+    dimension is eliminated at a time; each step's values are bound once, as the element of an array, so a filter on the
+    verdict that Catalyst moves below the projection stays as small as it is."""
+    unit = f"greatest({WINDOW}, 2 * greatest(n_words, 1) / greatest(n_lines, 1))"
+    own = [n.replace("_nw", "greatest(n_words, 1)").replace("_unit", unit) for n in NOISE]
+    cov = [F.expr(" + ".join([f"l{i}{k} * l{j}{k}" for k in range(j + 1)] + ([f"{UNIT**2}D * ({own[i]})"] if i == j else []))).alias(f"c{i}{j}") for i, j in PAIRS]
+    state = F.struct(F.lit(0.0).alias("total"), *[F.expr(f"double(x{i} - m{i})").alias(f"d{i}") for i in range(DIM)], *cov)
+
+    def eliminate(s: Column, k: int) -> Column:
+        """The state without dimension k."""
+        pivot = F.greatest(s[f"c{k}{k}"], F.lit(1e-9))
+        rest = range(k + 1, DIM)
+        left = [(s[f"d{i}"] - s[f"c{i}{k}"] * s[f"d{k}"] / pivot).alias(f"d{i}") for i in rest]
+        square = [(s[f"c{i}{j}"] - s[f"c{i}{k}"] * s[f"c{j}{k}"] / pivot).alias(f"c{i}{j}") for i in rest for j in rest if j <= i]
+        return F.struct((s["total"] + s[f"d{k}"] * s[f"d{k}"] / pivot).alias("total"), *left, *square)
+
+    steps = F.array(state)
+    for k in range(DIM):
+        steps = F.transform(steps, lambda s: eliminate(s, k))  # noqa: B023 - called at once
+    return steps[0]["total"]
 
 
 def _cholesky(est: DataFrame) -> DataFrame:
@@ -174,8 +190,7 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None, lang: str = "l
     narrow = rows.where(~F.col("base_failed")).select("_g", *[f"x{i}" for i in range(DIM)])
     est = mcd_estimates(materialize(narrow, "quality-vectors"))
     judged = join_groups(rows, est.withColumnRenamed("n", "_n").drop("start", "logdet"), ["_g"])
-    shown = [c for c in rows.columns if c != "_g" and c not in {f"x{i}" for i in range(DIM)}]
-    rule = f"CASE WHEN NOT base_failed AND _n >= {2 * (DIM + 1)} THEN {{}} END"
-    judged = _with_distance(_with_noise(judged, [*shown, "_n"]), shown, "distance", rule)
+    distance = F.when(~F.col("base_failed") & (F.col("_n") >= 2 * (DIM + 1)), _own_distance())
+    judged = judged.withColumn("distance", distance)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
     return judged.select(*[F.col(f"_k_{c}").alias(c) for c in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
