@@ -644,3 +644,10 @@ def test_pipeline(spark, tmp_path):
     for i, r in got.items():
         n, ids, decoded = reference_encoding(texts[i])
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+def test_quality_filter_stays_small(spark):
+    docs = spark.createDataFrame([(i, "word " * (i + 1) + f"x{i} # y{i}", "en", "a") for i in range(30)], "doc_id long, text string, lang string, source string")
+    kept = quality.quality_rules(docs, keep=["doc_id", "text"]).where("kept").select("doc_id", "text")
+    assert len(kept._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+    assert kept.count() == quality.quality_rules(docs).where("kept").count()
