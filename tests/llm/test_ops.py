@@ -649,5 +649,5 @@ def test_pipeline(spark, tmp_path):
 def test_quality_filter_stays_small(spark):
     docs = spark.createDataFrame([(i, "word " * (i + 1) + f"x{i} # y{i}", "en", "a") for i in range(30)], "doc_id long, text string, lang string, source string")
     kept = quality.quality_rules(docs, keep=["doc_id", "text"]).where("kept").select("doc_id", "text")
-    assert len(kept._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+    assert len(kept._jdf.queryExecution().optimizedPlan().toString()) < 20_000
     assert kept.count() == quality.quality_rules(docs).where("kept").count()
