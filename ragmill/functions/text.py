@@ -122,7 +122,7 @@ def row_text(columns: list[str]) -> Column:
     parts = []
     for c in columns:
         v = F.col(f"`{c}`").cast("string")
-        parts.append(F.when(v.isNotNull() & (v != ""), F.concat(F.lit(f"{c or 'Column'}: "), v)))
+        parts.append(F.when(v.isNotNull() & (v != ""), F.concat(F.lit(f"{c.strip() if c else 'Column'}: "), v)))
     return F.concat_ws(", ", *parts)
 
 

@@ -39,6 +39,12 @@ def document_usage(log: DataFrame) -> DataFrame:
     )
 
 
+def source_rows(log: DataFrame, documents: DataFrame) -> DataFrame:
+    """A row for each logged source whose document still exists and is live: id, user_id, document_id, filename, ranked_score."""
+    s = live(log).select("id", "user_id", F.explode(F.from_json("sources_json", SOURCES)).alias("s")).select("id", "user_id", "s.document_id", "s.ranked_score")
+    return s.join(live(documents).select("document_id", "filename"), "document_id").select("id", "user_id", "document_id", "filename", "ranked_score")
+
+
 def most_queried_document(usage: DataFrame) -> DataFrame:
     """The document with most retrievals of each user; ties: the least id."""
     return usage.groupBy("user_id").agg(F.min_by("document_id", F.struct(-F.col("retrievals"), F.col("document_id"))).alias("document_id"), F.max("retrievals").alias("retrievals"))
@@ -74,9 +80,10 @@ def coverage_heatmap(chunks: DataFrame) -> DataFrame:
 
 
 def request_metrics(requests: DataFrame, window: str = "1 hour") -> DataFrame:
-    """Counts, latency buckets and server errors by window, endpoint and status; columns ts, endpoint, status, latency."""
+    """Counts, latency buckets and server errors by window, method, endpoint and status; columns ts, method, endpoint (the
+    route's template), status, latency."""
     lat = F.col("latency")
-    return requests.groupBy(F.window("ts", window)["start"].alias("window_start"), "endpoint", "status").agg(
+    return requests.groupBy(F.window("ts", window)["start"].alias("window_start"), "method", "endpoint", "status").agg(
         F.count("*").alias("requests"),
         F.sum(F.when(lat <= 50, 1).otherwise(0)).alias("le_50"),
         F.sum(F.when(lat <= 100, 1).otherwise(0)).alias("le_100"),

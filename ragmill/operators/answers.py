@@ -53,6 +53,19 @@ def confidence(queries: DataFrame, results: DataFrame, answers: DataFrame, groun
     return j.select("query_id", F.round(value, 4).alias("confidence"))
 
 
+def answer_log(queries: DataFrame, results: DataFrame, answers: DataFrame, mode: str, conf: DataFrame | None = None) -> DataFrame:
+    """A history row for each query: query_id, question, answer, mode, sources_json (null without results), confidence_score.
+    The sources are a compact snapshot in rank order; a query has at most a few results."""
+    r = results.withColumn("ranked_score", F.bround(F.least(F.lit(1.0), F.col("ranked_score")) * 100) / 100)
+    card = F.struct("rank", "document_id", F.col("id").alias("chunk_id"), "document_name", "ranked_score", F.round("importance_score", 4).alias("importance_score"))
+    fields = lambda x: F.struct(*[x[n].alias(n) for n in ("chunk_id", "document_id", "document_name", "ranked_score", "importance_score")])
+    s = r.groupBy("query_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(card)), fields)).alias("sources_json"))
+    if conf is None:
+        conf = confidence(queries, results, answers, grounding_check(answers, results))
+    out = queries.select("query_id", "question").join(answers, "query_id", "left").join(s, "query_id", "left").join(conf, "query_id", "left")
+    return out.select("query_id", "question", "answer", F.lit(mode).alias("mode"), "sources_json", F.coalesce("confidence", F.lit(0.0)).alias("confidence_score"))
+
+
 def citation_counts(answers: DataFrame, sources: DataFrame) -> DataFrame:
     """Cited source numbers of each answer and whether they exist."""
     c = answers.select("query_id", F.explode(citations(F.col("answer"))).alias("n")).groupBy("query_id", "n").agg(F.count("*").alias("times"))
@@ -68,9 +81,11 @@ def record_retrievals(results: DataFrame, stored: DataFrame, at: str) -> DataFra
 
 
 def mindmap(queries: DataFrame, results: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (query and chunks) and edges (query to chunk by rank, chunk to chunk by weight) of each query."""
-    q = queries.select("query_id", F.lit("query").alias("kind"), F.lit(0).cast("long").alias("node"), F.substring("question", 1, 50).alias("label"))
-    c = results.select("query_id", F.lit("chunk").alias("kind"), F.col("rank").alias("node"), F.substring("content", 1, 60).alias("label"))
+    """Nodes (query and chunks) and edges (query to chunk by rank, chunk to chunk by weight) of each query. A chunk is
+    labelled by its section_heading, if results have one, else by the start of its text."""
+    q = queries.select("query_id", F.lit("query").alias("kind"), F.lit(0).cast("long").alias("node"), F.substring(strip(F.col("question")), 1, 50).alias("label"))
+    head = F.nullif("section_heading", F.lit("")) if "section_heading" in results.columns else F.lit(None).cast("string")
+    c = results.select("query_id", F.lit("chunk").alias("kind"), F.col("rank").alias("node"), strip(F.coalesce(head, F.substring("content", 1, 60))).alias("label"))
     e = results.select("query_id", F.lit(0).cast("long").alias("a"), F.col("rank").alias("b"), "ranked_score").withColumnRenamed("ranked_score", "weight")
     return q.unionByName(c), e.unionByName(links)
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragmill.functions.text import detect_heading, split_sentences, strip
+from ragmill.functions.text import detect_heading, row_text, split_sentences, strip
 from ragmill.session import ship
 
 #: Window and overlap in characters; characters of a packed chunk and sentences of overlap.
@@ -46,6 +48,31 @@ def paragraph_blocks(text: Column) -> Column:
     return F.transform(parts, lambda x: F.struct(x.alias("text"), F.lit(1).alias("page"), F.lit(None).cast("string").alias("heading"), F.lit(0).alias("level"), F.lit(False).alias("is_heading"))).cast(BLOCKS)
 
 
+def table_blocks(rows: DataFrame, keep: list[str], columns: list[str], heading: str | None = None) -> DataFrame:
+    """A block for each row of any table: keep columns, text ("name: value" of the non-empty columns) and heading (say the
+    sheet's name). Rows without a value give no block."""
+    return rows.select(*keep, row_text(columns).alias("text"), F.lit(heading).cast("string").alias("heading")).where("text <> ''")
+
+
+def _csv_rows(texts: pd.Series) -> pd.Series:
+    csv.field_size_limit(2**31 - 1)
+
+    def one(text: str | None) -> list[str]:
+        lines = csv.reader(io.StringIO(text or ""))
+        labels = [h.strip() if h else "Column" for h in next(lines, [])]
+        rendered = (", ".join(f"{label}: {value}" for label, value in zip(labels, line, strict=False) if value != "") for line in lines)
+        return [r for r in rendered if r]
+
+    return texts.map(one)
+
+
+def csv_blocks(files: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """Data rows of each CSV text as blocks: keep columns, row_no, text. Empty names read "Column", empty values are left out,
+    values beyond the header (or missing ones) are dropped; quoted fields may hold commas, quotes and line ends."""
+    ship(files.sparkSession)
+    return files.select(*keep, F.posexplode(F.pandas_udf(_csv_rows, "array<string>")(F.col(text))).alias("row_no", "text"))
+
+
 def blocks_to_text(blocks: Column) -> Column:
     return F.array_join(F.filter(F.transform(blocks, lambda b: b["text"]), lambda x: x.isNotNull() & (x != "")), "\n\n")
 

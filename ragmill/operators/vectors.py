@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,9 +40,18 @@ def embed_array(texts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def hash_embed(df: DataFrame, text: str = "content", out: str = "embedding") -> DataFrame:
+def hash_embed(df: DataFrame, text: str = "content", out: str = "embedding", embedder: Callable[[pd.Series], pd.Series] = embed_array) -> DataFrame:
+    """Add the vector of each text. `embedder` maps a batch of texts to as many vectors in the same order (any model that
+    runs in a task); the default hashes tokens. A batch with another number of vectors is an error."""
     ship(df.sparkSession)
-    return df.withColumn(out, F.pandas_udf(embed_array, "array<double>")(F.col(text)))
+
+    def embed(texts: pd.Series) -> pd.Series:
+        vectors = embedder(texts)
+        if len(vectors) != len(texts):
+            raise ValueError(f"embedder gave {len(vectors)} vectors for {len(texts)} texts")
+        return pd.Series(list(vectors), index=texts.index)
+
+    return df.withColumn(out, F.pandas_udf(embed, "array<double>")(F.col(text)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -120,10 +129,10 @@ def doc_centroid(chunks: DataFrame, first: int = 10) -> DataFrame:
     """Mean of a document's first chunk vectors: document_id, dim, centroid. Vectors of another length than the first are
     left out."""
     head = chunks.where(F.col("chunk_index") < first).select("document_id", "chunk_index", "embedding")
-    dims = head.groupBy("document_id").agg(F.min_by(F.size("embedding"), "chunk_index").alias("dim"))
-    flat = head.join(dims, "document_id").where(F.size("embedding") == F.col("dim")).select("document_id", "dim", F.posexplode("embedding").alias("pos", "v"))
-    mean = flat.groupBy("document_id", "dim", "pos").agg(F.avg("v").alias("v"))
-    return mean.groupBy("document_id", "dim").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("centroid"))
+    few = head.where(F.size("embedding") > 0).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "embedding"))).alias("v"))  # at most `first`
+    few = few.withColumn("dim", F.size(F.col("v")[0]["embedding"])).withColumn("v", F.filter(F.transform("v", lambda x: x["embedding"].cast("array<double>")), lambda x: F.size(x) == F.col("dim")))
+    total = F.aggregate("v", F.array_repeat(F.lit(0.0), F.col("dim")), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+    return few.select("document_id", "dim", F.transform(total, lambda t: t / F.size("v")).alias("centroid"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = NEAR, block: int = BLOCK) -> DataFrame:
@@ -154,6 +163,40 @@ def near_duplicates(docs: DataFrame, threshold: float = NEAR, block: int = BLOCK
     return best.select("document_id", "b.duplicate_of", F.round("b.similarity", 6).alias("similarity"))
 
 
+def duplicates_of_new(new: DataFrame, stored: DataFrame, threshold: float = NEAR, block: int = BLOCK) -> DataFrame:
+    """For each new document the earliest stored one of its user with a centroid cosine above the threshold.
+
+    Both: user_id, document_id, created_at, dim, centroid. Each side of a user is dealt to blocks and every pair of a new
+    and a stored block is a group of at most two blocks. Only a row for each new document that has a match is returned."""
+    ship(new.sparkSession)
+    key = ["user_id", "dim"]
+    count = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = count(new, "nn").join(count(stored, "ns"), key)  # only users on both sides
+    own = lambda n: F.pmod(F.xxhash64("document_id"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = [*key, "bn", "bs", "is_new", "document_id", F.unix_micros("created_at").alias("at"), "centroid"]
+    a = new.join(sizes, key).withColumn("bn", own("nn")).withColumn("bs", all_of("ns")).withColumn("is_new", F.lit(True)).select(*cols)
+    b = stored.join(sizes, key).withColumn("bs", own("ns")).withColumn("bn", all_of("nn")).withColumn("is_new", F.lit(False)).select(*cols)
+
+    def unit(vectors: pd.Series) -> np.ndarray:
+        m = np.stack(vectors.to_numpy())
+        norm = np.sqrt((m * m).sum(1))[:, None]
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    def pairs(g: pd.DataFrame) -> pd.DataFrame:
+        left, right = g[g["is_new"]], g[~g["is_new"]].sort_values(["at", "document_id"])
+        if left.empty or right.empty:
+            return pd.DataFrame({"document_id": [], "duplicate_of": [], "at": [], "similarity": []})
+        sim = np.round(unit(left["centroid"]) @ unit(right["centroid"]).T, 12)
+        rows = np.flatnonzero((sim > threshold).any(1))
+        first = (sim > threshold)[rows].argmax(1)
+        return pd.DataFrame({"document_id": left["document_id"].to_numpy()[rows], "duplicate_of": right["document_id"].to_numpy()[first], "at": right["at"].to_numpy()[first], "similarity": sim[rows, first]})
+
+    found = a.unionByName(b).groupBy(*key, "bn", "bs").applyInPandas(pairs, "document_id long, duplicate_of long, at long, similarity double")
+    best = found.groupBy("document_id").agg(F.min(F.struct("at", "duplicate_of", "similarity")).alias("b"))
+    return best.select("document_id", "b.duplicate_of", F.round("b.similarity", 6).alias("similarity"))
+
+
 def similar_pairs(vectors: DataFrame, by: str, threshold: float) -> DataFrame:
     """Pairs of one group's few vectors (a query's results) with a cosine above the threshold: by, a, b, weight."""
     a = vectors.select(by, F.col("pos").alias("a"), F.col("embedding").alias("va"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ragmill.operators import analytics as an
 from ragmill.plans.registry import query
 from ragmill.plans.text_queries import CHUNKS_SQL, chunks
-from ragmill.sources.views import LOG_SQL, documents, query_log, table
+from ragmill.sources.views import DOCS_SQL, LOG_SQL, documents, query_log, table
 
 TODAY = "2024-01-30"
 
@@ -74,14 +74,19 @@ def coverage_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.coverage_heatmap(retrieved(spark, sf_dir))
 
 
-@query("request_metrics", """SELECT date_trunc('hour', ts) AS window_start, event_type AS endpoint, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, count(*) AS requests,
+@query("request_metrics", """SELECT date_trunc('hour', ts) AS window_start, CASE WHEN user_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method, event_type AS endpoint, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, count(*) AS requests,
   CAST(sum(CASE WHEN value <= 50 THEN 1 ELSE 0 END) AS BIGINT) AS le_50, CAST(sum(CASE WHEN value <= 100 THEN 1 ELSE 0 END) AS BIGINT) AS le_100, CAST(sum(CASE WHEN value <= 250 THEN 1 ELSE 0 END) AS BIGINT) AS le_250,
-  CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM events GROUP BY 1, 2, 3""")
+  CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM events GROUP BY 1, 2, 3, 4""")
 def request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("endpoint"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"), F.col("value").alias("latency"))
+    e = table(spark, sf_dir, "events").select("ts", F.when(F.col("user_id") % 3 == 0, "POST").otherwise("GET").alias("method"), F.col("event_type").alias("endpoint"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"), F.col("value").alias("latency"))
     return an.request_metrics(e)
 
 
+@query("source_explode_join", f"WITH {LOG_SQL}, {DOCS_SQL} SELECT l.id, l.user_id, document_id, filename, round(confidence_score, 4) AS ranked_score FROM qlog AS l JOIN docs AS d ON d.document_id = l.k WHERE l.deleted_at IS NULL AND d.deleted_at IS NULL")
+def source_explode_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return an.source_rows(query_log(spark, sf_dir), documents(spark, sf_dir))
+
+
 @query("log_correlate", "SELECT user_id AS request_id, string_agg(event_type, '>' ORDER BY ts, event_type) AS messages, count(*) AS lines FROM events GROUP BY 1")
 def log_correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("request_id"), "ts", F.col("event_type").alias("message"))

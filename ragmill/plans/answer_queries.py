@@ -10,7 +10,7 @@ from ragmill.operators import answers as an
 from ragmill.operators import chunking, importance, vectors
 from ragmill.plans.registry import query
 from ragmill.plans.retrieval_queries import HYBRID_SQL, K, asked, compare_results, results
-from ragmill.plans.text_queries import IMPORTANCE_SQL, chunks
+from ragmill.plans.text_queries import HIGHLIGHTS_SQL, IMPORTANCE_SQL, chunks
 from ragmill.sources.views import documents, table
 
 _CAPS = ", ".join(f"'{w}'" for w in tx.STOP_CAPS)
@@ -82,7 +82,8 @@ def answer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.answer_blocks(a)
 
 
-@query("highlight_inputs")
+@query("highlight_inputs", f"""WITH {HIGHLIGHTS_SQL} SELECT document_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank) FILTER (WHERE rank <= 5) AS summary_input,
+  string_agg('(chunk ' || chunk_index || ') ' || substr(text, 1, 200), chr(10) ORDER BY rank) AS timeline_input FROM hl GROUP BY 1""")
 def highlight_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.highlight_inputs(importance.highlights(importance.chunk_importance(chunks(spark, sf_dir))))
 

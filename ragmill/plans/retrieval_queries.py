@@ -157,13 +157,6 @@ def record_retrievals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.record_retrievals(r, stored, "2024-02-01 00:00:00").select("id", "retrieved_count")
 
 
-@query("near_duplicates")
-def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = vectors.hash_embed(chunks(spark, sf_dir).where("deleted_at IS NULL AND chunk_index < 10"))
-    d = documents(spark, sf_dir).select("document_id", "user_id", "created_at").join(vectors.doc_centroid(c), "document_id")
-    return vectors.near_duplicates(d)
-
-
 @query("minmax_by_label", "SELECT vec_id, round(CASE WHEN max(x) OVER w - min(x) OVER w < 1e-12 THEN 0 ELSE (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) END, 6) AS scaled FROM (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings) AS e WINDOW w AS (PARTITION BY label)")
 def minmax_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
@@ -172,7 +165,7 @@ def minmax_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.round(importance.minmax(F.col("embedding")[0].cast("double"), Window.partitionBy("label"), 0.0), 6).alias("scaled"))
 
 
-@query("mindmap_nodes", f"WITH {HYBRID_SQL} SELECT query_id, 'query' AS kind, 0 AS node, substr(question, 1, 50) AS label FROM qs UNION ALL SELECT query_id, 'chunk', rank, substr(content, 1, 60) FROM hy JOIN chunks AS c ON c.id = hy.id WHERE rank <= {K}")
+@query("mindmap_nodes", f"WITH {HYBRID_SQL} SELECT query_id, 'query' AS kind, 0 AS node, substr(regexp_replace(question, '^\\s+|\\s+$', '', 'g'), 1, 50) AS label FROM qs UNION ALL SELECT query_id, 'chunk', rank, regexp_replace(substr(content, 1, 60), '^\\s+|\\s+$', '', 'g') FROM hy JOIN chunks AS c ON c.id = hy.id WHERE rank <= {K}")
 def mindmap_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q, r = results(spark, sf_dir)
     v = r.join(c.select("id", "embedding"), "id").select("query_id", F.col("rank").alias("pos"), "embedding")

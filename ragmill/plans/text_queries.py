@@ -157,11 +157,14 @@ def chunk_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.round("importance_score", 6).alias("importance_score"))
 
 
-@query("highlights", f"""WITH {IMPORTANCE_SQL}, top AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY importance_score DESC, chunk_index) AS rank FROM imp),
+HIGHLIGHTS_SQL = f"""{IMPORTANCE_SQL}, top AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY importance_score DESC, chunk_index) AS rank FROM imp),
   s AS (SELECT document_id, rank, i, s FROM (SELECT document_id, rank, unnest(range(0, len(x))) AS i, unnest(x) AS s FROM (SELECT document_id, rank, string_split(regexp_replace(content, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS x FROM top WHERE rank <= 8) AS q) AS q2),
   sc AS (SELECT *, len(regexp_extract_all(s, '\\S+')) AS n, len(regexp_extract_all(' ' || regexp_replace(s, '\\s+', '  ', 'g'), '\\s\\p{{Lu}}')) AS caps FROM s),
-  best AS (SELECT document_id, rank, s, row_number() OVER (PARTITION BY document_id, rank ORDER BY caps / n DESC, n DESC, i) AS o FROM sc)
-  SELECT t.document_id, t.rank, t.chunk_index, substr(b.s, 1, 280) AS text, round(t.importance_score, 4) AS score FROM top AS t JOIN best AS b ON b.document_id = t.document_id AND b.rank = t.rank WHERE o = 1""")
+  best AS (SELECT document_id, rank, s, row_number() OVER (PARTITION BY document_id, rank ORDER BY caps / n DESC, n DESC, i) AS o FROM sc),
+  hl AS (SELECT t.document_id, t.rank, t.chunk_index, substr(b.s, 1, 280) AS text, round(t.importance_score, 4) AS score FROM top AS t JOIN best AS b ON b.document_id = t.document_id AND b.rank = t.rank WHERE o = 1)"""
+
+
+@query("highlights", f"WITH {HIGHLIGHTS_SQL} SELECT * FROM hl")
 def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = importance.highlights(importance.chunk_importance(chunks(spark, sf_dir)))
     return h.withColumn("chunk_index", F.col("chunk_index").cast("long"))

@@ -64,8 +64,44 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str, lower: int
     return r.options(**options).load()
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, partitions: int, mode: str = "append", **options: str) -> None:
+    """Write a table to a database over at most `partitions` connections."""
+    df.coalesce(partitions).write.format("jdbc").option("url", url).option("dbtable", table).options(**options).mode(mode).save()
+
+
+#: What a user gets of each document and query.
+EXPORT_DOCUMENTS = ("id", "filename", "file_type", "page_count", "word_count", "version_number", "created_at")
+EXPORT_QUERIES = ("id", "question", "answer", "mode", "confidence_score", "bookmarked", "sources", "created_at")
+_SOURCES = "array<struct<chunk_id:string,document_id:string,document_name:string,page_number:int,section_heading:string,ranked_score:double,importance_score:double>>"
+_HIGHLIGHTS = "array<struct<text:string,chunk_index:int,score:double>>"
+
+
+def exports(documents: DataFrame, log: DataFrame) -> dict[str, DataFrame]:
+    """What is exported of the live rows of every user: documents, queries (sources parsed) and highlights (parsed), with
+    ISO times. Columns that the tables lack are null; JSON that is missing or bad is an empty list."""
+
+    def live(df: DataFrame) -> DataFrame:
+        return df.where(F.col("deleted_at").isNull())
+
+    def col(df: DataFrame, name: str) -> Column:
+        return F.col(name) if name in df.columns else F.lit(None).cast("string")
+
+    def pick(df: DataFrame, names: tuple[str, ...], **own: Column) -> DataFrame:
+        iso = F.date_format(col(df, "created_at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX")
+        made = {"created_at": iso} | own
+        return live(df).select("user_id", *[made.get(n, col(df, n)).alias(n) for n in names])
+
+    def parsed(df: DataFrame, name: str, kind: str) -> Column:
+        return F.coalesce(F.from_json(col(df, name), kind), F.array().cast(kind))
+
+    return {
+        "documents": pick(documents, EXPORT_DOCUMENTS, id=F.col("document_id")),
+        "queries": pick(log, EXPORT_QUERIES, sources=parsed(log, "sources_json", _SOURCES)),
+        "highlights": live(documents).select("user_id", "document_id", col(documents, "filename").alias("filename"), parsed(documents, "highlights_json", _HIGHLIGHTS).alias("highlights")),
+    }
+
+
 def export_user_data(documents: DataFrame, log: DataFrame, path: str) -> None:
-    """Live documents and queries of every user as JSON, a folder a user."""
-    live = F.col("deleted_at").isNull()
-    for name, df in (("documents", documents), ("queries", log)):
-        df.where(live).drop("deleted_at").write.mode("overwrite").partitionBy("user_id").json(f"{path}/{name}")
+    """The three sets of exports() as JSON, a folder a user."""
+    for name, df in exports(documents, log).items():
+        df.write.mode("overwrite").partitionBy("user_id").option("ignoreNullFields", "false").json(f"{path}/{name}")

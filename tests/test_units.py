@@ -1,13 +1,14 @@
 """Small exact cases of the rules."""
 
 import datetime as dt
+import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ragmill.functions import text as tx
-from ragmill.operators import answers, chunking, importance, library, vectors
+from ragmill.operators import answers, chunking, importance, ingest, library, vectors
 from ragmill.sources import io
 from ragmill.streaming import streams
 
@@ -137,6 +138,63 @@ def test_uploads_and_export(spark, tmp_path):
     d = spark.createDataFrame([("u1", 1, None), ("u2", 2, dt.datetime(2024, 1, 1))], "user_id string, document_id long, deleted_at timestamp")
     io.export_user_data(d, d, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out" / "documents")).count() == 1
+    assert spark.read.json(str(tmp_path / "out" / "highlights")).select("document_id", "highlights").collect() == [(1, [])]
+
+
+def test_csv_blocks(spark):
+    rows = [(1, 'a,,"b ""x"", y"\n1,2,"p\nq",9\n,,\n3\n'), (2, ""), (3, None), (4, "only,header"), (5, "a\n" + "v" * 200_000)]
+    d = spark.createDataFrame(rows, "id int, text string")
+    got = [(r["id"], r["row_no"], r["text"]) for r in chunking.csv_blocks(d, ["id"]).orderBy("id", "row_no").collect()]
+    assert got == [(1, 0, 'a: 1, Column: 2, b "x", y: p\nq'), (1, 1, "a: 3"), (5, 0, "a: " + "v" * 200_000)]
+
+
+def test_embedder_is_an_argument(spark):
+    d = spark.createDataFrame([("ab",), (None,)], "content string")
+    got = vectors.hash_embed(d, embedder=lambda t: t.fillna("").map(lambda x: [float(len(x)), 1.0])).collect()
+    assert sorted(r["embedding"] for r in got) == [[0.0, 1.0], [2.0, 1.0]]
+    with pytest.raises(Exception, match="embedder gave 1 vectors"):
+        vectors.hash_embed(d.coalesce(1), embedder=lambda t: t.head(1).map(lambda x: [1.0])).collect()
+
+
+def test_duplicates_of_new_blocks(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(6, 4))
+    made = [(f"u{i % 2}", i, 4, (base[i % 6] + 0.05 * rng.normal(size=4)).tolist()) for i in range(60)] + [("u9", 99, 4, [0.0] * 4), ("u0", 100, 3, [1.0] * 3)]
+    d = spark.createDataFrame(made, "user_id string, document_id long, dim int, centroid array<double>").selectExpr("*", "timestamp_seconds(100 - document_id) AS created_at")
+    new, stored = d.where("document_id % 5 = 0 OR document_id = 99"), d.where("document_id % 5 <> 0")
+    got = {r["document_id"]: r["duplicate_of"] for r in vectors.duplicates_of_new(new, stored, block=3).collect()}
+    cos = lambda a, b: np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))
+    want = {}
+    for u, i, k, v in made:
+        hits = [j for w, j, m, x in made if j % 5 and w == u and m == k and np.any(x) and np.any(v) and cos(v, x) > vectors.NEAR]
+        if i % 5 == 0 and hits:
+            want[i] = max(hits)  # the largest id is the earliest
+    assert got == want and len(want) > 5
+
+
+@pytest.mark.parametrize("strategy", ["semantic", "character"])
+def test_ingest_whole(spark, strategy):
+    text = "RESULTS\nThe first sentence is here. Another one follows it.\n\nMethods Used\nSome more text stands here."
+    rows = [("u", 1, text), ("u", 2, text), ("v", 3, text), ("u", 4, ""), ("u", 5, None)]
+    d = spark.createDataFrame(rows, "user_id string, document_id long, text string").selectExpr("*", "timestamp_seconds(document_id) AS created_at").withColumn("blocks", chunking.line_blocks(F.col("text")))
+    docs, chunks = ingest.ingest(d, strategy=strategy)
+    got = {r["document_id"]: r for r in docs.collect()}
+    assert {i: r["processing_status"] for i, r in got.items()} == {1: "done", 2: "done", 3: "done", 4: "failed", 5: "failed"}
+    assert {i: r["duplicate_of"] for i, r in got.items()} == {1: None, 2: 1, 3: None, 4: None, 5: None}
+    assert [x["text"] for x in json.loads(got[1]["outline_json"])] == ["RESULTS", "Methods Used"] and got[4]["processing_error"] and got[4]["outline_json"] is None
+    assert json.loads(got[1]["highlights_json"])[0]["score"] == 1.0 and got[1]["summary_input"] and got[1]["chunks"] == 1
+    assert sorted(chunks.select("document_id").collect()) == [(1,), (2,), (3,)]
+    stored = spark.createDataFrame([("v", 77)], "user_id string, document_id long").selectExpr("*", "timestamp_seconds(0) AS created_at")
+    old = stored.crossJoin(vectors.doc_centroid(chunks.where("document_id = 1")).drop("document_id"))
+    assert ingest.ingest(d, old, strategy)[0].where("document_id = 3").first()["duplicate_of"] == 77
+
+
+def test_answer_log(spark):
+    q = spark.createDataFrame([(1, "a?"), (2, "b?")], "query_id long, question string")
+    r = spark.createDataFrame([(1, 2, 20, 5, "y.txt", "second", 0.5, 0.3, 0.1), (1, 1, 10, 4, "x.txt", "first", 1.2, 0.9, 0.25)], "query_id long, rank long, id long, document_id long, document_name string, content string, ranked_score double, similarity_score double, importance_score double")
+    got = {x["query_id"]: x for x in answers.answer_log(q, r, answers.offline_answer(q, r), "rag").collect()}
+    assert [(s["chunk_id"], s["ranked_score"]) for s in json.loads(got[1]["sources_json"])] == [(10, 1.0), (20, 0.5)]
+    assert got[2]["sources_json"] is None and got[2]["confidence_score"] == 0.0 and got[2]["answer"] == answers.NOTHING
 
 
 def test_cache_replay_anchored(spark):
