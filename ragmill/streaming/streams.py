@@ -15,9 +15,9 @@ CACHE_SECONDS = 300
 
 
 def stream_request_metrics(requests: DataFrame, watermark: str = "10 minutes", window: str = "1 hour") -> DataFrame:
-    """Tumbling counts by endpoint and status; columns ts, endpoint, status."""
-    w = requests.withWatermark("ts", watermark).groupBy(F.window("ts", window), "endpoint", "status")
-    return w.agg(F.count("*").alias("requests"), F.sum(F.when(F.col("status") >= 500, 1).otherwise(0)).alias("errors")).select(F.col("window.start").alias("window_start"), "endpoint", "status", "requests", "errors")
+    """Tumbling counts by method, endpoint and status; columns ts, method, endpoint, status."""
+    w = requests.withWatermark("ts", watermark).groupBy(F.window("ts", window), "method", "endpoint", "status")
+    return w.agg(F.count("*").alias("requests"), F.sum(F.when(F.col("status") >= 500, 1).otherwise(0)).alias("errors")).select(F.col("window.start").alias("window_start"), "method", "endpoint", "status", "requests", "errors")
 
 
 def stream_usage(sources: DataFrame, watermark: str = "10 minutes", window: str = "1 day") -> DataFrame:
@@ -25,6 +25,22 @@ def stream_usage(sources: DataFrame, watermark: str = "10 minutes", window: str
     return sources.withWatermark("ts", watermark).groupBy(F.window("ts", window), "user_id", "chunk_id").agg(F.count("*").alias("retrievals")).select(F.col("window.start").alias("window_start"), "user_id", "chunk_id", "retrievals")
 
 
+def stream_usage_batches(sources: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write each micro-batch's retrievals of each chunk (id, retrieved_count, last_at) under the batch's id, so a repeated
+    batch replaces itself; columns ts, chunk_id."""
+
+    def counts(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(F.col("chunk_id").alias("id")).agg(F.count("*").alias("retrieved_count"), F.max("ts").alias("last_at"))
+
+    return stream_ingest(sources, counts, path, checkpoint)
+
+
+def usage_counts(stored: DataFrame, batches: DataFrame) -> DataFrame:
+    """Stored counts (id, retrieved_count, last_at) with those of all written batches merged in."""
+    cols = ["id", "retrieved_count", "last_at"]
+    return stored.select(*cols).unionByName(batches.select(*cols)).groupBy("id").agg(F.sum("retrieved_count").alias("retrieved_count"), F.max("last_at").alias("last_at"))
+
+
 def stream_rate_counts(events: DataFrame, window: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
     """Events of each key and action by window, to compare with the limit; columns ts, key, action."""
     return events.withWatermark("ts", watermark).groupBy(F.window("ts", window), "key", "action").agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), "key", "action", "n")

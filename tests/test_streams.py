@@ -21,7 +21,7 @@ def source(spark, df, path):
 
 def test_request_metrics(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
-    d = spark.createDataFrame([(t + dt.timedelta(minutes=10 * i), "q", 500 if i % 3 == 0 else 200) for i in range(20)], "ts timestamp, endpoint string, status int")
+    d = spark.createDataFrame([(t + dt.timedelta(minutes=10 * i), "GET", "q", 500 if i % 3 == 0 else 200) for i in range(20)], "ts timestamp, method string, endpoint string, status int")
     got = run(streams.stream_request_metrics(source(spark, d, tmp_path / "in")), spark, "m", "complete")
     assert got.agg(F.sum("requests"), F.sum("errors")).first() == (20, 7)
 
@@ -33,6 +33,15 @@ def test_answers(spark, tmp_path):
     assert [(r["query_id"], r["answer"]) for r in got] == [(r["query_id"], r["answer"]) for r in batch] == [(1, "ab")]
 
 
+def test_usage_merges_into_stored(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    d = spark.createDataFrame([(t, 1), (t + dt.timedelta(hours=1), 1), (t, 2)], "ts timestamp, chunk_id long")
+    streams.stream_usage_batches(source(spark, d, tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    stored = spark.createDataFrame([(1, 5, t), (3, 7, t)], "id long, retrieved_count long, last_at timestamp")
+    got = streams.usage_counts(stored, spark.read.parquet(str(tmp_path / "out"))).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, 7, t + dt.timedelta(hours=1)), (2, 1, t), (3, 7, t)]
+
+
 def test_ingest(spark, tmp_path):
     d = spark.createDataFrame([(1, "x" * 1000), (2, "short")], "document_id long, text string")
     q = streams.stream_ingest(source(spark, d, tmp_path / "in"), lambda b: chunking.chunk_text(b, ["document_id"]), str(tmp_path / "out"), str(tmp_path / "ck"))
