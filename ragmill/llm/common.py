@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragmill.session import shared_dir, written
@@ -78,6 +78,25 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "l
     return rows.withColumn("_salt", salt).join(salted, [*on, "_salt"], how).drop("_salt")
 
 
+def numbered(rows: DataFrame, by: str, order: list[str], label: str) -> DataFrame:
+    """rows with pos (place from 0 among the rows of the same `by`, sorted by `order`, nulls first) and n (their number).
+
+    Rows are dealt by ranges of (by, order), so a hot group lies in many tasks; only a count for each group and task is
+    summed over tasks. rows must be a written table: it is read twice. Rows equal in all these columns are told apart by
+    their place in the table, so they too lie in many tasks."""
+    keys = [F.col(c).asc_nulls_first() for c in (by, *order, "_place")]
+    placed = rows.withColumn("_place", F.monotonically_increasing_id())
+    # the number of a task and of the row in it, kept in the written rows
+    dealt = placed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_place").withColumn("_at", F.monotonically_increasing_id())
+    dealt = materialize(dealt.withColumn("_task", F.shiftright("_at", 33)), label)
+    counts = dealt.groupBy(by, "_task").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    tasks = Window.partitionBy(by)  # a row for each task that has rows of the group
+    before = F.coalesce(F.sum("_n").over(tasks.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(by, "_task", (before - F.col("_first")).alias("_shift"), F.sum("_n").over(tasks).alias("n"))
+    starts = materialize(starts, f"{label}-starts")
+    return dealt.join(starts, [by, "_task"]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_at", "_task", "_shift")
+
+
 def tokenizer_path(name: str) -> str:
     """Path of a public vocabulary file on this machine: a name is asked of the installed package, a path stays."""
     if "/" in name:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragmill.llm import bpe, decontam, jaccard, licenses, pu, quality, quotes, suffix_tree, token_counts, warc
+from ragmill.llm import bpe, decontam, jaccard, licenses, merkle, mixing, pu, quality, quotes, suffix_tree, token_counts, warc, whitening
 from ragmill.llm.common import materialize
 
 WORD_BPE = "word_bpe_49k.json"
@@ -62,6 +62,18 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_suffix_sums(hist)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_t(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_t(spark, sf_dir, "embeddings"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_t(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quote_links": op2_quote_links,
@@ -73,9 +85,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_round_trip": op8_warc_round_trip,
     "op9_pu_quality": op9_pu_quality,
     "op10_length_histogram": op10_length_histogram,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_source_mixing": op13_source_mixing,
 }
 
 ORACLES: dict[str, str] = {
+    # the CRC-32 of the id's digits bit by bit, the trees level by level, each leaf's siblings folded in a list
+    "op11_merkle_manifest": r"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, source, text,
+               concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                 coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+               list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda z: ascii(z)::UBIGINT),
+                 lambda a, z: list_reduce(range(8), lambda y, k: CASE WHEN y % 2 = 1 THEN xor(y >> 1, 3988292384::UBIGINT) ELSE y >> 1 END, xor(a, z)), 4294967295::UBIGINT) % 2 = 1 AS hit
+             FROM documents),
+        e AS (SELECT r, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+               CASE WHEN hit THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS tampered FROM d),
+        o AS (SELECT *, coalesce('s' || source, '') AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS c FROM e),
+        u AS (SELECT 0 AS l, t, i, leaf AS h, c FROM o
+              UNION ALL SELECT l + 1, t, i // 3, sha256(string_agg(h, '' ORDER BY i)), (c + 2) // 3 FROM u WHERE c > 1 GROUP BY l, t, i // 3, c),
+        s AS (SELECT t, h, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS c FROM u WHERE c = 1),
+        v AS (SELECT 0 AS l, i, h, c FROM s
+              UNION ALL SELECT l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (c + 2) // 3 FROM v WHERE c > 1 GROUP BY l, i // 3, c),
+        a AS (SELECT l, t, i, h, c FROM u UNION ALL SELECT l, NULL, i, h, c FROM v),
+        n AS (SELECT x.l, x.t, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS lf, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS rt
+              FROM a AS x JOIN a AS y ON x.l = y.l AND x.t IS NOT DISTINCT FROM y.t AND x.i // 3 = y.i // 3 WHERE x.c > 1 GROUP BY x.l, x.t, x.i),
+        p AS (SELECT o.r, n.l, lf, rt FROM o JOIN n ON n.t = o.t AND n.i = o.i // CAST(pow(3, n.l) AS BIGINT)
+              UNION ALL SELECT o.r, 100 + n.l, lf, rt FROM o JOIN s ON s.t = o.t JOIN n ON n.t IS NULL AND n.i = s.i // CAST(pow(3, n.l) AS BIGINT)),
+        q AS (SELECT r, sha256(string_agg(lf || rt, '' ORDER BY l)) AS proof, list(lf || '|' || rt ORDER BY l) AS steps FROM p GROUP BY r),
+        z AS (SELECT doc_id, o.source, leaf, s.h AS subroot, (SELECT h FROM v WHERE c = 1) AS root, coalesce(proof, sha256('')) AS proof_sha256,
+                list_reduce(coalesce(steps, []), lambda b, k: sha256(split_part(k, '|', 1) || b || split_part(k, '|', 2)), coalesce(tampered, leaf)) AS folded_root
+              FROM o JOIN s ON s.t = o.t LEFT JOIN q ON q.r = o.r)
+        SELECT *, folded_root = root AS verified FROM z""",
     "op6_decontamination": r"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
