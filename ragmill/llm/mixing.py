@@ -3,10 +3,11 @@
 A source's documents are all wanted target / size times (at most `MOST` times): the whole part for each, the rest with a
 copy probability. Probabilities are rounded in pairs: mass moves at random between two documents until one of them is
 at 0 or 1, so that the expected copies of each document and the sum of size x probability of each group stay as they are.
-Groups are the documents of one source and size class (sizes within a factor of two), dealt to blocks of a fixed size;
+A source's large documents are decided first, one after another, and the probability of all its others makes up for them.
+Groups are then the documents of one source and size class (sizes within a factor of two), dealt to blocks of a fixed size;
 each block leaves at most one document undecided, and these meet again in the next round of the reduction tree. What is
 left, one document of each size class, is settled at the source's root from the largest down: each choice is passed on to
-the smaller ones together, so a source misses its target by no more than its smallest undecided document.
+the smaller ones together, so a source misses its target by about its smallest undecided document.
 
 Only (id, source, size) move, never texts. Rows equal in these are one group with a number of copies: of m equal
 documents with probability p, floor(m p) are taken once more and one is undecided with the fraction. Every choice comes from
@@ -28,6 +29,8 @@ from ragmill.session import ship
 WEIGHTS = (1, 2, 3)
 MOST = 3
 BLOCK = 256
+#: A document of at least this share (1 / LARGE) of its source's words is decided before the others.
+LARGE = 256
 #: Rows of one generated array when equal rows are counted out again.
 PIECE = 1_000
 ROW = "doc_id {id}, tree string, source_size long, target double, base int, size long, cls int, p double, h long"
@@ -74,21 +77,25 @@ def pivot(p: float, a: int, q: float, b: int, u: float) -> tuple[float, float]:
     return (0.0, snap(q2)) if p * a <= (1 - q) * b else (snap(p2), 1.0)
 
 
-def settle(sizes: list[int], p: list[float], draws: list[float]) -> list[int]:
+def settle(sizes: list[int], p: list[float], draws: list[float], other: int = 0, q: float = 0.0) -> list[int]:
     """0 or 1 for documents given by falling size: near sum(size * p) in all, each choice being passed on to the smaller
-    documents together. A document that the rest cannot make up for goes to the nearer side."""
-    p, out = list(p), []
-    for i, (a, u) in enumerate(zip(sizes, draws, strict=True)):
-        want, rest = sum(s * x for s, x in zip(sizes[i:], p[i:], strict=True)), sum(sizes[i + 1 :])
+    documents, and to `other` words of probability q that are decided later, together: their probabilities p become
+    add + times * p. A document that the rest cannot make up for goes to the nearer side."""
+    rest, mass = other + sum(sizes), other * q + sum(s * x for s, x in zip(sizes, p, strict=True))
+    out, add, times = [], 0.0, 1.0
+    for a, x, u in zip(sizes, p, draws, strict=True):
+        want, chance = add * rest + times * mass, add + times * x
+        rest, mass = rest - a, mass - a * x
         yes, no = a <= want * (1 + 1e-12), want <= rest * (1 + 1e-12)
-        x = int(u < p[i]) if yes and no else int(yes) if yes or no else int(a - want < want - rest)
-        out.append(x)
-        have, left = want - a * p[i], min(max(want - a * x, 0.0), rest)
-        for j in range(i + 1, len(p)):
-            if left <= have:
-                p[j] *= left / have if have else 0.0
-            else:
-                p[j] = 1 - (1 - p[j]) * (rest - left) / (rest - have)
+        taken = int(u < chance) if yes and no else int(yes) if yes or no else int(a - want < want - rest)
+        out.append(taken)
+        have, left = want - a * chance, min(max(want - a * taken, 0.0), rest)
+        if left <= have:
+            k = left / have if have > 0 else 0.0
+            add, times = add * k, times * k
+        elif rest > have:
+            k = (rest - left) / (rest - have)
+            add, times = 1 - k + add * k, times * k
     return out
 
 
@@ -129,21 +136,23 @@ def _round(rows: DataFrame, turn: int, schema: str) -> DataFrame:
     return materialize(dealt.mapInArrow(work, schema), f"mix-round{turn}")
 
 
-def _root(rows: DataFrame, turn: int, schema: str) -> DataFrame:
-    """Settle what a source has left: at most one document of each size class."""
-    dealt = rows.repartition("tree").sortWithinPartitions("tree", F.col("size").desc(), "h")
+def _settled(rows: DataFrame, turn: int, schema: str) -> DataFrame:
+    """Settle a source's few rows: its large documents, or what it has left of each size class. The last two columns of
+    rows are the source's other words and their probability."""
+    dealt = rows.repartition("tree").sortWithinPartitions("tree", F.col("size").desc(), "h", "doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, kinds = [], None
 
         def closed() -> pa.RecordBatch:
-            draws = [_draw(r["h"], 0, turn) for r in group]
-            for r, x in zip(group, settle([r["size"] for r in group], [r["p"] for r in group], draws), strict=True):
+            draws = [_draw(r["h"], i, turn) for i, r in enumerate(group)]
+            found = settle([r["size"] for r in group], [r["p"] for r in group], draws, group[0]["other"], group[0]["q"])
+            for r, x in zip(group, found, strict=True):
                 r["p"] = float(x)
             return pa.RecordBatch.from_pylist(group, schema=kinds)
 
         for batch in batches:
-            kinds = batch.schema
+            kinds = pa.schema([f for f in batch.schema if f.name not in ("other", "q")])
             for row in batch.to_pylist():
                 if group and group[0]["tree"] != row["tree"]:
                     yield closed()
@@ -166,26 +175,40 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     rows = join_groups(rows, materialize(source_targets(sizes, weights, most), "mix-targets"), ["tree"], "inner")
 
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    more = F.col("m") * (F.col("times") - F.col("base"))  # of m equal rows: so many once more
-    rows = rows.withColumn("times", times).withColumn("base", F.floor("times").cast("int")).withColumn("more", F.when(F.col("size") > 0, more).otherwise(0.0))
-    rows = rows.withColumn("whole", F.floor(F.col("more") + 1e-9)).withColumn("p", F.greatest(F.col("more") - F.col("whole"), F.lit(0.0)))
-    rows = rows.withColumn("open", (F.col("p") > 1e-9).cast("long"))
-    rows = materialize(rows.withColumn("cls", F.length(F.bin("size"))).withColumn("h", F.xxhash64("doc_id", "size")), "mix-rows")
+    rows = rows.withColumn("base", F.floor(times).cast("int")).withColumn("p", times - F.col("base")).withColumn("h", F.xxhash64("doc_id", "size")).withColumn("cls", F.length(F.bin("size")))
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+    result = ["doc_id", "source_size", "target", "base", "size", "p"]
+    large = F.col("size") * LARGE >= F.greatest("source_size", F.lit(1))
+
+    # a source's large documents, at most LARGE, copies counted out; the probability of its others follows
+    each = rows.where(large).withColumn("_i", F.explode(F.array_repeat(F.lit(0), F.col("m").cast("int"))))
+    whole = rows.groupBy("tree").agg(F.sum(F.when(large, 0).otherwise(F.col("size") * F.col("m"))).alias("other"), F.max("p").alias("q"))
+    decided = materialize(_settled(join_groups(each, materialize(whole, "mix-others"), ["tree"], "inner").select(*names, "other", "q"), -1, schema), "mix-large")
+    moved = decided.groupBy("tree").agg(F.sum(F.col("size") * F.col("p")).alias("got"), F.sum("size").alias("held"))
+    rest = join_groups(rows.where(~large), materialize(moved, "mix-moved"), ["tree"])
+    words = F.col("source_size") - F.coalesce("held", F.lit(0))
+    wanted = F.col("p") * F.col("source_size") - F.coalesce("got", F.lit(0.0))
+    rest = rest.withColumn("p", F.when(words > 0, F.least(F.greatest(wanted / words, F.lit(0.0)), F.lit(1.0))).otherwise(0.0))
+
+    # of m equal rows so many are taken once more, at most one is open with a fraction
+    more = F.when(F.col("size") > 0, F.col("m") * F.col("p")).otherwise(0.0)
+    rest = rest.withColumn("more", more).withColumn("whole", F.floor(F.col("more") + 1e-9)).withColumn("p", F.greatest(F.col("more") - F.col("whole"), F.lit(0.0)))
+    rows = materialize(rest.withColumn("open", (F.col("p") > 1e-9).cast("long")), "mix-rows")
 
     counted = rows.select("doc_id", "tree", "source_size", "target", "base", "size", F.explode(F.array(F.struct(F.lit(1.0).alias("p"), F.col("whole").alias("c")), F.struct(F.lit(0.0).alias("p"), (F.col("m") - F.col("whole") - F.col("open")).alias("c")))).alias("r"))
     counted = counted.select("*", "r.p", "r.c").where(F.col("c") > 0)
     # equal rows again as many rows, in two steps of bounded arrays
     counted = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1, F.lit(PIECE).cast("long"))))
     counted = counted.withColumn("_i", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + PIECE, F.col("c")) - 1)))
-    settled = [counted.select("doc_id", "source_size", "target", "base", "size", "p")]
+    settled = [decided.select(*result), counted.select(*result)]
 
-    names = [f.split(" ")[0] for f in schema.split(", ")]
     pending, turn = rows.where(F.col("open") == 1).select(*names), 0
     while pending.groupBy("tree", "cls").count().where(F.col("count") > 1).limit(1).count():
         out = _round(pending, turn, schema)
-        settled.append(out.where(F.col("p").isin(0.0, 1.0)).select("doc_id", "source_size", "target", "base", "size", "p"))
+        settled.append(out.where(F.col("p").isin(0.0, 1.0)).select(*result))
         pending, turn = out.where(~F.col("p").isin(0.0, 1.0)), turn + 1
-    settled.append(_root(pending, turn, schema).select("doc_id", "source_size", "target", "base", "size", "p"))
+    none = [F.lit(0).cast("long").alias("other"), F.lit(0.0).alias("q")]
+    settled.append(_settled(pending.select("*", *none), turn, schema).select(*result))
     out = settled[0]
     for s in settled[1:]:
         out = out.unionByName(s)
