@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,8 +47,24 @@ def bm25_tokens(c: Column) -> Column:
 def content_tokens(c: Column) -> Column:
     """Lower-cased words that start with a letter, longer than one character, without stopwords."""
     found = F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z][A-Za-z0-9'-]*"), F.lit(0)), F.lower)
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(found, lambda w: ~F.array_contains(stop, w) & (F.length(w) > 1))
+    return F.filter(found, lambda w: ~w.isin(*STOPWORDS) & (F.length(w) > 1))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: a lambda's variable, as expressions inside lambdas run for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def term_counts(tokens: Column) -> Column:
+    """Distinct tokens of an array with their numbers, as array of (term, tf): sorted, then the runs are measured."""
+
+    def runs(s: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)))
+        starts = F.filter(places, lambda i: (F.size(s) > 0) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+        one = lambda b: lambda at, i: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(b, i + 1), F.size(s)) - at).cast("long").alias("tf"))
+        return let(starts, lambda b: F.transform(b, one(b)))
+
+    return let(F.array_sort(tokens), runs)
 
 
 def simple_sentences(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragmill.functions.text import content_tokens, detect_heading, representative_sentence
+from ragmill.functions.text import content_tokens, detect_heading, representative_sentence, term_counts
 
 
 def minmax(value: Column, by: Window, constant: float) -> Column:
@@ -16,14 +16,19 @@ def minmax(value: Column, by: Window, constant: float) -> Column:
 
 def chunk_importance(chunks: DataFrame, digits: int = 9) -> DataFrame:
     """document_id, chunk_index, content, importance_score: mean idf of the chunk's terms within the document and a lower
-    weight at both ends, each scaled to 0..1. A document's only chunk has 1. Scores are rounded so that ties are ties."""
-    tf = chunks.select("document_id", "chunk_index", F.explode(content_tokens(F.col("content"))).alias("term")).groupBy("document_id", "chunk_index", "term").agg(F.count("*").alias("c"))
-    df = tf.groupBy("document_id", "term").agg(F.count("*").alias("df"))
-    n = chunks.groupBy("document_id").agg(F.count("*").alias("n"))
-    idf = df.join(n, "document_id").select("document_id", "term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    raw = tf.join(idf, ["document_id", "term"]).groupBy("document_id", "chunk_index").agg((F.sum(F.col("c") * F.col("idf")) / F.sum("c")).alias("raw"))
-    out = chunks.join(raw, ["document_id", "chunk_index"], "left").withColumn("raw", F.round(F.coalesce("raw", F.lit(0.0)), 10))
+    weight at both ends, each scaled to 0..1. A document's only chunk has 1. Scores are rounded so that ties are ties.
+
+    Terms are counted in the chunk's row; chunks and their terms are dealt by document once, and all that follows is done
+    where a document's rows lie."""
     w = Window.partitionBy("document_id")
+    counted = chunks.select("document_id", "chunk_index", term_counts(content_tokens(F.col("content"))).alias("t")).repartition("document_id")
+    terms = counted.withColumn("n", F.count("*").over(w)).select("document_id", "chunk_index", "n", F.explode_outer("t").alias("t")).select("document_id", "chunk_index", "n", "t.*")
+    idf = F.log((F.col("n") + 1) / (F.count("*").over(Window.partitionBy("document_id", "term")) + 1)) + 1
+    raw = terms.withColumn("idf", idf).groupBy("document_id", "chunk_index").agg((F.sum(F.col("tf") * F.col("idf")) / F.sum("tf")).alias("raw"))
+    raw = raw.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "raw"))).alias("_raws"))
+    nth = F.row_number().over(w.orderBy("chunk_index"))
+    out = chunks.repartition("document_id").withColumn("_nth", nth).join(raw, "document_id", "left")
+    out = out.withColumn("raw", F.round(F.coalesce(F.get("_raws", F.col("_nth") - 1)["raw"], F.lit(0.0)), 10)).drop("_nth", "_raws")
     size = F.count("*").over(w)
     edge = F.greatest(F.lit(1), F.bround(size * 0.05).cast("int"))
     place = F.when((F.col("chunk_index") < edge) | (F.col("chunk_index") >= size - edge), 0.5).otherwise(1.0)

@@ -6,60 +6,54 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragmill.functions.text import bm25_tokens
+from ragmill.operators import bm25
+from ragmill.operators.bm25 import K1, B
 from ragmill.operators.importance import minmax
 from ragmill.operators.vectors import cosine, dense_topk
 from ragmill.session import written
 
-#: BM25 parameters, fusion weights, boost, candidates per result.
-K1, B, EPS = 1.5, 0.75, 0.25
+#: Fusion weights, boost, candidates per result.
 DENSE, SPARSE, BOOST, MULTIPLE, TOP = 0.6, 0.4, 0.2, 20, 8
 
 
-def bm25_index(chunks: DataFrame) -> dict[str, DataFrame]:
-    """postings (group, term, id, tf), terms (group, term, idf) and sizes (group, n, avgdl) per group; chunks: group, id, content."""
-    toks = chunks.select("group", "id", bm25_tokens(F.col("content")).alias("t"))
-    # read several times below and by every search
-    postings = written(toks.select("group", "id", F.explode("t").alias("term")).groupBy("group", "term", "id").agg(F.count("*").alias("tf")), "bm25-postings")
-    lengths = written(toks.select("group", "id", F.size("t").alias("len")), "bm25-lengths")
-    sizes = lengths.groupBy("group").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    df = postings.groupBy("group", "term").agg(F.count("*").alias("df")).join(sizes, "group")
-    raw = df.select("group", "term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
-    mean = raw.groupBy("group").agg(F.avg("raw").alias("mean"))
-    terms = raw.join(mean, "group").select("group", "term", F.when(F.col("raw") < 0, EPS * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return {"postings": postings, "terms": terms, "sizes": sizes, "lengths": lengths}
-
-
-def bm25_scores(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(scores, ends): query_id, id, sparse of the chunks with a query term; and per query group, matches m and the
-    scaled score zero of all other chunks. Scores are scaled to 0..1 over the query's whole corpus."""
-    idx = bm25_index(chunks)
+def bm25_scores(index: bm25.StoredIndex, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scores, ends): query_id, id, sparse of the chunks with a query term; and for each query with a corpus its group,
+    matches m, the scaled score zero of all other chunks and the number better than that. Scores are scaled to 0..1 over
+    the query's whole corpus. Only the partitions of the queries' terms are read."""
     q = queries.select("query_id", "group", F.explode(bm25_tokens(F.col("question"))).alias("term")).groupBy("query_id", "group", "term").agg(F.count("*").alias("qf"))
-    hit = q.join(idx["terms"], ["group", "term"]).join(idx["postings"], ["group", "term"]).join(idx["lengths"], ["group", "id"]).join(idx["sizes"], "group")
+    q = written(q, "bm25-questions")
+    sizes = written(index.sizes(), "bm25-sizes")
+    hit = q.join(index.idf(q, sizes), ["group", "term"]).join(index.pruned("postings", q).select("group", "term", "id", "tf", "len"), ["group", "term"])
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     raw = written(hit.groupBy("query_id", "id").agg(F.round(F.sum(F.col("qf") * F.col("idf") * tf), 9).alias("score")), "bm25-scores")
-    m = raw.groupBy("query_id").agg(F.count("*").alias("m"), F.min("score").alias("lo"), F.max("score").alias("hi"))
-    per = queries.select("query_id", "group").join(idx["sizes"].select("group", "n"), "group").join(m, "query_id", "left")
+    m = raw.groupBy("query_id").agg(F.count("*").alias("m"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum((F.col("score") > 0).cast("long")).alias("better"))
+    per = queries.select("query_id", "group").join(sizes.select("group", "n"), "group").join(m, "query_id", "left")
     others = F.col("n") > F.coalesce("m", F.lit(0))
     lo = F.when(others, F.least(F.coalesce("lo", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("lo"))
     hi = F.when(others, F.greatest(F.coalesce("hi", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("hi"))
-    per = per.select("query_id", "group", F.coalesce("m", F.lit(0)).alias("m"), lo.alias("lo"), (hi - lo).alias("span"))
+    per = per.select("query_id", "group", F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("better", F.lit(0)).alias("better"), others.alias("others"), lo.alias("lo"), (hi - lo).alias("span"))
     per = written(per.withColumn("zero", F.round(F.when(F.col("span") < 1e-12, 0.0).otherwise(-F.col("lo") / F.col("span")), 9)), "bm25-ends")
     scaled = F.when(F.col("span") < 1e-12, 0.0).otherwise((F.col("score") - F.col("lo")) / F.col("span"))
     return raw.join(per, "query_id").select("query_id", "id", F.round(scaled, 9).alias("sparse")), per
 
 
-def bm25_search(chunks: DataFrame, queries: DataFrame, k: int, exact: bool = True, scored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def bm25_search(index: bm25.StoredIndex, queries: DataFrame, k: int, exact: bool = True, scored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Top k chunks of each query by scaled BM25: query_id, id, sparse_score, rank.
 
-    Ties and, with exact, chunks without a query term follow in corpus order (larger id first). Only the first k + matches
-    chunks of a corpus can be needed for that, so the zero scores are not written out for the rest."""
-    rows, per = scored or bm25_scores(chunks, queries)
+    Ties and, with exact, chunks without a query term follow in corpus order (larger id first). Only queries with fewer
+    than k better matches need those; they get the k largest ids of their tenant that are not among their own m matches,
+    from one list of the k + m largest ids a tenant, which is looked up and not joined with the corpus."""
+    rows, per = scored or bm25_scores(index, queries)
     if exact:
-        order = chunks.select("group", "id").withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy(F.col("id").desc())))
-        fill = per.join(order, "group").where(F.col("r") <= F.col("m") + k).select("query_id", "id", "zero")
-        rows = fill.join(rows, ["query_id", "id"], "full_outer").select("query_id", "id", F.coalesce("sparse", "zero").alias("sparse"))
+        short = per.where(F.col("others") & (F.col("better") < k))
+        most = short.agg(F.max("m")).first()[0]
+        if most is not None:
+            own = rows.join(short.select("query_id"), "query_id", "left_semi").groupBy("query_id").agg(F.collect_list("id").alias("own"))  # at most m
+            fill = short.join(own, "query_id", "left").join(index.largest_ids(short, k + most), "group")
+            left = F.slice(F.array_except("ids", F.coalesce("own", F.array().cast("array<long>"))), 1, k)
+            rows = rows.unionByName(fill.select("query_id", F.explode(left).alias("id"), F.col("zero").alias("sparse")))
     w = Window.partitionBy("query_id").orderBy(F.col("sparse").desc(), F.col("id").desc())
-    out = rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    out = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
     return out.select("query_id", "id", F.col("sparse").alias("sparse_score"), "rank")
 
 
@@ -75,22 +69,34 @@ def fuse(candidates: DataFrame, k: int, by: list[str] | None = None) -> DataFram
     return out.select(*by, "id", "rank", F.round(F.greatest(F.lit(0.0), F.col("dense")), 6).alias("similarity_score"), F.round("sparse", 6).alias("sparse_score"), F.round("importance", 6).alias("importance_score"), "ranked_score")
 
 
-def hybrid_retrieve(chunks: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
+def hybrid_retrieve(chunks: DataFrame, queries: DataFrame, k: int = TOP, index: bm25.StoredIndex | None = None) -> DataFrame:
     """Top k chunks of each question in its tenant. chunks: group, id, content, embedding, importance_score; queries:
-    query_id, group, question, embedding."""
+    query_id, group, question, embedding; index: a stored one of the same chunks, else it is built."""
     limit = MULTIPLE * k
-    scored = bm25_scores(chunks, queries)
-    dense = dense_topk(chunks, queries, limit).select("query_id", "id")
-    sparse = bm25_search(chunks, queries, limit, scored=scored).select("query_id", "id")
-    return score_candidates(dense.unionByName(sparse).distinct(), chunks, queries, k, scored=scored)
+    index = index or bm25.build(chunks)
+    scored = bm25_scores(index, queries)
+    dense = dense_topk(chunks, queries, limit).select("query_id", "id", F.col("similarity").alias("dense"))
+    sparse = bm25_search(index, queries, limit, scored=scored).select("query_id", "id")
+    return score_candidates(dense.join(sparse, ["query_id", "id"], "full_outer"), chunks, queries, k, scored=scored)
 
 
 def score_candidates(cand: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, by: list[str] | None = None, scored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Exact dense and whole-corpus sparse scores of given (query_id, id) pairs, fused; more columns of `by` stay."""
+    """Exact dense and whole-corpus sparse scores of given (query_id, id) pairs, fused; more columns of `by` stay. A column
+    `dense` of cand holds the cosines that are known; vectors are fetched for the others only."""
     by = by or ["query_id"]
-    sparse, per = scored or bm25_scores(chunks, queries)
-    rows = cand.join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id").join(chunks.select("id", "embedding", F.col("importance_score").alias("importance")), "id")
-    rows = rows.where(F.size("_q") == F.size("embedding")).withColumn("dense", F.round(cosine(F.col("_q"), F.col("embedding")), 9)).drop("_q", "embedding")
+    sparse, per = scored or bm25_scores(bm25.build(chunks), queries)
+    asked = queries.select("query_id", F.col("embedding").alias("_q"))
+
+    def fetched(rows: DataFrame) -> DataFrame:
+        both = rows.join(asked, "query_id").join(chunks.select("id", "embedding"), "id").where(F.size("_q") == F.size("embedding"))
+        return both.withColumn("dense", F.round(cosine(F.col("_q"), F.col("embedding")), 9)).drop("_q", "embedding")
+
+    if "dense" in cand.columns:
+        cand = written(cand, "candidates")
+        rows = cand.where(F.col("dense").isNotNull()).unionByName(fetched(cand.where(F.col("dense").isNull()).drop("dense")))
+    else:
+        rows = fetched(cand)
+    rows = rows.join(chunks.select("id", F.col("importance_score").alias("importance")), "id")
     rows = rows.join(sparse, ["query_id", "id"], "left").join(per.select("query_id", "zero"), "query_id", "left")
     return fuse(rows.withColumn("sparse", F.coalesce("sparse", "zero", F.lit(0.0))).drop("zero"), k, by)
 

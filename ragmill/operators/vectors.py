@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragmill.session import ship
+from ragmill.session import ship, written
 
 DIM = 512
 NEAR = 0.92
 BLOCK = 512
+#: Bytes of one block of vectors in a search.
+BLOCK_BYTES = 1 << 20
 _TOKEN = re.compile("[a-z0-9]+")
 
 
@@ -64,65 +69,174 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1_024, by_group: bool = True) -> DataFrame:
-    """Top k vectors by cosine of each query: query_id, id, similarity, rank (ties: the larger id first).
+def _packed(rows: DataFrame, id_col: str, hidden: str) -> DataFrame:
+    """Rows (group, id_col, embedding) as blocks of one group and dimension: group, dim, ids and the matrix' bytes. A block
+    is filled where its rows lie, without a shuffle, and holds at most BLOCK_BYTES; zero vectors keep their place."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_blocks: dict[tuple, tuple[list[int], list[np.ndarray]]] = {}
+        held = 0
+
+        def closed(key: tuple) -> pa.RecordBatch:
+            ids, parts = open_blocks.pop(key)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], group_type), pa.array([key[1]], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.stack(parts).tobytes()])], names=["group", "dim", hidden, f"{hidden}_m"])
+
+        for b in batches:
+            group_type = b.schema.field("group").type
+            vecs = b.column("embedding")
+            flat, ends = vecs.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.nan_to_num(pa.compute.list_value_length(vecs).to_numpy(zero_copy_only=False)))]).astype(int)
+            for i, (g, x) in enumerate(zip(b.column("group").to_pylist(), b.column(id_col).to_pylist(), strict=True)):
+                dim = int(ends[i + 1] - ends[i])
+                if not dim:
+                    continue
+                ids, parts = open_blocks.setdefault((g, dim), ([], []))
+                ids.append(x)
+                parts.append(flat[ends[i] : ends[i + 1]].copy())
+                held += dim * 8
+                if len(ids) * dim * 8 >= BLOCK_BYTES:
+                    held -= len(ids) * dim * 8
+                    yield closed((g, dim))
+            if held > 64 * BLOCK_BYTES:  # many small groups
+                for key in list(open_blocks):
+                    yield closed(key)
+                held = 0
+        for key in list(open_blocks):
+            yield closed(key)
+
+    kind = dict(rows.dtypes)["group"]
+    flat = rows.select("group", id_col, F.col("embedding").cast("array<double>").alias("embedding"))
+    return flat.mapInArrow(work, f"group {kind}, dim int, {hidden} array<long>, {hidden}_m binary")
+
+
+def best_of(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest similarities; ties: the larger id first."""
+    at = np.arange(len(ids))
+    if len(ids) > k:
+        least = np.partition(sims, len(ids) - k)[len(ids) - k]
+        at = np.flatnonzero(sims >= least)
+    return at[np.lexsort((-ids[at], -sims[at]))[:k]]
+
+
+def _scored(k: int):
+    """Top k of each query over the pairs of blocks of a task: merged in the task, written out when they become many."""
+
+    def unit(ids: list[int], raw: bytes) -> np.ndarray:
+        m = np.frombuffer(raw).reshape(len(ids), -1)
+        norm = np.sqrt((m * m).sum(1))[:, None]
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    vectors: group, id, embedding; queries: query_id, group, embedding; a query sees its group (or all). Queries are
-    taken in blocks of a fixed size, whose matrix is broadcast; each task multiplies it with its vectors and keeps k a
-    query, so only queries x tasks x k rows are shuffled. Vectors of another dimension and zero queries match nothing."""
-    spark = vectors.sparkSession
-    ship(spark)
-    numbered = queries.select("query_id", "group", "embedding").where(F.size("embedding") > 0)
-    n = numbered.count()
-    blocks = max(1, -(-n // block))
-    numbered = numbered.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    parts = []
-    for b in range(blocks):
-        rows = numbered.where(F.col("_b") == b).collect()  # about `block` vectors
-        model = spark.sparkContext.broadcast([(r["query_id"], r["group"], np.array(r["embedding"], dtype=np.float64)) for r in rows])
-
-        def work(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            best: dict[int, list[tuple[float, int]]] = {}
-            qs = [(q, g, v / m) for q, g, v in model.value if (m := np.sqrt(v @ v)) > 0]
-            for batch in batches:
-                groups, ids, vecs = (batch.column(c).to_pylist() for c in ("group", "id", "embedding"))
-                by: dict = {}
-                for i, (g, v) in enumerate(zip(groups, vecs, strict=True)):
-                    if v:
-                        by.setdefault((g if by_group else None, len(v)), []).append(i)
-                for (g, dim), at in by.items():
-                    mine = [(q, v) for q, h, v in qs if len(v) == dim and (not by_group or h == g)]
-                    if not mine:
+        def closed() -> pa.RecordBatch:
+            cols = [np.repeat(list(best), [len(i) for i, _ in best.values()]), np.concatenate([i for i, _ in best.values()]), np.concatenate([s for _, s in best.values()])]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "similarity"])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                qs, ids = b.column("qs")[i].as_py(), b.column("vs")[i].as_py()
+                q, ids = unit(qs, b.column("qs_m")[i].as_py()), np.array(ids)
+                sims = np.round(q @ unit(ids, b.column("vs_m")[i].as_py()).T, 9)
+                for j, name in enumerate(qs):
+                    if not q[j].any():
                         continue
-                    m = np.array([vecs[i] for i in at], dtype=np.float64)
-                    norm = np.sqrt((m * m).sum(1))
-                    sims = np.divide(m @ np.array([v for _, v in mine]).T, norm[:, None], out=np.zeros((len(at), len(mine))), where=norm[:, None] > 0)
-                    for j, (q, _) in enumerate(mine):
-                        have = best.get(q, []) + [(round(float(s), 9), ids[i]) for s, i in zip(sims[:, j], at, strict=True)]
-                        best[q] = sorted(have, key=lambda x: (-x[0], -x[1]))[:k]
-            out = [(q, i, s) for q, rows in best.items() for s, i in rows]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "similarity"])
-
-        parts.append(vectors.select("group", "id", "embedding").mapInArrow(work, "query_id long, id long, similarity double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("id").desc())
-    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+                    mine, near = ids, sims[j]
+                    if name in best:
+                        mine, near = np.concatenate([best[name][0], ids]), np.concatenate([best[name][1], near])
+                    at = best_of(mine, near, k)
+                    best[name] = (mine[at], near[at])
+                if len(best) * k > 1 << 20:
+                    yield closed()
+                    best.clear()
+        if best:
+            yield closed()
 
+    return work
 
-def ann_candidates(vectors: DataFrame, queries: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """Approximate top k by random-projection buckets over unit vectors, checked by exact cosine. Columns as dense_topk."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
 
-    unit = lambda df, name: Normalizer(inputCol="_v", outputCol="u").transform(df.where(F.size("embedding") > 0).select(name, array_to_vector(F.col("embedding").cast("array<double>")).alias("_v")))
-    v, q = unit(vectors, "id"), unit(queries, "query_id")
-    lsh = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=1.0, numHashTables=6, seed=seed).fit(v)
-    near = lsh.approxSimilarityJoin(q, v, 1.5, "d").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), (1 - F.col("d") * F.col("d") / 2).alias("similarity"))
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, by_group: bool = True) -> DataFrame:
+    """Top k vectors by cosine of each query: query_id, id, similarity, rank (ties: the larger id first).
+
+    vectors: group, id, embedding; queries: query_id, group, embedding; a query sees its group (or all). Both sides become
+    blocks of one group and dimension of a fixed size in bytes: vectors where they lie, queries dealt by group and number, so
+    that a hot group has many blocks. Blocks meet in one join (the queries' side is broadcast where its size is below Spark's
+    threshold, else both are shuffled and skewed groups split); a task multiplies pair after pair and keeps k a query, and
+    these are merged by a window that is limited in each task first. Vectors of another dimension and zero queries match
+    nothing."""
+    ship(vectors.sparkSession)
+    group = F.col("group") if by_group else F.lit(0)
+    q = queries.select(group.alias("group"), "query_id", "embedding").where(F.size("embedding") > 0)
+    q = q.withColumn("_dim", F.size("embedding"))
+    rows = F.lit(float(BLOCK_BYTES // 8)) / F.col("_dim")
+    sizes = q.groupBy("group", "_dim").agg(F.count("*").alias("_n")).withColumn("_nb", F.ceil(F.col("_n") / rows))
+    dealt = q.join(sizes, ["group", "_dim"]).withColumn("_b", F.pmod(F.xxhash64("query_id"), F.col("_nb")))
+    asked = written(_packed(dealt.repartition("group", "_dim", "_b").select("group", "query_id", "embedding"), "query_id", "qs"), "query-blocks")
+    blocks = _packed(vectors.select(group.alias("group"), "id", "embedding"), "id", "vs")
+    found = blocks.join(asked, ["group", "dim"]).select("qs", "qs_m", "vs", "vs_m").mapInArrow(_scored(k), "query_id long, id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("id").desc())
-    return near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+
+
+@dataclass
+class Lists:
+    """Inverted lists: vectors with their list (written), the centroids, and the number of lists to probe."""
+
+    vectors: DataFrame
+    centres: np.ndarray
+    probes: int
+
+
+def _nearest(centres: np.ndarray, count: int):
+    """Arrow function: the `count` nearest lists of each vector, nearest first."""
+
+    def near(embeddings: pd.Series) -> pd.Series:
+        m = np.stack([np.asarray(e, dtype=np.float64) for e in embeddings])
+        norm = np.sqrt((m * m).sum(1))[:, None]
+        order = np.argsort(-(np.divide(m, norm, out=np.zeros_like(m), where=norm > 0) @ centres.T), axis=1, kind="stable")
+        return pd.Series(list(order[:, :count].astype(np.int32)))
+
+    return F.pandas_udf(near, "array<int>")
+
+
+def coarse_centres(vectors: DataFrame, lists: int, sample: int, turns: int = 10) -> np.ndarray:
+    """Unit centroids of `lists` clusters of directions, fitted on the `sample` vectors of smallest hashed id."""
+    chosen = vectors.select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    m = np.array([r["embedding"] for r in chosen], dtype=np.float64)
+    norm = np.sqrt((m * m).sum(1))
+    m = m[norm > 0] / norm[norm > 0, None]
+    centres = m[:lists].copy()
+    for _ in range(turns):
+        mine = (m @ centres.T).argmax(1)
+        for j in range(len(centres)):
+            if (total := m[mine == j].sum(0)).any():
+                centres[j] = total / np.sqrt(total @ total)
+    return centres
+
+
+def inverted_lists(vectors: DataFrame, k: int = 8, target: float = 0.95, sample: int = 20_000, tried: int = 64, most: int = 1_024) -> Lists:
+    """Lists over vectors (id, embedding of one dimension): about the root of their number, at most `most`. Centroids come from
+    a bounded sample, but every row is assigned. The number of probes is measured: the true top k of `tried` vectors lie
+    in lists whose order for these vectors is known, so one exact search tells the recall of every number of probes."""
+    ship(vectors.sparkSession)
+    rows = vectors.where(F.size("embedding") > 0).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    n = rows.count()
+    centres = coarse_centres(rows, max(1, min(most, math.isqrt(n))), sample)
+    stored = written(rows.withColumn("list", _nearest(centres, 1)("embedding")[0]), "inverted-lists")
+    if not n:
+        return Lists(stored, centres, 0)
+    asked = written(stored.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(tried).withColumn("order", _nearest(centres, len(centres))("embedding")), "recall-queries")
+    exact = dense_topk(stored.withColumn("group", F.lit(0)), asked.select(F.col("id").alias("query_id"), F.lit(0).alias("group"), "embedding"), k)
+    place = exact.join(stored.select("id", "list"), "id").join(asked.select(F.col("id").alias("query_id"), "order"), "query_id").select(F.array_position("order", F.col("list")).alias("p"))
+    seen = np.sort([r["p"] for r in place.collect()])  # tried * k numbers
+    return Lists(stored, centres, int(seen[math.ceil(target * len(seen)) - 1]))
+
+
+def ann_candidates(vectors: DataFrame | Lists, queries: DataFrame, k: int) -> DataFrame:
+    """Approximate top k: each query searches its nearest inverted lists only, by exact cosine. Columns as dense_topk."""
+    lists = vectors if isinstance(vectors, Lists) else inverted_lists(vectors, k)
+    asked = queries.where(F.size("embedding") > 0).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = asked.withColumn("group", F.explode(_nearest(lists.centres, lists.probes)("embedding")))
+    return dense_topk(lists.vectors.select("id", F.col("list").alias("group"), "embedding"), asked, k)
 
 
 def doc_centroid(chunks: DataFrame, first: int = 10) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragmill.operators import answers as an
-from ragmill.operators import importance, retrieval, vectors
+from ragmill.operators import bm25, importance, retrieval, vectors
 from ragmill.plans.registry import query
 from ragmill.plans.text_queries import CHUNKS_SQL, IMPORTANCE_SQL, chunks
 from ragmill.session import written
@@ -72,6 +72,16 @@ def ann_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.ann_candidates(v, q, 8)
 
 
+@query("ann_recall", "SELECT count(*) AS queries, 8 AS k, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the exact top 8 that the inverted lists find: is it 0.9 at least?"""
+    v, q = _vectors(spark, sf_dir)
+    exact = vectors.dense_topk(v, q, 8, by_group=False).select("query_id", "id")
+    found = vectors.ann_candidates(v, q, 8).select("query_id", "id", F.lit(1).alias("found"))
+    both = exact.join(found, ["query_id", "id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), F.lit(8).alias("k"), (F.count("found") >= 0.9 * F.count("*")).alias("enough"))
+
+
 BM25_SQL = """t AS (SELECT user_id AS "group", id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS term FROM chunks WHERE deleted_at IS NULL),
   ln AS (SELECT user_id AS "group", id, len(regexp_extract_all(lower(content), '[a-z0-9]+')) AS len FROM chunks WHERE deleted_at IS NULL),
   sz AS (SELECT "group", count(*) AS n, avg(len) AS avgdl FROM ln GROUP BY 1),
@@ -92,13 +102,13 @@ BM25_SQL = """t AS (SELECT user_id AS "group", id, unnest(regexp_extract_all(low
 @query("bm25_index", f"WITH {CHUNKS_SQL}, {Q_SQL}, {BM25_SQL} SELECT \"group\", term, round(idf, 6) AS idf FROM idf")
 def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir).where("deleted_at IS NULL").select(F.col("user_id").alias("group"), "id", "content")
-    return retrieval.bm25_index(c)["terms"].withColumn("idf", F.round("idf", 6))
+    return bm25.build(c).idf().select("group", "term", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_search", f"WITH {CHUNKS_SQL}, {Q_SQL}, {BM25_SQL} SELECT query_id, id, round(sparse_score, 6) AS sparse_score, rank FROM spr WHERE rank <= {K}")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir).where("deleted_at IS NULL").select(F.col("user_id").alias("group"), "id", "content")
-    return retrieval.bm25_search(c, questions(spark, sf_dir), K).withColumn("sparse_score", F.round("sparse_score", 6))
+    return retrieval.bm25_search(bm25.build(c), questions(spark, sf_dir), K).withColumn("sparse_score", F.round("sparse_score", 6))
 
 
 HYBRID_SQL = (
@@ -221,4 +231,4 @@ def multihop_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q = corpus(spark, sf_dir), asked(spark, sf_dir)
     a = vectors.dense_topk(c, q, LIMIT).select("query_id", "id")
-    return a.unionByName(retrieval.bm25_search(c, q, LIMIT).select("query_id", "id")).distinct()
+    return a.unionByName(retrieval.bm25_search(bm25.build(c), q, LIMIT).select("query_id", "id")).distinct()
