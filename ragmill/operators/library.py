@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def doc_filter(documents: DataFrame, name: str | None = None, kind: Column | None = None, tagged: DataFrame | None = None) -> DataFrame:
-    """Live documents, optionally with a name that contains a term, of a kind, and with a tag (left semi)."""
-    out = documents.where(F.col("deleted_at").isNull())
+    """Live documents that were not failed by their ingest, optionally with a name that contains a term, of a kind, and with
+    a tag (left semi). A status that is null is not failed."""
+    out = documents.where(F.col("deleted_at").isNull() & ~F.col("processing_status").eqNullSafe("failed"))
     if name:
         out = out.where(F.col("filename").ilike(f"%{name}%"))
     if kind is not None:
@@ -81,17 +82,95 @@ def restorable(documents: DataFrame, now: str, days: int = 30) -> DataFrame:
     return t.withColumn("days", age.cast("long")).withColumn("restorable", F.col("days") < days)
 
 
-def purge(parents: DataFrame, children: dict[str, DataFrame], now: str, days: int = 30, key: str = "document_id") -> dict[str, DataFrame]:
-    """Rows that stay: parents deleted before now - days go with their children."""
-    cut = F.lit(now).cast("timestamp") - F.make_dt_interval(days=F.lit(days))
-    gone = parents.where(F.col("deleted_at") < cut).select(key)
-    return {"gone": gone, "parents": parents.join(gone, key, "left_anti")} | {k: c.join(gone, key, "left_anti") for k, c in children.items()}
+def _stale(rows: DataFrame, now: str, days: int) -> DataFrame:
+    return rows.where(F.col("deleted_at") < F.lit(now).cast("timestamp") - F.make_dt_interval(days=F.lit(days)))
+
+
+#: Child tables and what their rows hang on: (parent table, the parent's key, the child's column). A row goes with any parent.
+CASCADE: dict[str, list[tuple[str, str, str]]] = {
+    "documents": [("users", "user_id", "user_id")],
+    "collections": [("users", "user_id", "user_id")],
+    "chat_history": [("users", "user_id", "user_id")],
+    "chunks": [("documents", "document_id", "document_id")],
+    "chunk_coverage": [("chunks", "chunk_id", "chunk_id"), ("users", "user_id", "user_id")],
+    "document_tags": [("documents", "document_id", "document_id")],
+    "collection_documents": [("documents", "document_id", "document_id"), ("collections", "collection_id", "collection_id")],
+    "document_versions": [("documents", "document_id", "document_id")],
+    "document_timelines": [("documents", "document_id", "document_id")],
+}
+
+
+def cascade(tables: dict[str, DataFrame], gone: dict[str, DataFrame], links: dict[str, list[tuple[str, str, str]]] | None = None) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """(what stays of each table, counts of what goes: table, rows; file keys of what goes: storage_key).
+
+    gone holds the rows that are removed themselves, by table. Children follow along the links, parents first, so a row goes
+    with a parent that goes only because of its own parent; each step is a left semi and a left anti join on the link's column.
+    Links to tables that are not given are skipped."""
+    links = CASCADE if links is None else links
+    spark = next(iter(tables.values())).sparkSession
+    order, open_tables = [], list(tables)
+    while open_tables:
+        free = [t for t in open_tables if not any(p in open_tables and p != t for p, _, _ in links.get(t, []))]
+        if not free:
+            raise ValueError(f"links go round among {open_tables}")
+        order += free
+        open_tables = [t for t in open_tables if t not in free]
+
+    stays, goes = {}, {}
+    for t in order:
+        rows, lost = tables[t], []
+        if t in gone:
+            key = {"documents": "document_id", "collections": "collection_id", "users": "user_id", "chat_history": "id"}.get(t, gone[t].columns[0])
+            lost.append((gone[t].select(key).distinct(), key))
+        for parent, key, column in links.get(t, []):
+            if parent in goes:
+                lost.append((goes[parent].select(F.col(key).alias(column)).distinct(), column))
+        out, left = None, rows
+        for keys, column in lost:
+            part = left.join(keys, column, "left_semi")
+            out = part if out is None else out.unionByName(part)
+            left = left.join(keys, column, "left_anti")
+        stays[t], goes[t] = left, rows.limit(0) if out is None else out
+    counts, files = None, None
+    for t in order:
+        one = goes[t].agg(F.count("*").alias("rows")).select(F.lit(t).alias("table"), "rows")
+        counts = one if counts is None else counts.unionByName(one)
+        if "storage_key" in goes[t].columns:
+            keys = goes[t].where(F.col("storage_key").isNotNull()).select("storage_key")
+            files = keys if files is None else files.unionByName(keys)
+    return stays, counts, files if files is not None else spark.createDataFrame([], "storage_key string")
+
+
+def purge_deleted(tables: dict[str, DataFrame], now: str, days: int = 30) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """Remove documents, collections and history rows that were deleted more than `days` ago, and all that hangs on them: see
+    cascade."""
+    return cascade(tables, {t: _stale(tables[t], now, days) for t in ("documents", "collections", "chat_history") if t in tables})
+
+
+def purge_users(tables: dict[str, DataFrame], users: DataFrame) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """Remove accounts (user_id) and all that is theirs: see cascade. tables must hold `users`."""
+    return cascade(tables, {"users": users})
+
+
+def add_key_scheme(keys: Column, scheme: str = "legacy://") -> Column:
+    """Stored keys with a scheme before them; null stays."""
+    return F.concat(F.lit(scheme), keys)
+
+
+def drop_key_scheme(keys: Column, scheme: str = "legacy://") -> Column:
+    """The reverse of add_key_scheme: keys without the scheme stay as they are."""
+    return F.when(keys.startswith(scheme), F.substring(keys, len(scheme) + 1, 2**31 - 1)).otherwise(keys)
 
 
 def expired_tokens(tokens: DataFrame, now: str) -> DataFrame:
     return tokens.where(F.col("expires_at") < F.lit(now).cast("timestamp"))
 
 
+def usable_reset_tokens(tokens: DataFrame, now: str) -> DataFrame:
+    """Reset tokens that were not used and have not expired. Columns used_at, expires_at."""
+    return tokens.where(F.col("used_at").isNull() & ~(F.col("expires_at") < F.lit(now).cast("timestamp")))
+
+
 def token_reuse(uses: DataFrame) -> DataFrame:
     """Uses of one-time tokens with `reused` (not the token's first use) and `revoked`: issued before the user's latest
     reuse. Columns user_id, jti, issued_at, used_at."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragmill.operators import library as lib
@@ -22,7 +22,7 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one("quality").unionByName(one("toxic"))
 
 
-@query("doc_filter", f"WITH {DOCS_SQL}, {TAGS_SQL} SELECT document_id, filename FROM docs WHERE deleted_at IS NULL AND filename ILIKE '%doc_1%' AND document_id IN (SELECT document_id FROM tags WHERE tag = 'quality-1')")
+@query("doc_filter", f"WITH {DOCS_SQL}, {TAGS_SQL} SELECT document_id, filename FROM docs WHERE deleted_at IS NULL AND processing_status <> 'failed' AND filename ILIKE '%doc_1%' AND document_id IN (SELECT document_id FROM tags WHERE tag = 'quality-1')")
 def doc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = tags(spark, sf_dir).where("tag = 'quality-1'").select("document_id")
     return lib.doc_filter(documents(spark, sf_dir), name="doc_1", tagged=tagged).select("document_id", "filename")
@@ -33,7 +33,7 @@ def tag_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).join(tags(spark, sf_dir).where("tag = 'toxic-1'"), "document_id", "left_semi").select("document_id")
 
 
-@query("collection_semi", f"WITH {DOCS_SQL} SELECT document_id FROM docs WHERE lang IN ('de', 'fr') AND deleted_at IS NULL")
+@query("collection_semi", f"WITH {DOCS_SQL} SELECT document_id FROM docs WHERE lang IN ('de', 'fr') AND deleted_at IS NULL AND processing_status <> 'failed'")
 def collection_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
     members = d.where(F.col("lang").isin("de", "fr")).select("document_id")
@@ -97,12 +97,18 @@ def collection_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("list_documents", f"""WITH {CHUNKS_SQL}, {TAGS_SQL}, k AS (SELECT document_id, count(*) AS n FROM chunks GROUP BY 1), t AS (SELECT document_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM (SELECT DISTINCT document_id, tag FROM tags) AS q GROUP BY 1),
-  r AS (SELECT document_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, document_id DESC) AS rank, count(*) OVER (PARTITION BY user_id) AS total FROM docs WHERE deleted_at IS NULL)
-  SELECT r.user_id, r.document_id, rank, total, coalesce(n, 0) AS chunk_count, coalesce(tags, '') AS tags FROM r LEFT JOIN k ON k.document_id = r.document_id LEFT JOIN t ON t.document_id = r.document_id WHERE rank <= 50""")
+  r AS (SELECT document_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, document_id DESC) AS rank, count(*) OVER (PARTITION BY user_id) AS total FROM docs WHERE deleted_at IS NULL AND processing_status <> 'failed'),
+  dup AS (SELECT a.document_id, min(b.document_id) AS duplicate_of FROM docs AS a JOIN docs AS b ON b.user_id = a.user_id AND b.text = a.text AND b.document_id < a.document_id GROUP BY 1)
+  SELECT r.user_id, r.document_id, rank, total, coalesce(n, 0) AS chunk_count, coalesce(tags, '') AS tags, 'doc_' || duplicate_of || '.txt' AS duplicate_name FROM r LEFT JOIN dup ON dup.document_id = r.document_id LEFT JOIN k ON k.document_id = r.document_id LEFT JOIN t ON t.document_id = r.document_id WHERE rank <= 50""")
 def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = lib.page(lib.doc_filter(documents(spark, sf_dir)), "user_id", 50, id_col="document_id")
-    d = lib.doc_tags(lib.doc_chunk_counts(d, chunks(spark, sf_dir)), tags(spark, sf_dir))
-    return d.select("user_id", "document_id", "rank", "total", "chunk_count", "tags")
+    """The first page of every user, with the name of the earliest document of the same text."""
+    d = documents(spark, sf_dir)
+    first = Window.partitionBy("user_id", F.md5("text"))
+    same = d.select("document_id", F.min("document_id").over(first).alias("duplicate_of")).where("duplicate_of < document_id")
+    page = lib.page(lib.doc_filter(d), "user_id", 50, id_col="document_id")
+    page = lib.doc_tags(lib.doc_chunk_counts(page, chunks(spark, sf_dir)), tags(spark, sf_dir)).join(same, "document_id", "left")
+    names = d.select(F.col("document_id").alias("duplicate_of"), F.col("filename").alias("duplicate_name"))
+    return page.join(names, "duplicate_of", "left").select("user_id", "document_id", "rank", "total", "chunk_count", "tags", "duplicate_name")
 
 
 _PAGE = "SELECT user_id, id, rank, total FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rank, count(*) OVER (PARTITION BY user_id) AS total FROM qlog WHERE {}) AS q WHERE rank > {} AND rank <= {}"
@@ -152,17 +158,54 @@ def trash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lib.page(d, "user_id", 2**31 - 1, id_col="document_id").select("user_id", "document_id", F.col("rank").alias("position"))
 
 
-@query("purge_deleted", f"WITH {CHUNKS_SQL} SELECT c.document_id, c.chunk_index FROM chunks AS c WHERE deleted_at IS NULL OR deleted_at >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY")
+def stored_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The library's tables, made of documents, labels, events and conversations: every link of the cascade has rows."""
+    d = documents(spark, sf_dir).withColumn("storage_key", F.concat("user_id", F.lit("/"), "filename"))
+    c = chunks(spark, sf_dir).select("document_id", F.col("id").alias("chunk_id"))
+    seen = table(spark, sf_dir, "events").select((F.get_json_object("props", "$.k").cast("long") * 100_000).alias("chunk_id"), F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("user_id"))
+    log = query_log(spark, sf_dir).withColumn("user_id", F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")))
+    langs = d.select("lang").distinct()
+    return {
+        "users": d.select("user_id").distinct(), "documents": d.select("document_id", "user_id", "storage_key", "deleted_at"),
+        "collections": langs.select(F.col("lang").alias("collection_id"), F.lit("src3").alias("user_id"), F.when(F.col("lang") == "fr", F.lit("2024-01-02").cast("timestamp")).alias("deleted_at")),
+        "chat_history": log.select("id", "user_id", "deleted_at"), "chunks": c, "chunk_coverage": seen.distinct(), "document_tags": tags(spark, sf_dir),
+        "collection_documents": d.select("document_id", F.col("lang").alias("collection_id")),
+        "document_versions": d.where("document_id % 3 = 0").select("document_id", F.concat(F.lit("old/"), "filename").alias("storage_key")),
+        "document_timelines": d.where("document_id % 5 = 0").select("document_id"),
+    }
+
+
+_STORED = CHUNKS_SQL + f""", {TAGS_SQL}, {LOG_SQL},
+  cov AS (SELECT DISTINCT k * 100000 AS chunk_id, 'src' || (user_id % 20) AS user_id FROM qlog),
+  col AS (SELECT DISTINCT lang AS collection_id, 'src3' AS user_id, lang = 'fr' AS old FROM documents)"""
+_GONE = """ SELECT 'users' AS "table", {u} AS "rows" UNION ALL SELECT 'documents', (SELECT count(*) FROM gd) UNION ALL SELECT 'collections', (SELECT count(*) FROM gc)
+  UNION ALL SELECT 'chat_history', (SELECT count(*) FROM qlog WHERE {h}) UNION ALL SELECT 'chunks', (SELECT count(*) FROM chunks WHERE document_id IN (FROM gd))
+  UNION ALL SELECT 'chunk_coverage', (SELECT count(*) FROM cov WHERE {v} OR chunk_id IN (SELECT id FROM chunks WHERE document_id IN (FROM gd)))
+  UNION ALL SELECT 'document_tags', (SELECT count(*) FROM tags WHERE document_id IN (FROM gd)) UNION ALL SELECT 'collection_documents', (SELECT count(*) FROM docs WHERE document_id IN (FROM gd) OR lang IN (FROM gc))
+  UNION ALL SELECT 'document_versions', (SELECT count(*) FROM docs WHERE document_id % 3 = 0 AND document_id IN (FROM gd)) UNION ALL SELECT 'document_timelines', (SELECT count(*) FROM docs WHERE document_id % 5 = 0 AND document_id IN (FROM gd))"""
+
+
+@query("purge_deleted", f"WITH {_STORED}, gd AS (SELECT document_id FROM docs WHERE deleted_at < TIMESTAMP '{NOW}' - INTERVAL 30 DAY), gc AS (SELECT collection_id FROM col WHERE old)" + _GONE.format(u="0", h=f"deleted_at < TIMESTAMP '{NOW}' - INTERVAL 30 DAY", v="false"))
 def purge_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks(spark, sf_dir).select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"))
-    return lib.purge(documents(spark, sf_dir), {"chunks": c}, NOW)["chunks"]
+    return lib.purge_deleted(stored_tables(spark, sf_dir), NOW)[1]
 
 
-@query("purge_user", f"WITH {CHUNKS_SQL} SELECT document_id, chunk_index FROM chunks WHERE user_id <> 'src3'")
+@query("purge_user", f"WITH {_STORED}, gd AS (SELECT document_id FROM docs WHERE user_id = 'src3'), gc AS (SELECT collection_id FROM col)" + _GONE.format(u="(SELECT count(DISTINCT user_id) FROM docs WHERE user_id = 'src3')", h="user_id % 20 = 3", v="user_id = 'src3'"))
 def purge_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = documents(spark, sf_dir).where("user_id = 'src3'").select("user_id").distinct()
-    c = chunks(spark, sf_dir).join(gone, "user_id", "left_anti")
-    return c.select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"))
+    tables = stored_tables(spark, sf_dir)
+    return lib.purge_users(tables, tables["users"].where("user_id = 'src3'"))[1]
+
+
+@query("purge_files", f"WITH {DOCS_SQL}, gd AS (SELECT * FROM docs WHERE deleted_at < TIMESTAMP '{NOW}' - INTERVAL 30 DAY) SELECT user_id || '/' || filename AS storage_key FROM gd UNION ALL SELECT 'old/' || filename FROM gd WHERE document_id % 3 = 0")
+def purge_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lib.purge_deleted(stored_tables(spark, sf_dir), NOW)[2]
+
+
+@query("usable_reset_tokens", "SELECT event_id FROM events WHERE event_type <> 'purchase' AND ts + INTERVAL 7 DAY >= TIMESTAMP '2024-01-20 00:00:00'")
+def usable_reset_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    e = e.select("event_id", (F.col("ts") + F.expr("INTERVAL 7 DAY")).alias("expires_at"), F.when(F.col("event_type") == "purchase", F.col("ts")).alias("used_at"))
+    return lib.usable_reset_tokens(e, "2024-01-20 00:00:00").select("event_id")
 
 
 @query("expired_tokens", "SELECT event_id FROM events WHERE ts + INTERVAL 7 DAY < TIMESTAMP '2024-01-20 00:00:00'")
@@ -204,9 +247,10 @@ def scope_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("lang = 'en'").select("document_id").intersect(d.where("user_id IN ('src1', 'src2')").select("document_id"))
 
 
-@query("backfill_storage_key", "SELECT page_id, 'legacy://' || url AS storage_key FROM pages")
+@query("backfill_storage_key", "SELECT page_id, 'legacy://' || url AS storage_key, url AS restored FROM pages")
 def backfill_storage_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("legacy://"), F.col("url")).alias("storage_key"))
+    p = table(spark, sf_dir, "pages").select("page_id", lib.add_key_scheme(F.col("url")).alias("storage_key"))
+    return p.withColumn("restored", lib.drop_key_scheme(F.col("storage_key")))
 
 
 @query("export_missing_files", f"WITH {DOCS_SQL} SELECT document_id FROM docs WHERE document_id NOT IN (SELECT page_id FROM pages)")

@@ -23,6 +23,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text"),
         created.alias("created_at"),
         F.when(F.col("doc_id") % 17 == 0, created + F.expr("INTERVAL 1 DAY")).alias("deleted_at"),
+        F.when(F.col("n_chars") < 60, "failed").otherwise("done").alias("processing_status"),
     )
 
 
@@ -47,7 +48,8 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same views for DuckDB.
 DOCS_SQL = """docs AS (SELECT doc_id AS document_id, source AS user_id, 'doc_' || doc_id || '.txt' AS filename, lang, text,
     TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id) AS created_at,
-    CASE WHEN doc_id % 17 = 0 THEN TIMESTAMP '2024-01-02 00:00:00' + to_seconds(doc_id) END AS deleted_at FROM documents)"""
+    CASE WHEN doc_id % 17 = 0 THEN TIMESTAMP '2024-01-02 00:00:00' + to_seconds(doc_id) END AS deleted_at,
+    CASE WHEN n_chars < 60 THEN 'failed' ELSE 'done' END AS processing_status FROM documents)"""
 LOG_SQL = """qlog AS (SELECT event_id AS id, user_id, ts AS created_at, event_type AS mode, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
     event_type || ' ' || coalesce(CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) AS VARCHAR), '') AS question, value / 500 AS confidence_score,
     CASE WHEN event_id % 19 = 0 THEN ts END AS deleted_at, event_id % 7 = 0 AS bookmarked FROM events)"""

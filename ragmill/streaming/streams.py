@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -46,15 +46,43 @@ def stream_rate_counts(events: DataFrame, window: str = "1 minute", watermark: s
     return events.withWatermark("ts", watermark).groupBy(F.window("ts", window), "key", "action").agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), "key", "action", "n")
 
 
-def stream_ingest(source: DataFrame, ingest: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+def stream_ingest(source: DataFrame, ingest: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Run a batch ingest on each micro-batch; a batch is written under its id, so a repeated batch replaces itself."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         ingest(batch).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
+    return source.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_tables(source: DataFrame, ingest: Callable[[DataFrame], dict[str, DataFrame]], path: str, checkpoint: str) -> StreamingQuery:
+    """Run an ingest that gives several tables on each micro-batch. One of them is `documents`; all have document_id. A table
+    is written under its batch's number (a repeated batch replaces itself) and `documents` last, as it makes the batch count:
+    see newest_tables."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        tables = ingest(batch)
+        for name in sorted(tables, key=lambda n: n == "documents"):
+            tables[name].write.mode("overwrite").parquet(f"{path}/{name}/batch={epoch}")
+
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def newest_tables(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    """The tables of stream_tables with each document as its last batch left it: rows of earlier batches are gone from every
+    table, also where the last batch gave the document no rows."""
+    read = lambda n: spark.read.option("basePath", f"{path}/{n}").parquet(f"{path}/{n}")
+    last = read("documents").groupBy("document_id").agg(F.max("batch").alias("batch"))
+    return {n: read(n).join(last, ["document_id", "batch"], "left_semi").drop("batch") for n in ["documents", *names]}
+
+
+def stream_answer_log(frames: DataFrame, log: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Assemble answers from frames and write a history row for each that is finished, by log(answers), say answers.answer_log
+    of stored questions and results. Rows lie under their batch's number, so a repeated batch replaces itself; an unfinished
+    answer has no row."""
+    return stream_ingest(stream_answers(frames), log, path, checkpoint, "append")
+
+
 def stream_answers(frames: DataFrame) -> DataFrame:
     """One row (query_id, answer) once a query's `done` frame has come; columns query_id, seq, kind, text. State is the
     pieces of unfinished answers, dropped after an hour without frames."""
