@@ -32,6 +32,20 @@ def prompt_context(results: DataFrame) -> DataFrame:
     return results.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", p.alias("p")))), lambda x: x["p"]), "\n\n").alias("context"))
 
 
+def compare_context(results: DataFrame) -> DataFrame:
+    """query_id, context: passages under "Document: name" in chosen order, numbered over all documents. Of chosen documents with
+    one name only the last one's passages stand there, in the first one's place. results: query_id, position, rank,
+    document_name, content."""
+    name = Window.partitionBy("query_id", "document_name")
+    kept = results.withColumn("_slot", F.min("position").over(name)).withColumn("_last", F.max("position").over(name)).where(F.col("position") == F.col("_last"))
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy("_slot", "rank"))
+    line = F.concat(F.lit("["), n.cast("string"), F.lit("] "), F.col("content"))
+    parts = kept.select("query_id", "_slot", "document_name", n.alias("_n"), line.alias("_line")).groupBy("query_id", "_slot", "document_name").agg(F.sort_array(F.collect_list(F.struct("_n", "_line"))).alias("_p"))
+    part = F.concat(F.lit("Document: "), F.col("document_name"), F.lit("\n"), F.array_join(F.transform("_p", lambda x: x["_line"]), "\n"))
+    by_slot = F.sort_array(F.collect_list(F.struct("_slot", part.alias("t"))))
+    return parts.groupBy("query_id").agg(strip(F.array_join(F.transform(by_slot, lambda x: x["t"]), "\n\n")).alias("context"))
+
+
 def grounding_check(answers: DataFrame, results: DataFrame, least: int = 3) -> DataFrame:
     """Sentences of each answer, whether a retrieved chunk shares `least` key terms, and the first such by rank."""
     s = answers.select("query_id", F.posexplode(simple_sentences(F.col("answer"))).alias("sentence_no", "sentence")).withColumn("_t", key_terms(F.col("sentence")))
@@ -54,16 +68,19 @@ def confidence(queries: DataFrame, results: DataFrame, answers: DataFrame, groun
 
 
 def answer_log(queries: DataFrame, results: DataFrame, answers: DataFrame, mode: str, conf: DataFrame | None = None) -> DataFrame:
-    """A history row for each query: query_id, question, answer, mode, sources_json (null without results), confidence_score.
-    The sources are a compact snapshot in rank order; a query has at most a few results."""
+    """A history row for each query: query_id, user_id, question, answer, mode, sources_json (null without results) and
+    confidence_score. The sources are a compact snapshot in rank order, with page and section if results have them; a query
+    has at most a few results. user_id is null if queries have none."""
     r = results.withColumn("ranked_score", F.bround(F.least(F.lit(1.0), F.col("ranked_score")) * 100) / 100)
-    card = F.struct("rank", "document_id", F.col("id").alias("chunk_id"), "document_name", "ranked_score", F.round("importance_score", 4).alias("importance_score"))
-    fields = lambda x: F.struct(*[x[n].alias(n) for n in ("chunk_id", "document_id", "document_name", "ranked_score", "importance_score")])
+    place = [(F.col(n) if n in results.columns else F.lit(None).cast(kind)).alias(n) for n, kind in (("page_number", "int"), ("section_heading", "string"))]
+    card = F.struct("rank", "document_id", F.col("id").alias("chunk_id"), "document_name", *place, "ranked_score", F.round("importance_score", 4).alias("importance_score"))
+    fields = lambda x: F.struct(*[x[n].alias(n) for n in ("chunk_id", "document_id", "document_name", "page_number", "section_heading", "ranked_score", "importance_score")])
     s = r.groupBy("query_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(card)), fields)).alias("sources_json"))
     if conf is None:
         conf = confidence(queries, results, answers, grounding_check(answers, results))
-    out = queries.select("query_id", "question").join(answers, "query_id", "left").join(s, "query_id", "left").join(conf, "query_id", "left")
-    return out.select("query_id", "question", "answer", F.lit(mode).alias("mode"), "sources_json", F.coalesce("confidence", F.lit(0.0)).alias("confidence_score"))
+    user = F.col("user_id") if "user_id" in queries.columns else F.lit(None).cast("string")
+    out = queries.select("query_id", user.alias("user_id"), "question").join(answers, "query_id", "left").join(s, "query_id", "left").join(conf, "query_id", "left")
+    return out.select("query_id", "user_id", "question", "answer", F.lit(mode).alias("mode"), "sources_json", F.coalesce("confidence", F.lit(0.0)).alias("confidence_score"))
 
 
 def citation_counts(answers: DataFrame, sources: DataFrame) -> DataFrame:

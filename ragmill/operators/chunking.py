@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragmill.functions.text import detect_heading, row_text, split_sentences, strip
+from ragmill.functions.text import detect_heading, let, row_text, split_sentences, strip
 from ragmill.session import ship
 
 #: Window and overlap in characters; characters of a packed chunk and sentences of overlap.
@@ -108,39 +107,37 @@ def chunk_blocks(docs: DataFrame, keep: list[str], blocks: str = "blocks", size:
     return d.select(*keep, F.posexplode(cut).alias("chunk_index", "c")).select(*keep, "chunk_index", "c.*")
 
 
-def pack_sentences(lengths: list[int], limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Ranges [from, to) of sentences packed up to limit characters (one more for each joining space)."""
-    out, i, n = [], 0, len(lengths)
-    while i < n:
-        begin, total = i, lengths[i]
-        i += 1
-        while i < n and total + 1 + lengths[i] <= limit:
-            total += 1 + lengths[i]
-            i += 1
-        out.append((begin, i))
-        if i < n:
-            i = max(begin + 1, i - overlap)
-    return out
+def packed_ranges(lengths: Column, limit: int, overlap: int) -> Column:
+    """Ranges (a, b) of sentences packed up to limit characters (one more for each joining space); the next range starts
+    `overlap` sentences back, but after the start of the one before. A fold over two indices: each of its steps closes one
+    range, which is measured on the next sentences alone (limit / 2 at most, as each takes two characters with its space)."""
+    ranges, window = "array<struct<a:int,b:int>>", limit // 2 + 2
+
+    def close(state: Column) -> Column:
+        fits = lambda t, n: (n["n"] == 0) | (n["total"] + 1 + t <= limit)
+        add = lambda n, t: F.when(n["open"] & fits(t, n), _state(n["total"] + t + F.when(n["n"] == 0, 0).otherwise(1), n["n"] + 1, F.lit(True))).otherwise(_state(n["total"], n["n"], F.lit(False)))
+        taken = F.aggregate(F.slice(lengths, state["at"] + 1, window), _state(F.lit(0), F.lit(0), F.lit(True)), add, lambda n: n["n"])
+        return let(state["at"] + taken, lambda end: _step(F.when(end < F.size(lengths), F.greatest(state["at"] + 1, end - overlap)).otherwise(F.size(lengths)), F.array_append(state["out"], F.struct(state["at"].alias("a"), end.alias("b")).cast("struct<a:int,b:int>"))))
+
+    _state = lambda total, n, free: F.struct(total.cast("int").alias("total"), n.cast("int").alias("n"), free.alias("open"))
+    _step = lambda at, out: F.struct(at.cast("int").alias("at"), out.cast(ranges).alias("out"))
+    return F.aggregate(lengths, _step(F.lit(0), F.array()), lambda s, _: F.when(s["at"] < F.size(lengths), close(s)).otherwise(s), lambda s: s["out"])
 
 
 def chunk_semantic(docs: DataFrame, keep: list[str], blocks: str = "blocks", limit: int = PACKED, overlap: int = SENTENCES) -> DataFrame:
     """Whole sentences packed up to a size; the next chunk repeats the last sentences. Page and section are those of the
-    first sentence. Only the packing (a loop with a step back) runs as an Arrow function over array columns."""
+    first sentence. All within the document's row."""
     if limit <= 0 or overlap < 0:
         raise ValueError("limit must be positive and overlap >= 0")
-    ship(docs.sparkSession)
     s = _spans(docs, keep, blocks)
     sents = F.flatten(F.transform("_s", lambda b: F.transform(split_sentences(b["text"]), lambda x: F.struct(x.alias("t"), b["page"].alias("page"), b["section"].alias("section")))))
 
-    d = s.select(*keep, sents.alias("_x"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*keep).schema) + ", chunk_index int, content string, page_number int, section_heading string"
+    def chunk(x: Column, r: Column) -> Column:
+        first = F.get(x, r["a"])
+        return F.struct(F.array_join(F.transform(F.slice(x, r["a"] + 1, r["b"] - r["a"]), lambda y: y["t"]), " ").alias("content"), first["page"].alias("page_number"), first["section"].alias("section_heading"))
 
-    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for *kept, sentences in f.itertuples(index=False, name=None):
-                for i, (a, b) in enumerate(pack_sentences([len(x["t"]) for x in sentences], limit, overlap)):
-                    rows.append((*kept, i, " ".join(x["t"] for x in sentences[a:b]), sentences[a]["page"], sentences[a]["section"]))
-            yield pd.DataFrame(rows, columns=[*keep, "chunk_index", "content", "page_number", "section_heading"])
+    def packed(x: Column) -> Column:
+        ranges = let(F.transform(x, lambda y: F.length(y["t"])), lambda n: packed_ranges(n, limit, overlap))
+        return let(ranges, lambda found: F.transform(found, lambda r: chunk(x, r)))
 
-    return d.mapInPandas(packed, schema)
+    return s.select(*keep, F.posexplode(let(sents, packed)).alias("chunk_index", "c")).select(*keep, "chunk_index", "c.*")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragmill.functions.text import content_tokens, detect_heading, representative_sentence, term_counts
+from ragmill.functions.text import content_tokens, detect_heading, representative_sentence, strip, term_counts
+
+_LINE_ENDS = r"\R|[\x1C-\x1E]"
 
 
 def minmax(value: Column, by: Window, constant: float) -> Column:
@@ -44,12 +46,20 @@ def highlights(scored: DataFrame, n: int = 8) -> DataFrame:
     return top.select("document_id", F.col("rank").cast("long").alias("rank"), "chunk_index", representative_sentence(F.col("content")).alias("text"), F.round("importance_score", 4).alias("score"))
 
 
-def outline(docs: DataFrame, chunks: DataFrame, text: str = "text") -> DataFrame:
-    """Headings of each document in order, each once (by lower case), with the first chunk that contains it (else 0)."""
-    lines = docs.select("document_id", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
-    heads = lines.select("document_id", "pos", detect_heading(F.col("line")).alias("heading")).where(F.col("heading").isNotNull())
-    heads = heads.groupBy("document_id", F.lower("heading").alias("_k")).agg(F.min_by("heading", "pos").alias("heading"), F.min("pos").alias("pos"))
-    found = heads.join(chunks.select("document_id", "chunk_index", F.lower("content").alias("_c")), "document_id").where(F.contains(F.col("_c"), F.col("_k")))
-    first = found.groupBy("document_id", "_k").agg(F.min("chunk_index").alias("chunk_index"))
+def outline(docs: DataFrame, chunks: DataFrame, text: str = "text", blocks: str | None = None) -> DataFrame:
+    """Headings of each document in order, each once (by lower case), with the first chunk that contains it (else 0):
+    document_id, heading, level, chunk_index, line_no (its place among all lines).
+
+    With blocks, a heading block gives its own heading and level (0 or none is 1, at most 3) and any other block the lines of
+    its text that look like headings (level 1), in the order of the blocks; without, the lines of a text column do."""
+    entry = lambda heading, level: F.struct(heading.alias("heading"), level.alias("level"))
+    told = lambda t: F.transform(F.split(F.coalesce(t, F.lit("")), _LINE_ENDS, -1), lambda x: entry(detect_heading(x), F.lit(1)))
+    own = lambda b: F.array(entry(F.nullif(strip(b["heading"]), F.lit("")), F.least(F.greatest(F.coalesce(b["level"], F.lit(1)), F.lit(1)), F.lit(3))))
+    explicit = lambda b: F.coalesce(b["is_heading"], F.lit(False)) & (F.coalesce(b["heading"], F.lit("")) != "")
+    found = told(F.col(text)) if blocks is None else F.flatten(F.transform(blocks, lambda b: F.when(explicit(b), own(b)).otherwise(told(b["text"]))))
+    heads = docs.select("document_id", F.posexplode(found).alias("pos", "e")).select("document_id", "pos", "e.*").where(F.col("heading").isNotNull())
+    heads = heads.groupBy("document_id", F.lower("heading").alias("_k")).agg(F.min(F.struct("pos", "heading", "level")).alias("f")).select("document_id", "_k", "f.*")
+    inside = heads.join(chunks.select("document_id", "chunk_index", F.lower("content").alias("_c")), "document_id").where(F.contains(F.col("_c"), F.col("_k")))
+    first = inside.groupBy("document_id", "_k").agg(F.min("chunk_index").alias("chunk_index"))
     out = heads.join(first, ["document_id", "_k"], "left")
-    return out.select("document_id", F.substring("heading", 1, 500).alias("heading"), F.lit(1).alias("level"), F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"), F.col("pos").alias("line_no"))
+    return out.select("document_id", F.substring("heading", 1, 500).alias("heading"), "level", F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"), F.col("pos").alias("line_no"))

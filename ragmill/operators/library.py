@@ -127,9 +127,9 @@ def cascade(tables: dict[str, DataFrame], gone: dict[str, DataFrame], links: dic
                 lost.append((goes[parent].select(F.col(key).alias(column)).distinct(), column))
         out, left = None, rows
         for keys, column in lost:
-            part = left.join(keys, column, "left_semi")
+            part = left.join(keys, column, "left_semi").select(*rows.columns)
             out = part if out is None else out.unionByName(part)
-            left = left.join(keys, column, "left_anti")
+            left = left.join(keys, column, "left_anti").select(*rows.columns)
         stays[t], goes[t] = left, rows.limit(0) if out is None else out
     counts, files = None, None
     for t in order:

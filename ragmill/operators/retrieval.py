@@ -108,8 +108,33 @@ def scoped_retrieve(chunks: DataFrame, queries: DataFrame, scope: DataFrame, k:
     return score_candidates(cand.select("query_id", "id").distinct(), chunks, queries, k)
 
 
+#: Fixed value: the message of a comparison of fewer than two documents.
+FEW_CHOSEN = "Compare mode requires at least 2 selected documents."
+
+
+def corpus(chunks: DataFrame, documents: DataFrame, cap: int | None = None) -> DataFrame:
+    """Chunks of live documents with the document's name; with a cap only the newest of each user, by document and chunk id,
+    falling. A user's chunks are capped in slices first, so that a large user is not sorted in one task."""
+    live = documents.where(F.col("deleted_at").isNull()).select("document_id", "user_id", F.col("filename").alias("document_name"))
+    rows = chunks.drop("user_id").join(live, "document_id")
+    if cap is None:
+        return rows
+    newest = lambda rows, *by: rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("document_id").desc(), F.col("id").desc()))).where(F.col("_r") <= cap).drop("_r")
+    ids = newest(rows.select("user_id", "document_id", "id").withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(64))), "user_id", "_s")
+    return rows.join(newest(ids, "user_id").select("id"), "id", "left_semi")
+
+
+def compare_errors(queries: DataFrame, chosen: DataFrame) -> DataFrame:
+    """query_id, error of the queries with fewer than two chosen rows; compare_retrieve leaves these out."""
+    n = chosen.groupBy("query_id").agg(F.count("*").alias("_n"))
+    return queries.select("query_id").join(n, "query_id", "left").where(F.coalesce("_n", F.lit(0)) < 2).select("query_id", F.lit(FEW_CHOSEN).alias("error"))
+
+
 def compare_retrieve(chunks: DataFrame, queries: DataFrame, chosen: DataFrame, k: int = 4) -> DataFrame:
-    """Top k chunks per chosen document (query_id, document_id, position); each document is scaled by itself."""
+    """Top k chunks per chosen document (query_id, document_id, position); each document is scaled by itself. Queries with
+    fewer than two chosen documents get nothing: see compare_errors."""
+    enough = chosen.groupBy("query_id").agg(F.count("*").alias("_n")).where("_n >= 2")
+    chosen = chosen.join(enough, "query_id", "left_semi")
     cand = chosen.join(queries.select("query_id", "group"), "query_id").join(chunks.select("document_id", "id", "group"), ["document_id", "group"])
     return score_candidates(cand.select("query_id", "document_id", "position", "id"), chunks, queries, k, by=["query_id", "document_id", "position"])
 

@@ -232,3 +232,17 @@ def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q = corpus(spark, sf_dir), asked(spark, sf_dir)
     a = vectors.dense_topk(c, q, LIMIT).select("query_id", "id")
     return a.unionByName(retrieval.bm25_search(bm25.build(c), q, LIMIT).select("query_id", "id")).distinct()
+
+
+@query("corpus_capped", f"WITH {CHUNKS_SQL} SELECT user_id, id FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY document_id DESC, id DESC) AS r FROM chunks WHERE deleted_at IS NULL) AS q WHERE r <= 50")
+def corpus_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 50 chunks of each user."""
+    return retrieval.corpus(chunks(spark, sf_dir), documents(spark, sf_dir), 50).select("user_id", "id")
+
+
+@query("compare_errors", "SELECT item_id AS query_id, 'Compare mode requires at least 2 selected documents.' AS error FROM benchmark WHERE item_id % 4 < 2")
+def compare_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question i chooses i % 4 documents."""
+    q = questions(spark, sf_dir).select("query_id")
+    picked = q.select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("document_id")).where(F.col("document_id") <= F.col("query_id") % 4)
+    return retrieval.compare_errors(q, picked)

@@ -10,7 +10,7 @@ from ragmill.operators import chunking, importance
 from ragmill.plans.registry import query
 from ragmill.sources.views import DOCS_SQL, documents, table
 
-_ABBR = "Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St|Vs|vs|etc|e\\.g|i\\.e|Inc|Ltd|Co|Corp|Gov|Sen|Rep|Gen|Col|Capt|Lt|Ave|No|Vol|Fig|approx|U\\.S|U\\.K"
+_ABBR = "|".join(tx.ABBREVIATIONS)
 _STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
 _MARK = f"(?i)(^|[^\\p{{L}}\\p{{N}}_])((?:{_ABBR})\\.)\\s+"
 SENTS = f"string_split(replace(regexp_replace(regexp_replace(regexp_replace(trim(T), '{_MARK}', '\\1\\2' || chr(2), 'g'), '{_MARK}', '\\1\\2' || chr(2), 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(2), ' '), chr(1))"
@@ -132,7 +132,21 @@ def chunk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("content").alias("digest"), "page_number", "section_heading")
 
 
-@query("chunk_semantic")
+SEMANTIC_SQL = (
+    BLOCK_CHUNKS_SQL.split(",\n  f AS")[0]
+    + """, xs AS (SELECT document_id, pos, page, hp, unnest(x) AS t, unnest(range(len(x))) AS k FROM (SELECT document_id, pos, page, hp, """ + SENTS.replace("trim(T)", "t", 1) + """ AS x FROM b) AS q),
+  sn AS (SELECT xs.document_id, row_number() OVER (PARTITION BY xs.document_id ORDER BY xs.pos, k) - 1 AS i, t, page, heading,
+      sum(length(t) + 1) OVER (PARTITION BY xs.document_id ORDER BY xs.pos, k) AS upto, count(*) OVER (PARTITION BY xs.document_id) AS n
+    FROM xs LEFT JOIN heads AS h ON h.document_id = xs.document_id AND h.pos = xs.hp),
+  en AS (SELECT x.document_id, x.i AS a, x.n, greatest(x.i + 1, max(y.i) + 1) AS e FROM sn AS x JOIN sn AS y ON y.document_id = x.document_id AND y.i >= x.i
+      AND (y.i = x.i OR y.upto - x.upto + length(x.t) <= 3200) GROUP BY x.document_id, x.i, x.n),
+  pk AS (SELECT document_id, 0 AS chunk_index, a, e, n FROM en WHERE a = 0
+    UNION ALL SELECT en.document_id, chunk_index + 1, en.a, en.e, en.n FROM pk JOIN en ON en.document_id = pk.document_id AND en.a = greatest(pk.a + 1, pk.e - 2) WHERE pk.e < pk.n)"""
+)
+
+
+@query("chunk_semantic", f"""WITH RECURSIVE {SEMANTIC_SQL} SELECT pk.document_id, chunk_index, md5(string_agg(sn.t, ' ' ORDER BY sn.i)) AS digest, min_by(sn.page, sn.i) AS page_number, first(sn.heading ORDER BY sn.i) AS section_heading
+  FROM pk JOIN sn ON sn.document_id = pk.document_id AND sn.i >= pk.a AND sn.i < pk.e GROUP BY 1, 2""")
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir).withColumn("blocks", chunking.line_blocks(F.col("text")))
     c = chunking.chunk_semantic(d, ["document_id"])
@@ -176,3 +190,16 @@ def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = importance.outline(documents(spark, sf_dir), chunks(spark, sf_dir))
     return o.select("document_id", "heading", "level", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("line_no").cast("long").alias("line_no"))
+
+
+@query("outline_blocks", f"""WITH {LINES_SQL}, {CHUNKS_SQL[len(DOCS_SQL) + 2:]}, e AS (SELECT l.document_id, l.pos, CASE WHEN l.pos % 2 = 0 AND l.line <> '' THEN nullif(l.s, '') ELSE h.heading END AS heading,
+      CASE WHEN l.pos % 2 = 0 AND l.line <> '' THEN least(greatest(l.pos % 7 - 1, 1), 3) ELSE 1 END AS level FROM lines AS l JOIN heads AS h ON h.document_id = l.document_id AND h.pos = l.pos),
+  o AS (SELECT *, row_number() OVER (PARTITION BY document_id, lower(heading) ORDER BY pos) AS o FROM e WHERE heading IS NOT NULL)
+  SELECT o.document_id, substr(heading, 1, 500) AS heading, level, coalesce(min(c.chunk_index), 0) AS chunk_index, pos AS line_no FROM o LEFT JOIN chunks AS c ON c.document_id = o.document_id AND contains(lower(c.content), lower(heading))
+  WHERE o.o = 1 GROUP BY o.document_id, heading, level, pos""")
+def outline_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other line is a heading block with a level from -1 to 5, the lines between are told by their looks."""
+    block = lambda x, i: F.struct(x.alias("text"), F.lit(1).alias("page"), x.alias("heading"), (i % 7 - 1).alias("level"), (i % 2 == 0).alias("is_heading"))
+    d = documents(spark, sf_dir).withColumn("blocks", F.transform(F.split("text", "\n", -1), block))
+    o = importance.outline(d, chunks(spark, sf_dir), blocks="blocks")
+    return o.select("document_id", "heading", "level", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("line_no").cast("long").alias("line_no"))

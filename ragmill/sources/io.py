@@ -58,10 +58,17 @@ def json_vectors(col: Column) -> Column:
     return F.when(F.size(v) > 0, v)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, column: str, lower: int, upper: int, partitions: int, **options: str) -> DataFrame:
-    """A table of a database in ranges of a numeric column, one connection a range."""
-    r = spark.read.format("jdbc").option("url", url).option("dbtable", table).option("partitionColumn", column).option("lowerBound", lower).option("upperBound", upper).option("numPartitions", partitions)
-    return r.options(**options).load()
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str, partitions: int, lower: int | None = None, upper: int | None = None, **options: str) -> DataFrame:
+    """A table of a database in ranges of a numeric column, one connection a range; bounds that are not given are the column's
+    least and largest value. Bounds only place the ranges: rows beyond them or without a value are read too."""
+    r = spark.read.format("jdbc").option("url", url).options(**options)
+    if lower is None or upper is None:
+        ends = r.option("query", f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {table}").load().first()
+        lower, upper = (ends[0] if lower is None else lower), (ends[1] if upper is None else upper)
+    r = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
+    if lower is None or upper is None or lower == upper or partitions < 2:  # empty, or nothing to divide
+        return r.load()
+    return r.option("partitionColumn", column).option("lowerBound", lower).option("upperBound", upper).option("numPartitions", partitions).load()
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, partitions: int, mode: str = "append", **options: str) -> None:

@@ -2,13 +2,14 @@
 
 import datetime as dt
 import json
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ragmill.functions import text as tx
-from ragmill.operators import answers, chunking, importance, ingest, library, vectors
+from ragmill.operators import answers, bm25, chunking, importance, ingest, library, retrieval, vectors
 from ragmill.sources import io
 from ragmill.streaming import streams
 
@@ -35,10 +36,135 @@ def test_sentences(spark):
     assert one(spark, tx.split_sentences, "See Fig.   2 now. Yes! No?  Ok") == ["See Fig. 2 now.", "Yes!", "No?  Ok".replace("  Ok", ""), "Ok"]
 
 
-def test_pack_sentences_steps_back():
-    assert chunking.pack_sentences([5, 5, 5, 5], 11, 1) == [(0, 2), (1, 3), (2, 4)]
-    assert chunking.pack_sentences([50], 11, 2) == [(0, 1)]
-    assert chunking.pack_sentences([], 11, 2) == []
+def packed_by_hand(lengths, limit, overlap):
+    out, i, n = [], 0, len(lengths)
+    while i < n:
+        begin, total = i, lengths[i]
+        i += 1
+        while i < n and total + 1 + lengths[i] <= limit:
+            total += 1 + lengths[i]
+            i += 1
+        out.append((begin, i))
+        if i < n:
+            i = max(begin + 1, i - overlap)
+    return out
+
+
+def test_packed_ranges(spark):
+    rnd = random.Random(5)
+    cases = [[5, 5, 5, 5], [50], [], [1] * 40, [30, 1, 1, 30], *[[rnd.randrange(1, 30) for _ in range(rnd.randrange(60))] for _ in range(30)]]
+    d = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, x array<int>")
+    for limit, overlap in ((11, 1), (11, 2), (40, 2), (40, 0)):
+        got = d.select("i", chunking.packed_ranges(F.col("x"), limit, overlap).alias("r")).collect()
+        assert {r["i"]: [tuple(x) for x in r["r"]] for r in got} == {i: packed_by_hand(c, limit, overlap) for i, c in enumerate(cases)}
+
+
+def test_chunk_semantic_has_no_python(spark):
+    d = spark.createDataFrame([(1, "One. Two.")], "document_id long, text string").withColumn("blocks", chunking.line_blocks(F.col("text")))
+    plan = chunking.chunk_semantic(d, ["document_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_outline_of_blocks(spark):
+    block = "array<struct<text:string,page:int,heading:string,level:int,is_heading:boolean>>"
+    blocks = [("Top", 1, " Top ", 0, True), ("body\nSECOND PART\nmore text here, and so on.", 1, None, 0, False), ("x", 2, "Deep", 5, True), ("x", 2, "top", 2, True), ("x", 2, "Mid", 2, True), ("x", 2, "", 2, True)]
+    d = spark.createDataFrame([(1, blocks)], f"document_id long, blocks {block}")
+    c = spark.createDataFrame([(1, 0, "top second"), (1, 1, "a second part, deep")], "document_id long, chunk_index int, content string")
+    got = importance.outline(d, c, blocks="blocks").orderBy("line_no").collect()
+    assert [(r["heading"], r["level"], r["chunk_index"]) for r in got] == [("Top", 1, 0), ("SECOND PART", 1, 1), ("Deep", 3, 1), ("Mid", 2, 0)]
+
+
+def chunks_of(spark, rows):
+    return spark.createDataFrame(rows, "group string, id long, content string")
+
+
+def test_bm25_index_grows_without_rebuild(spark, tmp_path):
+    rnd = random.Random(9)
+    text = lambda: " ".join(rnd.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) for _ in range(rnd.randrange(12)))
+    rows = [(rnd.choice("ab"), i, text()) for i in range(60)] + [("big", 100 + i, "common " + text()) for i in range(40)] + [("one", 500, "alpha alpha"), ("empty", 501, "!")]
+    q = spark.createDataFrame([(1, "a", "alpha beta"), (2, "big", "common"), (3, "big", "zzz"), (4, "none", "alpha"), (5, "one", "alpha beta"), (6, "b", "kappa kappa iota")], "query_id long, group string, question string")
+    whole = bm25.build(chunks_of(spark, rows), str(tmp_path / "whole"), 2, 4)
+    parts = bm25.build(chunks_of(spark, rows[::2]), str(tmp_path / "parts"), 2, 4).merge(chunks_of(spark, rows[1::2]))
+    parts = parts.merge(chunks_of(spark, rows[1::2]), batch=1)  # the same batch again
+    key = lambda df: sorted(map(tuple, df.select("query_id", "id", F.round("sparse_score", 7), "rank").collect()))
+    assert key(retrieval.bm25_search(parts, q, 7)) == key(retrieval.bm25_search(whole, q, 7))
+    idf = lambda i: sorted((r["group"], r["term"], round(r["idf"], 9)) for r in i.idf().collect())
+    assert idf(parts) == idf(whole)
+    one_term = spark.createDataFrame([("a", "alpha")], "group string, term string")
+    read = whole.pruned("postings", one_term)
+    assert "PartitionFilters: [" in (plan := read._jdf.queryExecution().executedPlan().toString()) and "tb" in plan
+    assert len(read.inputFiles()) < len(whole.read("postings").inputFiles())
+
+
+def test_bm25_fill_is_exact(spark):
+    """Queries with few or no matches are filled up with the largest other ids, as a scan of all chunks would."""
+    rows = [("g", i, "word" if i in (3, 7) else "other text") for i in range(30)]
+    q = spark.createDataFrame([(1, "g", "word"), (2, "g", "nothing")], "query_id long, group string, question string")
+    got = retrieval.bm25_search(bm25.build(chunks_of(spark, rows)), q, 6).orderBy("query_id", "rank").collect()
+    assert [r["id"] for r in got] == [7, 3, 29, 28, 27, 26, 29, 28, 27, 26, 25, 24]
+
+
+@pytest.mark.parametrize("size", [1 << 20, 256])
+def test_dense_topk_in_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", size)  # 256 bytes: four vectors a block
+    rnd = np.random.default_rng(1)
+    v = [(["a", "b"][i % 7 == 0], i, rnd.integers(-2, 3, 8).astype(float).tolist()) for i in range(150)] + [("a", 900, []), ("a", 901, None), ("a", 902, [1.0, 2.0])]
+    q = [(i, g, e) for g, i, e in v[:20]] + [(500, "a", [0.0] * 8), (501, "zz", [1.0] * 8), (502, "a", None)]
+    vs, qs = spark.createDataFrame(v, "group string, id long, embedding array<double>"), spark.createDataFrame(q, "query_id long, group string, embedding array<double>")
+    for by_group in (True, False):
+        want = []
+        for i, g, e in q:
+            if e and any(e):
+                unit = lambda x: np.array(x) / (np.sqrt(np.dot(x, x)) or 1)
+                near = sorted(((-round(float(unit(e) @ unit(x)), 9), -n) for h, n, x in v if x and len(x) == 8 and (h == g or not by_group)))[:5]
+                want += [(i, -n, -s, k + 1) for k, (s, n) in enumerate(near)]
+        got = [tuple(r) for r in vectors.dense_topk(vs, qs, 5, by_group).select("query_id", "id", "similarity", "rank").collect()]
+        assert sorted((a, b, round(c, 7), d) for a, b, c, d in got) == sorted((a, b, round(c, 7), d) for a, b, c, d in want)
+
+
+def test_inverted_lists_hold_every_row(spark):
+    rnd = np.random.default_rng(3)
+    centres = rnd.standard_normal((12, 16)) * 3
+    v = spark.createDataFrame([(i, (centres[i % 12] + rnd.standard_normal(16) * 0.3).tolist()) for i in range(600)] + [(1000, [0.0] * 16)], "id long, embedding array<double>")
+    lists = vectors.inverted_lists(v, 5, sample=200)
+    assert lists.vectors.count() == 601 and 1 <= lists.probes < len(lists.centres)
+    q = v.where("id % 20 = 0 AND id < 600").select(F.col("id").alias("query_id"), "embedding")
+    found = {(r["query_id"], r["id"]) for r in vectors.ann_candidates(lists, q, 5).collect()}
+    exact = {(r["query_id"], r["id"]) for r in vectors.dense_topk(v.withColumn("group", F.lit(0)), q.withColumn("group", F.lit(0)), 5).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_cascade_rejects_a_ring(spark):
+    t = spark.createDataFrame([(1, 1)], "a long, b long")
+    with pytest.raises(ValueError, match="round"):
+        library.cascade({"x": t, "y": t}, {}, {"x": [("y", "a", "a")], "y": [("x", "b", "b")]})
+
+
+def test_cascade_children_of_children(spark):
+    f = spark.createDataFrame
+    tables = {"users": f([("u",), ("v",)], "user_id string"), "documents": f([(1, "u", "k1"), (2, "v", None)], "document_id long, user_id string, storage_key string"), "chunks": f([(10, 1), (20, 2)], "chunk_id long, document_id long"), "chunk_coverage": f([(10, "v"), (20, "u"), (20, "v")], "chunk_id long, user_id string")}
+    stays, counts, files = library.purge_users(tables, tables["users"].where("user_id = 'u'"))
+    assert {r["table"]: r["rows"] for r in counts.collect()} == {"users": 1, "documents": 1, "chunks": 1, "chunk_coverage": 2}
+    assert [tuple(r) for r in stays["chunk_coverage"].collect()] == [(20, "v")] and [r[0] for r in files.collect()] == ["k1"]
+
+
+def test_jdbc_round_trip(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/library;create=true"
+    d = spark.createDataFrame([(i, None if i % 4 == 0 else f"name {i}", None if i % 3 == 0 else i / 2) for i in range(50)] + [(None, "no id", 1.0)], "doc_id long, name string, score double")
+    io.write_jdbc(d, url, "DOCS", 2)
+    names = [c.upper() for c in d.columns]
+    back = io.read_jdbc(spark, url, "DOCS", '"doc_id"', 4)
+    assert back.rdd.getNumPartitions() == 4 and [c.upper() for c in back.columns] == names
+    assert sorted(map(str, back.collect())) == sorted(map(str, d.collect()))
+    io.write_jdbc(d.limit(0), url, "NOTHING", 2)
+    assert io.read_jdbc(spark, url, "NOTHING", '"doc_id"', 4).collect() == []
+
+
+def test_compare_context(spark):
+    r = spark.createDataFrame([(1, 0, 1, "a", "a1"), (1, 0, 2, "a", "a2"), (1, 1, 1, "b", "b1"), (1, 2, 1, "a", "again")], "query_id long, position int, rank int, document_name string, content string")
+    assert answers.compare_context(r).first()["context"] == "Document: a\n[1] again\n\nDocument: b\n[2] b1"
+    assert answers.compare_context(r.where("position < 2")).first()["context"] == "Document: a\n[1] a1\n[2] a2\n\nDocument: b\n[3] b1"
+
 
 
 def test_blocks(spark):
@@ -85,7 +211,7 @@ def test_ann_agrees_with_exact(spark):
     rows = [(0, i, (np.eye(8)[i % 8] + rng.normal(0, 0.02, 8)).tolist()) for i in range(80)]
     v = spark.createDataFrame(rows, "`group` int, id long, embedding array<double>")
     q = v.where("id < 8").withColumnRenamed("id", "query_id")
-    exact = {(r["query_id"], r["id"]) for r in vectors.dense_topk(v, q, 5, block=3, by_group=False).collect()}
+    exact = {(r["query_id"], r["id"]) for r in vectors.dense_topk(v, q, 5, by_group=False).collect()}
     near = {(r["query_id"], r["id"]) for r in vectors.ann_candidates(v, q, 5).collect()}
     assert len(exact) == 40 and len(exact & near) >= 36
 
