@@ -51,7 +51,20 @@ def grounding_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.grounding_check(a, r).select("query_id", F.col("sentence_no").cast("long").alias("sentence_no"), "supported", "source_id")
 
 
-@query("confidence")
+CONFIDENCE_SQL = f"""{HYBRID_SQL}, r AS (SELECT query_id, hy.id, rank, ranked_score, similarity_score, content FROM hy JOIN chunks AS ch ON ch.id = hy.id WHERE rank <= {K}),
+  a AS (SELECT qs.query_id, CASE WHEN t IS NULL THEN '{an.NOTHING}' ELSE '{an.BASED.strip()}' || chr(10) || chr(10) || CASE WHEN length(t) > 600 THEN regexp_replace(substr(t, 1, 600), ' [^ ]*$', '') || '…' ELSE t END END AS answer
+    FROM qs LEFT JOIN (SELECT query_id, content AS t FROM r WHERE rank = 1) AS x ON x.query_id = qs.query_id),
+  s0 AS (SELECT query_id, string_split(regexp_replace(regexp_replace(answer, '^\\s+|\\s+$', '', 'g'), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS x FROM a),
+  s AS (SELECT query_id, unnest(range(0, len(x))) AS sentence_no, unnest(x) AS sentence FROM s0), {_terms("zt", "query_id, sentence_no", "sentence", "s")}, {_terms("yt", "query_id, rank, id", "content", "r")},
+  ok AS (SELECT DISTINCT query_id, sentence_no FROM (SELECT zt.query_id, sentence_no, rank FROM zt JOIN yt ON yt.query_id = zt.query_id AND yt.term = zt.term GROUP BY 1, 2, 3 HAVING count(*) >= 3) AS h),
+  no AS (SELECT query_id, count(*) AS unsupported FROM (SELECT DISTINCT query_id, sentence_no FROM zt EXCEPT SELECT query_id, sentence_no FROM ok) AS u GROUP BY 1),
+  m AS (SELECT query_id, avg(ranked_score) FILTER (WHERE rank <= 3) AS top3, max(similarity_score) FILTER (WHERE rank = 1) AS sim, count(*) AS n FROM r GROUP BY 1),
+  cf AS (SELECT a.query_id, answer, coalesce(unsupported, 0) AS unsupported, round(CASE WHEN n IS NULL THEN 0 WHEN sim < 0.4 THEN least(0.35, sim) ELSE
+      least(1, greatest(0, 0.5 * top3 + 0.3 * sim + 0.2 * (1 - least(0.5, 2 * coalesce(unsupported, 0) / len(string_split(answer, '. ')))) + least(0.1, 0.02 * n))) END, 4) AS confidence
+    FROM a LEFT JOIN m ON m.query_id = a.query_id LEFT JOIN no ON no.query_id = a.query_id)"""
+
+
+@query("confidence", f"WITH {CONFIDENCE_SQL} SELECT query_id, confidence FROM cf")
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence of the extractive answers, less what their unsupported sentences cost."""
     _, q, r = results(spark, sf_dir)
@@ -59,6 +72,16 @@ def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.confidence(q, r, a, an.grounding_check(a, r))
 
 
+@query("answer_queries", f"WITH {CONFIDENCE_SQL} SELECT query_id, answer, confidence, CAST(unsupported AS BIGINT) AS unsupported FROM cf")
+def answer_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole bulk job: retrieve, answer, check, confidence."""
+    _, q, r = results(spark, sf_dir)
+    a = an.offline_answer(q, r)
+    g = an.grounding_check(a, r)
+    bad = g.groupBy("query_id").agg(F.sum(F.when(F.col("supported"), 0).otherwise(1)).alias("unsupported"))
+    return a.join(an.confidence(q, r, a, g), "query_id").join(bad, "query_id", "left").select("query_id", "answer", "confidence", "unsupported")
+
+
 @query("prompt_context", f"WITH {HYBRID_SQL} SELECT query_id, md5(string_agg('[' || rank || '] ' || content, chr(10) || chr(10) ORDER BY rank)) AS digest FROM hy JOIN chunks AS c ON c.id = hy.id WHERE rank <= {K} GROUP BY 1")
 def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.prompt_context(results(spark, sf_dir)[2]).select("query_id", F.md5("context").alias("digest"))
@@ -74,7 +97,12 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.citation_counts(a, s).withColumn("times", F.col("times").cast("int"))
 
 
-@query("answer_blocks")
+@query("answer_blocks", """WITH l AS (SELECT query_id, unnest(range(len(x))) AS i, regexp_replace(unnest(x), '^\\s+|\\s+$', '', 'g') AS s
+    FROM (SELECT conv_id * 1000 + turn AS query_id, string_split('## Turn ' || turn || chr(10) || coalesce(text, '') || chr(10) || '- one' || chr(10) || '- two', chr(10)) AS x FROM conversations) AS q),
+  k AS (SELECT *, CASE WHEN s = '' THEN 'blank' WHEN starts_with(s, '## ') OR starts_with(s, '### ') THEN 'heading' WHEN starts_with(s, '- ') THEN 'list' ELSE 'paragraph' END AS kind FROM l),
+  g AS (SELECT *, sum(CASE WHEN kind IN ('list', 'paragraph') AND kind = before THEN 0 ELSE 1 END) OVER (PARTITION BY query_id ORDER BY i) AS run FROM (SELECT *, lag(kind) OVER (PARTITION BY query_id ORDER BY i) AS before FROM k) AS b),
+  b AS (SELECT query_id, run, kind, string_agg(CASE kind WHEN 'heading' THEN regexp_replace(s, '^#+ ', '') WHEN 'list' THEN substr(s, 3) ELSE s END, ' ' ORDER BY i) AS text FROM g WHERE kind <> 'blank' GROUP BY 1, 2, 3)
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY run) AS block_no, kind, text FROM b""")
 def answer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of every turn's whole text under a heading, with a list after it."""
     c = table(spark, sf_dir, "conversations")

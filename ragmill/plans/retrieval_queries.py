@@ -150,16 +150,6 @@ def offline_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.offline_answer(q, r)
 
 
-@query("answer_queries")
-def answer_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole bulk job: retrieve, answer, check, confidence."""
-    _, q, r = results(spark, sf_dir)
-    a = an.offline_answer(q, r)
-    g = an.grounding_check(a, r)
-    bad = g.groupBy("query_id").agg(F.sum(F.when(F.col("supported"), 0).otherwise(1)).alias("unsupported"))
-    return a.join(an.confidence(q, r, a, g), "query_id").join(bad, "query_id", "left").select("query_id", "answer", "confidence", "unsupported")
-
-
 @query("record_retrievals", f"WITH {HYBRID_SQL} SELECT id, CAST(count(*) AS BIGINT) AS retrieved_count FROM hy WHERE rank <= {K} GROUP BY 1")
 def record_retrievals(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, r = results(spark, sf_dir)
