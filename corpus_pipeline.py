@@ -1,10 +1,10 @@
 """Corpus pipeline: quality rules, quality classifier, n-gram Jaccard join, benchmark decontamination, BPE round trip.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns the columns of
-`documents`; the last returns the encoding of each text that is left. Quality rules, classifier and decontamination
-decide in the text's own row, so no text is shuffled for them. Repeated ids, nulls and copies are safe: rows are told
-apart by a digest of all their columns, and rows equal in all columns have the same verdict. Extra columns are dropped
-by the first stage."""
+`documents`; the last returns the encoding of each text that is left. Repeated ids, nulls and copies are safe: rows are
+told apart by a digest of all their columns, and rows equal in all columns have the same verdict. Quality rules,
+classifier and near duplicates write the digests of what goes; where these are small, Spark broadcasts them and no text
+is shuffled. Extra columns are dropped by the first stage."""
 
 from __future__ import annotations
 
@@ -25,30 +25,46 @@ def _row_digest() -> Column:
     return F.unhex(F.md5(F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"})))
 
 
+def _without(docs: DataFrame, verdicts: DataFrame, label: str) -> DataFrame:
+    """The rows of docs whose digest is not in column _r of verdicts. The digests are written and joined with the texts
+    once, so no second copy of the texts is written."""
+    gone = materialize(verdicts.select("_r").distinct(), label)
+    return docs.join(gone, "_r", "left_anti").select(*COLUMNS)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS).withColumn("_r", _row_digest())
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts that fail the base rules or are robust outliers of their language and source."""
-    return quality.quality_rules(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
+    keyed = _keyed(docs)
+    return _without(keyed, quality.quality_rules(keyed, keep=["_r"]).where(~F.col("kept")), "pipeline-outliers")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts that the positive-unlabelled classifier scores below its threshold."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return pu.pu_scores(docs, labels, keep=COLUMNS).where(F.col("predicted") == 1).select(*COLUMNS)
+    labels, keyed = spark.read.parquet(f"{sf_dir}/labels.parquet"), _keyed(docs)
+    return _without(keyed, pu.pu_scores(keyed, labels, keep=["_r"]).where(F.col("predicted") == 0), "pipeline-rejected")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each near-duplicate class: the least id (nulls last), of its rows that of the least digest, of
-    equal rows one. Texts without words stay. The decision is made on digests; texts are joined with it once."""
-    keyed = docs.withColumn("_r", _row_digest())
+    equal rows one. Texts without words stay. The decision is made on digests; texts are joined with it once, and once
+    more, for the rows in question alone, if kept rows are repeated."""
+    keyed = _keyed(docs)
     rows = materialize(jaccard.jaccard_join(keyed, row_key="_r").where(F.col("class_key").isNotNull()).select("doc_id", "_r", "class_key"), "pipeline-classes")
     first = rows.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_r")).alias("f"))
     first = materialize(first.select(F.col("f._r").alias("_r")), "pipeline-first")
-    counts = materialize(rows.groupBy("_r").agg(F.count("*").alias("n")).join(first.withColumn("_first", F.lit(True)), "_r", "left"), "pipeline-rows")
-    kept = keyed.join(counts.where(F.col("_first").isNull()).select("_r"), "_r", "left_anti")
-    again = materialize(counts.where(F.col("_first") & (F.col("n") > 1)).select("_r"), "pipeline-repeated")
+    counts = rows.groupBy("_r").agg(F.count("*").alias("n")).join(first.withColumn("_first", F.lit(True)), "_r", "left")
+    held = materialize(counts.where(F.col("_first").isNull() | (F.col("n") > 1)).select("_r", "_first"), "pipeline-held")  # all but rows that just stay
+    again = materialize(held.where("_first").select("_r"), "pipeline-repeated")
+    alone = keyed.join(held.select("_r"), "_r", "left_anti").select(*COLUMNS)
     if again.isEmpty():
-        return kept.select(*COLUMNS)
-    return kept.join(again, "_r", "left_anti").select(*COLUMNS).unionByName(kept.join(again, "_r", "left_semi").select(*COLUMNS).distinct())
+        return alone
+    # equal rows: one of them in each task, then one of all
+    equal = keyed.join(again, "_r", "left_semi").groupBy("_r").agg(F.first(F.struct(*COLUMNS)).alias("d"))
+    return alone.unionByName(equal.select("d.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
