@@ -24,6 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragmill.llm import common
 from ragmill.llm.common import fresh_path, materialize
 from ragmill.session import ship
 
@@ -144,14 +145,20 @@ def read_records(stream) -> Iterator[dict]:
 def choose_records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """page_id, url, payload (binary) and revisit_of: the largest id with the same payload, null for responses.
 
-    Only digests, lengths and ids are grouped; a group of copies is one partial row per task, and the join is by digest
-    with those groups alone that have copies."""
-    rows = pages.select(F.col("page_id"), F.col("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    digest = F.sha1("payload")
-    big = F.octet_length("payload") >= min_revisit
-    groups = rows.where(big).groupBy(digest.alias("_sha")).agg(F.max("page_id").alias("_top"), F.count("*").alias("_n"))
-    copies = groups.where((F.col("_n") > 1) & F.col("_top").isNotNull()).select("_sha", "_top")
-    out = rows.withColumn("_key", F.when(big, digest)).join(copies, F.col("_key") == F.col("_sha"), "left")
+    Only digests, lengths and ids are grouped; a group of copies is one partial row per task. The groups that have copies
+    are written and broadcast up to GROUPS of them; beyond that small payloads stay out of the join, and each group's
+    rows are dealt over salted keys, so the copies of one page never meet in one task."""
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    rows = pages.select("page_id", "url", payload.alias("payload"))
+    rows = rows.withColumn("_sha", F.when(F.octet_length("payload") >= min_revisit, F.sha1("payload")))
+    groups = rows.where(F.col("_sha").isNotNull()).groupBy("_sha").agg(F.max("page_id").alias("_top"), F.count("*").alias("_n"))
+    copies = materialize(groups.where((F.col("_n") > 1) & F.col("_top").isNotNull()).select("_sha", "_top"), "warc-copies")
+    n = copies.count()
+    if n <= common.GROUPS:
+        out = common.join_groups(rows, copies, ["_sha"], n=n)
+    else:
+        small = rows.where(F.col("_sha").isNull()).withColumn("_top", F.lit(None).cast(copies.schema["_top"].dataType))
+        out = common.join_groups(rows.where(F.col("_sha").isNotNull()), copies, ["_sha"], n=n).unionByName(small)
     other = F.col("_top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_top"))
     return out.select("page_id", "url", "payload", F.when(other, F.col("_top")).alias("revisit_of"))
 

@@ -14,7 +14,7 @@ import pytest
 from oracle import assert_same, connect
 from pyspark.sql import functions as F
 
-from ragmill.llm import bpe, decontam, jaccard, licenses, pu, quality, queries, quotes, suffix_tree, token_counts, warc
+from ragmill.llm import bpe, common, decontam, jaccard, licenses, pu, quality, queries, quotes, suffix_tree, token_counts, warc
 from ragmill.llm.common import tokenizer_path
 from ragmill.llm.decontam import SLOP
 
@@ -554,6 +554,23 @@ def test_warc_records(spark):
     assert warc.archive_round_trip(p.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("groups", [0, 10_000])
+def test_warc_choice_with_hot_payloads(spark, monkeypatch, groups):
+    monkeypatch.setattr(common, "GROUPS", groups)
+    error, null = "e" * 1_200, None
+    rows = [(i, "u", error, "sha") for i in range(400)] + [(1_000 + i, "u", "s" * 40, "sha") for i in range(300)] + [(2_000 + i, "u", f"{i:04d}" * 300, "sha") for i in range(50)]
+    rows += [(3_000, "u", null, "sha"), (None, "u", error, "sha"), (None, "u", "n" * 2_000, "sha"), (None, "u", "n" * 2_000, "sha"), (9, "u", "t" * 1_000, None), (9, "u", "t" * 1_000, None), (4, "u", "t" * 1_000, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, _sha string")
+    top = defaultdict(list)
+    for i, _, h, _ in rows:
+        top[h].append(i)
+    big = {h: max((i for i in ids if i is not None), default=None) for h, ids in top.items() if h and len(h) >= 1_000 and len(ids) > 1}
+    want = sorted(str((i, h or "", big[h] if h in big and big[h] is not None and big[h] != i else None)) for i, _, h, _ in rows)
+    got = warc.choose_records(pages)
+    assert got.columns == ["page_id", "url", "payload", "revisit_of"]
+    assert sorted(str((r["page_id"], bytes(r["payload"]).decode(), r["revisit_of"])) for r in got.collect()) == want
+
+
 def test_warc_reader_finds_damage():
     rec = [warc.make_record(i, "u", bytes([65 + i]) * 100_000, None, "") for i in range(3)]
     data = b"".join(gzip.compress(r) for r in rec)
@@ -646,6 +663,36 @@ def test_pipeline(spark, tmp_path):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
 
 
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, kind in {"documents": DOC, "benchmark": "item_id long, text string, _r string", "labels": "doc_id long, quality int, toxic int, _id long"}.items():
+        spark.createDataFrame([], kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    w, v = " ".join(f"w{i}" for i in range(200)), " ".join(f"v{i}" for i in range(200))
+    rows = [(5, w), (5, w + " tail"), (6, w), (None, w + " more"), (7, v), (7, v), (7, v), (8, v), (None, "other words stand alone in this one"), (9, ""), (9, ""), (None, None), (10, "one two three"), (11, "one two three")]
+    docs = spark.createDataFrame([(i, t, "en", None, 1, "clash", ["clash"]) for i, t in rows], DOC).repartition(5)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    five = [x for x in got if x[0] == 5]
+    assert len(five) == 1 and five[0] in rows[:2]
+    rest = [(7, v), (None, rows[8][1]), (9, ""), (9, ""), (None, None), (10, "one two three")]
+    assert sorted(map(str, got)) == sorted(map(str, [*five, *rest]))
+
+
+def test_pipeline_filters_equal_their_verdicts(spark, sf):
+    import corpus_pipeline
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    assert ids(corpus_pipeline.quality_rules(spark, docs, sf)) == ids(quality.quality_rules(docs).where("kept"))
+    assert ids(corpus_pipeline.quality_classifier(spark, docs, sf)) == ids(pu.pu_scores(docs, labels).where("predicted = 1"))
+
+
 def test_quality_filter_stays_small(spark):
     docs = spark.createDataFrame([(i, "word " * (i + 1) + f"x{i} # y{i}", "en", "a") for i in range(30)], "doc_id long, text string, lang string, source string")
     kept = quality.quality_rules(docs, keep=["doc_id", "text"]).where("kept").select("doc_id", "text")
