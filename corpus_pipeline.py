@@ -3,8 +3,7 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns the columns of
 `documents`; the last returns the encoding of each text that is left. Repeated ids, nulls and copies are safe: rows are
 told apart by a digest of all their columns, and rows equal in all columns have the same verdict. Quality rules,
-classifier and near duplicates write the digests of what goes; where these are small, Spark broadcasts them and no text
-is shuffled. Extra columns are dropped by the first stage."""
+classifier and near duplicates write the digests of what goes; up to GONE of them are broadcast and no text is shuffled. Extra columns are dropped by the first stage."""
 
 from __future__ import annotations
 
@@ -17,6 +16,7 @@ from ragmill.llm import bpe, decontam, jaccard, pu, quality
 from ragmill.llm.common import fresh_path, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+GONE = 200_000  # digests (16 bytes each) of rows to drop that are broadcast; beyond it they meet the rows in a merge join
 ORACLE_SQL = None  # robust estimates, a trained classifier and BPE are beyond SQL
 
 
@@ -25,10 +25,15 @@ def _row_digest() -> Column:
     return F.unhex(F.md5(F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"})))
 
 
+def _bounded(digests: DataFrame) -> DataFrame:
+    """digests, a written table, to be broadcast if it has at most GONE rows."""
+    return F.broadcast(digests) if digests.count() <= GONE else digests
+
+
 def _without(docs: DataFrame, verdicts: DataFrame, label: str) -> DataFrame:
     """The rows of docs whose digest is not in column _r of verdicts. The digests are written and joined with the texts
     once, so no second copy of the texts is written."""
-    gone = materialize(verdicts.select("_r").distinct(), label)
+    gone = _bounded(materialize(verdicts.select("_r").distinct(), label))
     return docs.join(gone, "_r", "left_anti").select(*COLUMNS)
 
 
@@ -59,11 +64,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     counts = rows.groupBy("_r").agg(F.count("*").alias("n")).join(first.withColumn("_first", F.lit(True)), "_r", "left")
     held = materialize(counts.where(F.col("_first").isNull() | (F.col("n") > 1)).select("_r", "_first"), "pipeline-held")  # all but rows that just stay
     again = materialize(held.where("_first").select("_r"), "pipeline-repeated")
-    alone = keyed.join(held.select("_r"), "_r", "left_anti").select(*COLUMNS)
+    alone = keyed.join(_bounded(held.select("_r")), "_r", "left_anti").select(*COLUMNS)
     if again.isEmpty():
         return alone
     # equal rows: one of them in each task, then one of all
-    equal = keyed.join(again, "_r", "left_semi").groupBy("_r").agg(F.first(F.struct(*COLUMNS)).alias("d"))
+    equal = keyed.join(_bounded(again), "_r", "left_semi").groupBy("_r").agg(F.first(F.struct(*COLUMNS)).alias("d"))
     return alone.unionByName(equal.select("d.*"))
 
 
