@@ -671,9 +671,11 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_near_duplicates_of_repeated_and_null_ids(spark, tmp_path):
+@pytest.mark.parametrize("bound", [0, 200_000])
+def test_near_duplicates_of_repeated_and_null_ids(spark, tmp_path, monkeypatch, bound):
     import corpus_pipeline
 
+    monkeypatch.setattr(corpus_pipeline, "GONE", bound)
     w, v = " ".join(f"w{i}" for i in range(200)), " ".join(f"v{i}" for i in range(200))
     rows = [(5, w), (5, w + " tail"), (6, w), (None, w + " more"), (7, v), (7, v), (7, v), (8, v), (None, "other words stand alone in this one"), (9, ""), (9, ""), (None, None), (10, "one two three"), (11, "one two three")]
     docs = spark.createDataFrame([(i, t, "en", None, 1, "clash", ["clash"]) for i, t in rows], DOC).repartition(5)
