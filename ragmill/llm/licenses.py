@@ -2,7 +2,7 @@
 
 A text is reduced to its lower-cased words, joined by one space. Rules (label, priority, confidence, keywords, regular
 expression over words) are of five sorts: wording of the licences themselves (TEXTS), addresses (ADDRESSES), SPDX tags
-(SPDX), and names from FAMILIES alone or in a notice, each with and without a version. A rule's keywords are the plain
+(SPDX; each operand of an expression with AND, OR and WITH), and names from FAMILIES alone or in a notice, each with and without a version. A rule's keywords are the plain
 words that every match of it has; rules with the same keywords form a set that is tried only where all of them occur,
 and no rule is tried on a text without any gate word (every rule needs one).
 
@@ -101,6 +101,13 @@ WEAK_PRIORITY, WEAK_SURE = 2, 0.4  # wording that many licences share
 #: Every rule needs one of these; cheap to refuse a text by
 GATES = ("licen", "spdx", "gpl", "mpl", "bsd", "apache", "gnu", "creative", "cc", "cc0", "public", "permi", "redistribut", "warrant", "copyright", "unencumbered", "proprietary", "confidential", "liab", "conditions", "advertis", "openssl", "cryptograph", "hereby", "third parties", "commercial", "wtfpl")
 _GATE = "|".join(g for g in GATES if g not in ("cc", "cc0")) + r"|cc0|cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
+SPDX_WORDS = {name: " ".join(re.findall("[a-z0-9]+", name.lower())) for name in SPDX.split()}
+_ID = "(?:" + "|".join(sorted(SPDX_WORDS.values(), key=lambda x: (-len(x), x))) + ")"
+_EXCEPTION = "(?: with (?:[a-z0-9]+ ){1,4}exception(?: [0-9]+)*)?"
+#: What OR and AND between the licences of a tag are replaced by: one word that no text has, so places stay.
+OPERATOR = "spdx~or"
+#: A licence of a tag and the OR or AND after it; the first stands behind the tag's words, the next where the last ended.
+_OPERATED = rf"((?:(?<= )spdx licen[sc]e identifier |\G(?! )){_ID}(?: only| or later)?{_EXCEPTION}) (?:or|and) (?={_ID} )"
 OPTIONAL = re.compile(r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)[?*+]?(?:\{[0-9,]+\})?|\[[^\]]*\][?*+]?")
 
 
@@ -120,8 +127,9 @@ def keywords_of(pattern: str) -> list[str]:
     return [gates[0], *rest]
 
 
-def _rule(rule: str, label: str, priority: int, sure: float, pattern: str) -> dict:
-    return {"rule": rule, "label": label, "priority": priority, "sure": sure, "keywords": keywords_of(pattern), "pattern": f"(?<= ){pattern}(?= )"}
+def _rule(rule: str, label: str, priority: int, sure: float, pattern: str, plain: str | None = None) -> dict:
+    """plain: words of every match and its surroundings, if pattern does not show them."""
+    return {"rule": rule, "label": label, "priority": priority, "sure": sure, "keywords": keywords_of(plain or pattern), "pattern": f"(?<= ){pattern}(?= )"}
 
 
 def build_rules() -> list[dict]:
@@ -129,10 +137,10 @@ def build_rules() -> list[dict]:
     rules = [_rule(f"{label}/text-{i}", label, WEAK_PRIORITY if label.startswith("~") else TEXT_PRIORITY, WEAK_SURE if label.startswith("~") else TEXT_SURE, x) for label, xs in TEXTS for i, x in enumerate(xs)]
     for r in rules:
         r["label"] = r["label"].removeprefix("~")
-    for name in SPDX.split():
-        words = " ".join(re.findall("[a-z0-9]+", name.lower()))
-        gnu = bool(re.match("[al]?gpl|gfdl", words))
-        rules.append(_rule(f"{name}/tag", name.lower(), TAG_PRIORITY, TAG_SURE, f"spdx licen[sc]e identifier {words}(?! [0-9])" + ("(?: only| or later)?" if gnu else "")))
+    for name, words in SPDX_WORDS.items():
+        tail = "(?! [0-9])" + ("(?: only| or later)?" if re.match("[al]?gpl|gfdl", words) else "")
+        rules.append(_rule(f"{name}/tag", name.lower(), TAG_PRIORITY, TAG_SURE, f"spdx licen[sc]e identifier {words}{tail}"))
+        rules.append(_rule(f"{name}/operand", name.lower(), TAG_PRIORITY, TAG_SURE, f"(?<= {OPERATOR} ){words}{tail}", f"spdx identifier {words}"))
     rules += [_rule(f"{label}/address-{i}", label, TAG_PRIORITY, TAG_SURE, x) for i, (label, x) in enumerate(ADDRESSES)]
     for form, priority, sure, before in FORMS:
         for label, names, versions in FAMILIES:
@@ -192,6 +200,7 @@ def license_scan(docs: DataFrame, keep: list[str] | None = None, text_col: str =
     low = docs.select(*[F.col(c).alias(f"_o_{c}") for c in keep], ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
     got = low.select(*k, alnum_split(F.col("_t")).alias("_w"), F.col("_t").rlike(_GATE).alias("_gate"))
     got = got.select(*k, F.size("_w").cast("long").alias("n_words"), F.when(F.col("_gate"), F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" "))).alias("_n"))
+    got = got.withColumn("_n", F.when(F.contains("_n", F.lit("spdx licen")), F.regexp_replace("_n", _OPERATED, f"$1 {OPERATOR} ")).otherwise(F.col("_n")))
     got = got.withColumn("_r", F.from_json(F.lit(json.dumps(_rule_sets())), f"array<struct<keywords:array<string>,rules:array<{_ONE}>>>"))
     tried = "flatten(transform(filter(_r, g -> forall(g.keywords, w -> contains(_n, w))), g -> g.rules))"
     got = got.selectExpr(*k, "n_words", "_n", f"CASE WHEN _n IS NOT NULL THEN {tried} END AS _r")
