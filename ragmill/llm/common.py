@@ -78,6 +78,24 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "l
     return rows.withColumn("_salt", salt).join(salted, [*on, "_salt"], how).drop("_salt")
 
 
+HOT = 10_000
+
+
+def join_unique(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join written rows with a table of at most one row for each key, without nulls in the key. A key is hot if it has
+    more than HOT rows and more than one GROUPS-th of all rows, so fewer than GROUPS keys are: these meet their rows of the
+    table by broadcast, all others in a join of Spark's choice."""
+    least = max(HOT, rows.count() // GROUPS)
+    sizes = rows.groupBy(*on).agg(F.count("*").alias("_n"))  # counted in each task first
+    hot = materialize(sizes.where(F.col("_n") > least).select(*on, F.lit(True).alias("_hot")), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(table, on, how)
+    dealt = rows.join(F.broadcast(hot), on, "left")
+    few = table.join(F.broadcast(hot.drop("_hot")), on, "left_semi")
+    met = dealt.where("_hot").drop("_hot").join(F.broadcast(few), on, how)
+    return met.unionByName(dealt.where(F.col("_hot").isNull()).drop("_hot").join(table, on, how))
+
+
 def numbered(rows: DataFrame, by: str, order: list[str], label: str) -> DataFrame:
     """rows with pos (place from 0 among the rows of the same `by`, sorted by `order`, nulls first) and n (their number).
 

@@ -1,7 +1,9 @@
 """Quotation linking: conversations in reply order, without the quoted text.
 
 Each message's lines are split into quote level (the number of leading '>') and content; a line such as "On Monday, A
-wrote:" before a quote is an attribution and belongs to neither side. Neighbouring quoted lines of one level form a
+wrote:" before a quote, on one line or two, in English, German, French or Spanish, is an attribution and belongs to
+neither side. A line such as "-----Original Message-----" outside a quote makes all below it one level deeper; that line
+and the header lines right below it belong to neither side. Neighbouring quoted lines of one level form a
 passage. Passages and the messages' own text (paragraphs, lines and sentences) are hashed after lower-casing and
 collapsing white space; a passage is linked to the first earlier message of its conversation that has it as own text.
 Passages left over (cut, re-wrapped or edited quotes) are matched by their runs of SHINGLE words: each run votes for the
@@ -12,7 +14,8 @@ first linked passage. Messages without a link continue the conversation at its t
 The order of replies is (top-level ancestor, depth, message), so that each thread stands together and each message after
 its parent; ancestor and depth come from pointer doubling, which keeps two values a message. All steps are joins and
 aggregates on (conversation, hash) or (conversation, message); originals are reduced to one row per hash first, so
-common passages make no pairs and no conversation is gathered in one task.
+common passages make no pairs and no conversation is gathered in one task. A passage, parent or message with very many
+rows meets its one counterpart by broadcast (join_unique), so no join has a hot key.
 
 Defined cases: a null text is empty and links nothing; a null conversation id is a conversation of its own; a null turn
 sorts first; rows with the same conversation and turn are told apart by their text, and full copies share one key (each
@@ -24,12 +27,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragmill.llm.common import alnum_split, materialize
+from ragmill.llm.common import alnum_split, join_unique, materialize
 
 SHINGLE = 5
 _MARK = r"^[ \t]*((?:>[ \t]?)+)"
-#: How an attribution line ends.
-_WROTE = r"(?:^|[ \t])(?:wrote|writes|said)[ \t]*:[ \t\r]*$"
+#: How an attribution line ends, how one of two lines begins, marks of forwarded messages and their headers.
+_WROTE = (
+    r"(?:^|[ \t])(?:wrote|writes|said|schrieb|schreibt|a écrit|écrit|escribió|escribe)[ \t\u00A0\u202F]*:[ \t\r]*$"
+    r"|^[ \t]*am[ \t].*[0-9].*[ \t]schrieb[ \t].*:[ \t\r]*$"
+)
+_OPENS = r"^[ \t]*(?:on|am|le|el)[ \t].*[0-9].*[^.!?: \t\r][ \t\r]*$"
+_FORWARD = (
+    r"^[ \t]*-{2,}[ \t]*(?:original message|forwarded message|ursprüngliche nachricht|weitergeleitete nachricht|message d.origine"
+    r"|message original|message transféré|mensaje original|mensaje reenviado)[ \t]*-*[ \t\r]*$|^[ \t]*begin forwarded message:[ \t\r]*$"
+)
+_HEADER = r"^[ \t]*(?:from|sent|to|cc|bcc|date|subject|reply-to|von|gesendet|an|datum|betreff|de|envoyé|à|objet|enviado|para|fecha|asunto)[ \t\u00A0]*:"
 
 
 def _norm(x: str) -> str:
@@ -49,9 +61,18 @@ def parse_messages(messages: DataFrame) -> DataFrame:
     base = base.withColumn("m", m).withColumn("_l", F.split("_t", "\n", -1))
     level = f"length(regexp_replace(regexp_extract(x, r'{_MARK}', 1), '[^>]', ''))"
     base = base.selectExpr(*k, f"transform(_l, x -> named_struct('lv', {level}, 'c', regexp_replace(x, r'{_MARK}', ''))) AS _x")
-    # an attribution stands right before a quote, or with one blank line between
-    quote_next = "coalesce(get(_x, i + 1).lv > 0 OR (trim(get(_x, i + 1).c) = '' AND get(_x, i + 2).lv > 0), false)"
-    base = base.selectExpr(*k, f"transform(_x, (x, i) -> CASE WHEN x.lv = 0 AND lower(x.c) RLIKE r'{_WROTE}' AND {quote_next} THEN named_struct('lv', -1, 'c', '') ELSE x END) AS _y")
+    base = base.select("*", F.expr(f"CASE WHEN size(_x) > 1 THEN filter(sequence(0, size(_x) - 1), i -> get(_x, i).lv = 0 AND lower(get(_x, i).c) RLIKE r\"{_FORWARD}\") ELSE array() END AS _k"))
+    base = base.select(*k, "_x", "_k", F.expr("transform(_k, (s, j) -> slice(_x, s + 1, coalesce(get(_k, j + 1), size(_x)) - s)) AS _g"))
+    # the place from 1 of the first line of a forwarded part that is neither its mark nor a header nor blank; 0 if none is
+    body_at = f"array_position(transform(g, (y, t) -> t > 0 AND trim(BOTH ' \\t\\r' FROM y.c) <> '' AND NOT lower(y.c) RLIKE r'{_HEADER}'), true)"
+    base = base.select("*", F.expr(f"transform(_g, g -> {body_at}) AS _h"))
+    deeper = "transform(_g, (g, j) -> transform(g, (y, t) -> CASE WHEN get(_h, j) = 0 OR t + 1 < get(_h, j) THEN named_struct('lv', -1, 'c', '') ELSE named_struct('lv', y.lv + j + 1, 'c', y.c) END))"
+    base = base.selectExpr(*k, f"CASE WHEN size(_k) = 0 THEN _x ELSE concat(slice(_x, 1, _k[0]), flatten({deeper})) END AS _x")
+    # an attribution stands right before a quote, or with one blank line between; its last line names the verb
+    quote_next = "(get(_x, {0} + 1).lv > 0 OR (trim(get(_x, {0} + 1).c) = '' AND get(_x, {0} + 2).lv > 0))"
+    last = "lower(get(_x, {0}).c) RLIKE r'%s' AND get(_x, {0}).lv = 0 AND %s" % (_WROTE, quote_next)
+    first = f"lower(x.c) RLIKE r'{_OPENS}' AND {last.format('i + 1')}"
+    base = base.selectExpr(*k, f"transform(_x, (x, i) -> CASE WHEN x.lv = 0 AND coalesce(({last.format('i')}) OR ({first}), false) THEN named_struct('lv', -1, 'c', '') ELSE x END) AS _y")
     # a passage or paragraph starts at a line with content whose neighbour above is blank or of another level
     has = "trim(BOTH ' \\t\\r' FROM {}.c) <> ''"
     starts = f"filter(sequence(0, size(_y) - 1), i -> {has.format('get(_y, i)')} AND (i = 0 OR NOT {has.format('get(_y, i - 1)')} OR get(_y, i - 1).lv <> get(_y, i).lv))"
@@ -86,14 +107,15 @@ def link_quotes(parsed: DataFrame) -> DataFrame:
         return quoted.select(*key, F.col("m").alias("original"), F.lit(None).cast(dict(parsed.dtypes)["turn"]).alias("parent_turn"))
     first = F.min(F.struct("m", "turn")).alias("f")
     own = parsed.select("conv", "m", "turn", F.explode("own").alias("h")).groupBy("conv", "h").agg(first)
-    same = materialize(quoted.drop("runs").join(own, ["conv", "h"]).where(F.col("f.m") < F.col("m")).select(*key, "f"), "quotes-equal")
+    same = materialize(join_unique(quoted.drop("runs"), own, ["conv", "h"], "inner").where(F.col("f.m") < F.col("m")).select(*key, "f"), "quotes-equal")
     rest = materialize(quoted.where(F.size("runs") > 0).join(same, key, "left_anti").select(*key, "runs"), "quotes-rest")
     if not rest.isEmpty():
         talks = materialize(rest.select("conv").distinct(), "quotes-talks")
         words = parsed.join(talks, "conv", "left_semi").select("conv", "m", "turn", alnum_split(F.lower("body")).alias("_w"))
         runs = f"CASE WHEN size(_w) >= {SHINGLE} THEN transform(sequence(0, size(_w) - {SHINGLE}), o -> xxhash64({', '.join(f'get(_w, o + {n})' for n in range(SHINGLE))})) END"
         holders = words.select("conv", "m", "turn", F.explode(F.expr(runs)).alias("run")).groupBy("conv", "run").agg(first)
-        votes = rest.select(*key, F.size("runs").alias("n"), F.explode("runs").alias("run")).join(materialize(holders, "quotes-holders"), ["conv", "run"]).where(F.col("f.m") < F.col("m"))
+        asked = materialize(rest.select(*key, F.size("runs").alias("n"), F.explode("runs").alias("run")), "quotes-runs")
+        votes = join_unique(asked, materialize(holders, "quotes-holders"), ["conv", "run"], "inner").where(F.col("f.m") < F.col("m"))
         votes = votes.groupBy(*key, "n", "f").agg(F.count("*").alias("v")).groupBy(*key, "n").agg(F.min(F.struct((-F.col("v")).alias("v"), "f")).alias("b"))
         same = same.unionByName(votes.where(-2 * F.col("b.v") >= F.col("n")).select(*key, "b.f"))
     return same.select(*key, F.col("f.m").alias("original"), F.col("f.turn").alias("parent_turn"))
@@ -105,7 +127,7 @@ def reply_threads(parents: DataFrame) -> DataFrame:
     state = materialize(parents.select("conv", "m", F.col("parent").alias("up"), F.lit(1).cast("long").alias("dist"), F.lit(True).alias("moved")), "quotes-threads")
     while not state.where("moved").isEmpty():
         above = state.select("conv", F.col("m").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"))
-        nxt = state.drop("moved").join(above, ["conv", "up"], "left")
+        nxt = join_unique(state.drop("moved"), above, ["conv", "up"])
         state = materialize(nxt.select("conv", "m", F.coalesce("up2", "up").alias("up"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), F.col("up2").isNotNull().alias("moved")), "quotes-threads")
     return state.select("conv", "m", F.col("up").alias("thread"), F.col("dist").alias("reply_depth"))
 
@@ -118,7 +140,7 @@ def link_conversations(messages: DataFrame) -> DataFrame:
     outermost = F.min(F.struct("lv", "nth", "original", "parent_turn")).alias("b")
     chosen = materialize(links.groupBy("conv", "m").agg(outermost, F.count("*").alias("n_linked")).select("conv", "m", F.col("b.original").alias("parent"), F.col("b.parent_turn").alias("parent_turn"), "n_linked"), "quotes-parents")
     named = materialize(chosen.drop("parent").join(reply_threads(chosen), ["conv", "m"]), "quotes-named")
-    out = parsed.join(named, ["conv", "m"], "left")
+    out = join_unique(parsed, named, ["conv", "m"])
     depth = F.coalesce("reply_depth", F.lit(0)).cast("long")
     return out.select(
         "conv_id", "turn", "role", "body",

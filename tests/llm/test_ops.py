@@ -228,6 +228,44 @@ def test_quotes_against_brute_force(spark):
         assert all(r["parent_turn"] is None or at[r["parent_turn"]] < at[r["turn"]] for r in mine)
 
 
+CONV = "conv_id long, turn long, role string, text string"
+
+
+@pytest.mark.parametrize("head", ["On Mon, Jan 1,\nAlice <a@b.c> wrote:", "Am 1.1.2020 um 10:00 schrieb Alice <a@b.c>:", "Le 1 janvier 2020, Alice a écrit\u00a0:", "El 1 ene 2020, Alice\n<a@b.c> escribió:", "Alice writes:\n"])
+def test_quote_attributions(spark, head):
+    """Attributions of one or two lines and four languages belong to neither side."""
+    rows = [(1, 0, "a", "The first message of all."), (1, 1, "b", f"Before 1.\n\n{head}\n> The first message of all.\n\nAfter.")]
+    got = {r["turn"]: r for r in quotes.link_conversations(spark.createDataFrame(rows, CONV)).collect()}
+    assert re.sub("\n+", " ", got[1]["body"]) == "Before 1. After." and (got[1]["n_quotes"], got[1]["n_linked"], got[1]["parent_turn"]) == (1, 1, 0)
+
+
+def test_forwarded_messages(spark):
+    """All below a mark is one level deeper, without the mark and its headers; a mark of its own inside is deeper still."""
+    one, two = "The first message of all.", "I do not agree with that.\nNot at all."
+    below = f"-----Original Message-----\r\nFrom: A\r\nSubject: x\r\n\r\n{one}"
+    rows = [(1, 0, "a", one), (1, 1, "b", f"{two}\n\n{below}"), (1, 2, "c", f"Fine.\n---------- Forwarded message ---------\nVon: B\n\n{two}\n\n{below}"),
+            (1, 3, "d", "-----Original Message-----"), (1, 4, "d", "He has written:\n-- \nTo: me"), (1, 5, "e", f"Begin forwarded message:\n\n> {one}\nok so far then")]
+    got = {r["turn"]: r for r in quotes.link_conversations(spark.createDataFrame(rows, CONV)).collect()}
+    assert [got[i]["body"] for i in range(6)] == [one, two, "Fine.", "-----Original Message-----", "He has written:\n-- \nTo: me", ""]
+    assert [(got[i]["quote_depth"], got[i]["n_quotes"], got[i]["n_linked"], got[i]["parent_turn"]) for i in range(6)] == [
+        (0, 0, 0, None), (1, 1, 1, 0), (2, 2, 2, 1), (0, 0, 0, None), (0, 0, 0, None), (2, 2, 1, 0)]
+
+
+def test_quotes_with_hot_keys(spark, monkeypatch):
+    """One message with most of all replies, copies of one message and one passage quoted by all: the same rows as without
+    the broadcast of hot keys."""
+    rows = [(1, 0, "a", "The first message of all that is here.")] + [(1, i, "b", f"> first message of all that is\nanswer {i}") for i in range(1, 60)] + [(1, 99, "b", "> answer 3\ncopied")] * 40
+    rows += [(None, i, "c", f"> message {i - 1}\nmessage {i}") for i in range(30)]
+    talks = spark.createDataFrame(rows, CONV)
+    want = sorted(map(str, quotes.link_conversations(talks).collect()))
+    monkeypatch.setattr(common, "HOT", 8)
+    assert sorted(map(str, quotes.link_conversations(talks).collect())) == want and len(want) == len(rows)
+    a = common.materialize(spark.createDataFrame([("k", 1)] * 20 + [("n", 2)] * 20 + [("o", 3)], "k string, v int"), "t")
+    b = spark.createDataFrame([("k", 7), ("o", 8), ("z", 9)], "k string, w int")
+    for how in ("left", "inner"):
+        assert sorted(map(str, common.join_unique(a, b, ["k"], how).collect())) == sorted(map(str, a.join(b, ["k"], how).collect()))
+
+
 def test_quotes_long_text(spark):
     """A text of many lines is parsed in time proportional to its length."""
     text = "\n".join(f"> line {i}\n\nanswer {i}" for i in range(8_000))
@@ -253,9 +291,32 @@ def brute_license(t):
     return len(w), len(at), min(at, default=None), max(at, default=None), labels
 
 
+def mark_operators(words):
+    """OR and AND of the expressions behind tags, word by word."""
+    ids = sorted((x.split() for x in licenses.SPDX_WORDS.values()), key=lambda x: -len(x))
+    id_at = lambda i: next((i + len(x) for x in ids if words[i : i + len(x)] == x), None)
+    for i in range(len(words)):
+        if words[i : i + 3] not in (["spdx", "license", "identifier"], ["spdx", "licence", "identifier"]):
+            continue
+        at = id_at(i + 3)
+        while at is not None:
+            at += 1 if words[at : at + 1] == ["only"] else 2 if words[at : at + 2] == ["or", "later"] else 0
+            if words[at : at + 1] == ["with"]:
+                end = next((j for j in range(at + 2, at + 6) if words[j : j + 1] == ["exception"]), None)
+                if end is not None:
+                    at = end + 1
+                    while at < len(words) and words[at].isdigit():
+                        at += 1
+            if words[at : at + 1] not in (["or"], ["and"]) or id_at(at + 1) is None:
+                break
+            words[at] = licenses.OPERATOR
+            at = id_at(at + 1)
+
+
 def brute_detections(t):
     """Every rule over the whole text without any prefilter, then suppression by the definition."""
     words = ALNUM.findall(low(t))
+    mark_operators(words)
     s = " " + " ".join(words) + " "
     starts = {m.end(): i for i, m in enumerate(re.finditer(" (?=[^ ])", s))}
     found = set()
@@ -304,6 +365,24 @@ def test_license_rules_alone():
         assert {x[3] for x in brute_detections(t)} == {"mit"}, t
 
 
+EXPRESSIONS = {
+    "SPDX-License-Identifier: GPL-2.0-or-later OR MIT": {"gpl-2.0", "mit"},
+    "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\nint main": {"mit", "apache-2.0", "bsd-3-clause"},
+    "SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception OR MIT-0": {"apache-2.0", "mit-0"},
+    "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 AND LGPL-2.1-or-later": {"gpl-2.0", "lgpl-2.1"},
+    "SPDX-License-Identifier: ISC\n\nmade with love and mit freude": {"isc"},
+}
+
+
+def test_license_expressions(spark):
+    """Each operand of a tag is found; words after the expression are none."""
+    texts = list(EXPRESSIONS)
+    for r in licenses.license_scan(docs_of(spark, texts)).collect():
+        want = brute_detections(texts[r["doc_id"]])
+        assert {x[3] for x in want} == EXPRESSIONS[texts[r["doc_id"]]]
+        assert sorted((d["s"], d["e"], d["p"], d["label"]) for d in r["detections"]) == want
+
+
 def test_licenses(spark, sf, hard):
     extra = ["gpl v2 or later", "MIT\n\nLicense mit-license", "released under the Apache License, Version 2.0 and the BSD 3-clause", "mit der mit", "CC BY cc-by 4.0 CC BY-NC-SA 3.0", "SPDX-License-Identifier: GPL-3.0-only", *BODIES.values(), " ".join(BODIES.values()), " ".join(x.split(" ")[-1] + " " + x for x in BODIES.values()), "GPL MIT License " * 3_000]
     texts = hard + extra + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()]
