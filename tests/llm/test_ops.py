@@ -717,6 +717,25 @@ def test_empty_tables(spark, op):
     assert run().count() == 0
 
 
+@pytest.mark.parametrize("op", ["op1_quality_rules", "op3_license_scan", "op5_bpe_round_trip", "op6_decontamination"])
+def test_null_and_repeated_ids(spark, hard, tmp_path, op):
+    """A row's result depends on its text, not on its id: null and repeated ids give a row each, with the same results as
+    ids of their own. One text has over 100,000 characters."""
+    long = " ".join(f"word{i % 977} {i}" for i in range(12_000)) + " released under the MIT license"
+    texts = [*hard, long, *(f"plain text number {i} with a few words that say nothing at all about {i * i}" for i in range(30))]
+    spark.createDataFrame([(1, " ".join(f"word{i % 977} {i}" for i in range(40, 60)), "q"), (None, None, "q")], "item_id long, text string, doc_id string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = []
+    for i, rename in enumerate((lambda n: n, lambda n: None if n % 3 == 0 else n % 4)):
+        at = f"{tmp_path}/{i}"
+        docs = spark.createDataFrame([(rename(n), t, "en", "s", 0, "clash", ["clash"]) for n, t in enumerate(texts)], DOC)
+        docs.write.parquet(f"{at}/documents.parquet")
+        spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{at}/benchmark.parquet")
+        out = queries.QUERIES[op](spark, at)
+        assert Counter(r["doc_id"] for r in out.collect()) == Counter(rename(n) for n in range(len(texts)))
+        got.append(sorted(str(r) for r in out.drop("doc_id").collect()))
+    assert got[0] == got[1]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
