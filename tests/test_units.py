@@ -358,3 +358,40 @@ def test_answer_blocks_whole_texts(spark):
         want += [(i, n + 1, k, " ".join(x)) for n, (k, x) in enumerate(blocks)]
     got = answers.answer_blocks(spark.createDataFrame(list(enumerate(texts)), "query_id long, answer string")).collect()
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def _made_documents(spark, n=260):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(12, 6))
+    made = [("u" if i % 9 else "v", i, 6, (base[i % 12] + 0.12 * rng.normal(size=6)).tolist()) for i in range(n)] + [("u", 900, 6, [0.0] * 6), ("u", 901, 2, [1.0, 0.0])]
+    return made, spark.createDataFrame(made, "user_id string, document_id long, dim int, centroid array<double>").selectExpr("*", "timestamp_seconds((document_id * 37) % 50) AS created_at")
+
+
+def test_near_duplicates_copies_for_tiles_not_blocks(spark):
+    """A user's vectors are copied for each tile (12 for small ones), not for each of its blocks; cells and tiles lose no match."""
+    made, d = _made_documents(spark)
+    blocks = vectors._near_blocks(d, 4, vectors._cell_centres(d, 4))
+    most = {r["user_id"]: (r["n"], r["t"]) for r in blocks.where("dim = 6").groupBy("user_id").agg(F.count("*").alias("n"), F.max("tiles").alias("t")).collect()}
+    assert most["u"][0] > 50 and most["u"][1] <= vectors.TILES
+    got = {r["document_id"]: r["duplicate_of"] for r in vectors.near_duplicates(d, block=4).collect()}
+    key, cos = lambda i: ((i * 37) % 50, i), lambda a, b: np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))
+    want = {}
+    for u, i, k, v in made:
+        hits = [j for w, j, m, x in made if w == u and m == k and key(j) < key(i) and np.any(x) and np.any(v) and cos(v, x) > vectors.NEAR]
+        if hits:
+            want[i] = min(hits, key=key)
+    assert got == want and len(want) > 50
+
+
+def test_duplicates_of_new_copies_for_tiles(spark):
+    made, d = _made_documents(spark)
+    new, stored = d.where("document_id % 5 = 0"), d.where("document_id % 5 <> 0")
+    assert vectors._near_blocks(stored, 4, None).agg(F.max("tiles")).first()[0] <= vectors.TILES
+    got = {r["document_id"]: r["duplicate_of"] for r in vectors.duplicates_of_new(new, stored, block=4).collect()}
+    key, cos = lambda i: ((i * 37) % 50, i), lambda a, b: np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))
+    want = {}
+    for u, i, k, v in made:
+        hits = [j for w, j, m, x in made if i % 5 == 0 and j % 5 and w == u and m == k and np.any(x) and np.any(v) and cos(v, x) > vectors.NEAR]
+        if hits:
+            want[i] = min(hits, key=key)
+    assert got == want and len(want) > 10
