@@ -395,3 +395,26 @@ def test_duplicates_of_new_copies_for_tiles(spark):
         if hits:
             want[i] = min(hits, key=key)
     assert got == want and len(want) > 10
+
+
+def test_hybrid_retrieve_scans_texts_without_index_or_vectors(spark):
+    """Chunks need neither vectors nor an index, and the results are those with both; groups with ties, common terms, empty texts."""
+    rng = random.Random(4)
+    words = "the of river stone lamp glass cloud engine the the".split()
+    rows = [("a" if i % 3 else "b", i, " ".join(rng.choices(words, k=rng.randint(0, 9))) if i % 4 else "the river", round(rng.random(), 3)) for i in range(90)]
+    c = spark.createDataFrame(rows, "`group` string, id long, content string, importance_score double")
+    asked = [(1, "a", "the river of glass"), (2, "b", "unknown words"), (3, "a", ""), (4, "b", "stone stone lamp"), (5, "none", "river")]
+    q = vectors.hash_embed(spark.createDataFrame(asked, "query_id long, `group` string, question string"), "question")
+    scanned = retrieval.hybrid_retrieve(c, q, 2)
+    indexed = retrieval.hybrid_retrieve(vectors.hash_embed(c), q.where("query_id <> 3"), 2, bm25.build(c))
+    key = lambda df: sorted((r["query_id"], r["rank"], r["id"], round(r["ranked_score"], 5), round(r["sparse_score"], 5)) for r in df.collect())
+    assert key(scanned.where("query_id <> 3")) == key(indexed) and {r["query_id"] for r in scanned.collect()} == {1, 2, 3, 4}
+    assert key(retrieval.hybrid_retrieve(vectors.hash_embed(c), q, 2)) == key(scanned)
+
+
+def test_record_retrievals_and_links_without_stored_vectors(spark):
+    """Links between results are made of their contents alone."""
+    from ragmill.plans import retrieval_queries
+
+    r = spark.createDataFrame([(1, 1, "river stone"), (1, 2, "river stone"), (1, 3, "lamp"), (2, 1, "lamp")], "query_id long, rank long, content string")
+    assert [(x["query_id"], x["a"], x["b"], x["weight"]) for x in retrieval_queries.links(r).collect()] == [(1, 1, 2, 1.0)]
