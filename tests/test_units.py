@@ -418,3 +418,10 @@ def test_record_retrievals_and_links_without_stored_vectors(spark):
 
     r = spark.createDataFrame([(1, 1, "river stone"), (1, 2, "river stone"), (1, 3, "lamp"), (2, 1, "lamp")], "query_id long, rank long, content string")
     assert [(x["query_id"], x["a"], x["b"], x["weight"]) for x in retrieval_queries.links(r).collect()] == [(1, 1, 2, 1.0)]
+
+
+def test_line_blocks_tell_headings_once(spark):
+    """The heading rule stands once in the plan of line_blocks, not once for each field and each of its own parts."""
+    d = spark.createDataFrame([("  OVERVIEW  \nMr. Smith came.  \nÜber Uns",)], "text string").select(chunking.line_blocks(F.col("text")).alias("b"))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count(r"\P{L}") == 1
+    assert [(x["heading"], x["level"], x["is_heading"]) for x in d.first()["b"]] == [("OVERVIEW", 1, True), (None, 0, False), ("Über Uns", 1, True)]
